@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -51,12 +51,15 @@ def profile_encoding(spark: SparkSession, path: str, glob: str = "*.csv") -> Dat
     ).withColumn("verdict", F.when(F.col("bad_lines") == 0, "utf-8").otherwise("latin1"))
 
 
-def file_headers(spark: SparkSession, path: str, glob: str = "*.csv") -> DataFrame:
-    """(file_name, columns): first line of every file, split at commas."""
+def file_headers(spark: SparkSession, path: str, glob: str = "*.csv", name: Column | None = None) -> DataFrame:
+    """(file_name, columns): first line of every file, split at commas.
+
+    ``name`` may group files that share one layout, by a partition folder say.
+    """
     lines = spark.read.option("pathGlobFilter", glob).text(path)
-    head = lines.where(F.col("_metadata.file_block_start") == 0).groupBy(
-        F.col("_metadata.file_name").alias("file_name")
-    ).agg(F.min_by("value", F.monotonically_increasing_id()).alias("line"))
+    file = F.col("_metadata.file_name") if name is None else name
+    head = lines.where(F.col("_metadata.file_block_start") == 0).groupBy(file.alias("file_name")).agg(
+        F.min_by("value", F.monotonically_increasing_id()).alias("line"))
     return head.select("file_name", F.split("line", ",", -1).alias("columns"))
 
 
