@@ -9,14 +9,13 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import lru_cache
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from flowtide import schema as S
 from flowtide.catalog import views as V
 from flowtide.catalog.views import with_views
-from flowtide.functions import binary_target, class_code, decide, predict_class
+from flowtide.functions import decide, predict_class
 from flowtide.operators import attribution, balance, cascade, evaluate, features, intervals, models, neighbors
 from flowtide.operators import packets as P
 from flowtide.operators import quality, sampling, setops, windows
@@ -27,7 +26,7 @@ from flowtide.sources import events as E
 from flowtide.sources import flows as FL
 from flowtide.sources import packets as PK
 from flowtide.sources import sinks
-from flowtide.sources.dimension import class_dimension, label_dimension, write_label_dimension
+from flowtide.sources.dimension import label_dimension, write_label_dimension
 from flowtide.streaming import jobs
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -771,6 +770,10 @@ def _drain(spark, stream: DataFrame) -> DataFrame:
     return spark.read.schema(stream.schema).parquet(out)
 
 
+def _naive(df: DataFrame) -> DataFrame:
+    return df.withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
+
+
 @query("stream_cascade", _ALERT_SQL, ("decided",))
 def _stream_cascade(spark, sf):
     return _drain(spark, jobs.stream_cascade(V.scores_of(_stream_flows(spark, sf)), seconds=False))
@@ -790,14 +793,14 @@ def _stream_metrics_live(spark, sf):
     decided = cascade.cascade_decide(V.scores_of(_stream_flows(spark, sf)))
     out = scratch_path(spark, "out")
     jobs.run_updates(jobs.stream_metrics_live(decided), out, scratch_path(spark, "ckpt"))
-    return jobs.read_updates(spark, out, ["window_start"])
+    return _naive(jobs.read_updates(spark, out, ["window_start"]))
 
 
 @query("stream_tier2_windows", _tier2_sql("windowed", """
     WHERE window_start + INTERVAL '5 minutes' <= (SELECT max(ts) - INTERVAL '10 minutes' FROM clean)"""), ("windowed",))
 def _stream_tier2_windows(spark, sf):
     rows = V.clean_of(_stream_flows(spark, sf))
-    return _round_tier2(_drain(spark, jobs.stream_tier2_windows(rows)))
+    return _naive(_round_tier2(_drain(spark, jobs.stream_tier2_windows(rows))))
 
 
 _BLOCK_SQL = """SELECT src_ip, min(ts) AS first_seen, max(ts) AS last_seen, count(*) AS n_alerts,

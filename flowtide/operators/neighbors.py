@@ -155,9 +155,12 @@ def _probe(probes: DataFrame, points: DataFrame, k: int) -> DataFrame:
         return _nearest(qs["q"].to_numpy(), np.stack(qs["v"]), qs["bound"].to_numpy(),
                         ss["s"].to_numpy(), np.stack(ss["sv"]), k)
 
-    left = asked.select("block", "part", "q", "v", "bound").groupBy("block", "part")
-    right = held.select("block", "part", "s", "sv").groupBy("block", "part")
-    return left.cogroup(right).applyInPandas(search, "q bigint, s bigint, d2 double")
+    # both sides come from the same stored points: rename so that their columns stay apart
+    left = asked.toDF(*[f"l_{c}" for c in asked.columns]).select("l_block", "l_part", F.col("l_q").alias("q"),
+                                                                 F.col("l_v").alias("v"), F.col("l_bound").alias("bound"))
+    right = held.toDF(*[f"r_{c}" for c in held.columns]).select("r_block", "r_part", F.col("r_s").alias("s"),
+                                                                F.col("r_sv").alias("sv"))
+    return left.groupBy("l_block", "l_part").cogroup(right.groupBy("r_block", "r_part")).applyInPandas(search, "q bigint, s bigint, d2 double")
 
 
 def _point_neighbors(points: DataFrame, queries: DataFrame | None, dims: int, k: int) -> DataFrame:
@@ -188,13 +191,13 @@ def _point_neighbors(points: DataFrame, queries: DataFrame | None, dims: int, k:
         F.array(*[F.min(F.col("v")[j]) for j in range(dims)]).alias("lo"),
         F.array(*[F.max(F.col("v")[j]) for j in range(dims)]).alias("hi"))
     boxes = box.orderBy("g", "leaf").toPandas()      # groups x MAX_BLOCKS rows at most
+    if not len(boxes):
+        return spark.createDataFrame([], "q bigint, s bigint, d2 double")
     boxes["block"] = np.arange(len(boxes))
     ids = spark.createDataFrame(boxes[["g", "leaf", "block"]], "g string, leaf bigint, block bigint")
 
     def numbered(df: DataFrame) -> DataFrame:
-        named = F.broadcast(ids.withColumnsRenamed({"g": "_g", "leaf": "_leaf"}))
-        on = df["g"].eqNullSafe(F.col("_g")) & (df["leaf"] == F.col("_leaf"))
-        return df.join(named, on, "left").drop("_g", "_leaf")
+        return df.join(F.broadcast(ids), ["g", "leaf"], "left")
 
     held = numbered(pts)
     asked = pts if queries is None else cut(placed(queries).select("g", "point", "v", "leaf"))
@@ -207,7 +210,7 @@ def _point_neighbors(points: DataFrame, queries: DataFrame | None, dims: int, k:
     reach = own.groupBy("q").agg(F.count(F.lit(1)).alias("c"), F.max("d2").alias("m"))
     bounded = asked.join(reach, "q", "left").withColumn("bound", F.when(F.col("c") == k, F.col("m")).otherwise(inf))
     lo, hi = np.stack(boxes["lo"]), np.stack(boxes["hi"])
-    group = boxes["g"].fillna("").to_numpy().astype(str)
+    group = boxes["g"].to_numpy().astype(str)
     shared = spark.sparkContext.broadcast((lo, hi, group))
 
     @F.pandas_udf("array<bigint>")
@@ -220,7 +223,7 @@ def _point_neighbors(points: DataFrame, queries: DataFrame | None, dims: int, k:
                 part = slice(a, a + step)
                 d = _box_distance(np.stack(v.iloc[part]), lo, hi)
                 near = d <= bound.iloc[part].to_numpy()[:, None]
-                near &= g.iloc[part].fillna("").to_numpy().astype(str)[:, None] == group[None, :]
+                near &= g.iloc[part].to_numpy().astype(str)[:, None] == group[None, :]
                 near &= own_block.iloc[part].to_numpy()[:, None] != np.arange(len(lo))[None, :]
                 found += [np.flatnonzero(row) for row in near]
             yield pd.Series(found)
@@ -244,10 +247,12 @@ def knn_lists(left: DataFrame, features: list[str] | str, k: int, row_id: str, r
     skip = self_join if exclude_self is None else exclude_self
     kk = k + 1 if skip else k
 
+    group = F.coalesce(F.col(within).cast("string"), F.lit("")) if within else F.lit("")
+
     def shaped(df: DataFrame) -> DataFrame:
         return df.select(
             F.col(row_id).cast("bigint").alias("id"), _vector(features).alias("v"),
-            (F.col(within).cast("string") if within else F.lit("")).alias("g"),
+            group.alias("g"),
             (F.col(tag).cast("string") if tag else F.lit(None).cast("string")).alias("tag"))
 
     points = cut(_points(shaped(left if self_join else right), kk))
@@ -262,7 +267,7 @@ def knn_lists(left: DataFrame, features: list[str] | str, k: int, row_id: str, r
     asked = points if self_join else queries
     by_vector = asked.select(F.col("point").alias("q"), F.col("g").alias("_g"), F.col("v").alias("_v")).join(lists, "q")
 
-    keyed = left.withColumns({"_v": _vector(features), "_g": F.col(within).cast("string") if within else F.lit("")})
+    keyed = left.withColumns({"_v": _vector(features), "_g": group})
     joined = _attach_lists(keyed, by_vector.drop("q"))
     own = F.filter("nn", lambda x: x["id"] != F.col(row_id)) if skip else F.col("nn")
     return joined.withColumn("nn", F.slice(F.coalesce(own, F.array()), 1, k)).select(*left.columns, "nn")

@@ -58,8 +58,9 @@ def file_headers(spark: SparkSession, path: str, glob: str = "*.csv", name: Colu
     """
     lines = spark.read.option("pathGlobFilter", glob).text(path)
     file = F.col("_metadata.file_name") if name is None else name
-    head = lines.where(F.col("_metadata.file_block_start") == 0).groupBy(file.alias("file_name")).agg(
-        F.min_by("value", F.monotonically_increasing_id()).alias("line"))
+    head = lines.where(F.col("_metadata.file_block_start") == 0).select(
+        file.alias("file_name"), "value", F.monotonically_increasing_id().alias("_pos"),
+    ).groupBy("file_name").agg(F.min_by("value", "_pos").alias("line"))
     return head.select("file_name", F.split("line", ",", -1).alias("columns"))
 
 

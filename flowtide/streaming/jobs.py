@@ -12,6 +12,11 @@ from flowtide.plans.live import prepare_live
 from flowtide.sources.events import filter_event_types, ids_event_features, ids_event_tuple
 
 
+def _timed(stream: DataFrame, ts: str, delay: str) -> DataFrame:
+    """Watermarks need a zoned timestamp."""
+    return stream.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, delay)
+
+
 def stream_cascade(flows: DataFrame, tier1=None, tier3=None, seconds: bool = True) -> DataFrame:
     """Flow stream -> alerts. Without models the rows must carry scores ``p1`` and ``probs``."""
     ready = prepare_live(flows, seconds)
@@ -29,7 +34,7 @@ def stream_ids_events(events: DataFrame, tier1=None, tier3=None) -> DataFrame:
 def stream_metrics_live(decided: DataFrame, ts: str = "ts", width: str = "5 minutes",
                         delay: str = "10 minutes") -> DataFrame:
     """Counts per window while the stream runs."""
-    return (decided.withWatermark(ts, delay).groupBy(F.window(ts, width).alias("w")).agg(
+    return (_timed(decided, ts, delay).groupBy(F.window(ts, width).alias("w")).agg(
         F.count(F.lit(1)).alias("flows"), F.count_if("tier1_hit").alias("tier1_hits"),
         F.count("severity").alias("alerts"),
     ).select(F.col("w.start").alias("window_start"), "flows", "tier1_hits", "alerts"))
@@ -44,7 +49,7 @@ def stream_tier2_windows(flows: DataFrame, ts: str = "ts", width: str = "5 minut
     flows.  The port and protocol entropies need marginal counts, which come
     from maps of at most 65,536 ports and 256 protocols per window and source.
     """
-    fine = flows.withWatermark(ts, delay).groupBy(F.window(ts, width).alias("w"), "src_ip", "dst_port", "protocol").agg(
+    fine = _timed(flows, ts, delay).groupBy(F.window(ts, width).alias("w"), "src_ip", "dst_port", "protocol").agg(
         F.count(F.lit(1)).alias("n"), *[F.sum(c).alias(f"s_{c}") for c in S.GOLDEN12],
         *[F.count_if(F.col(label) == c).alias(f"n_{c}") for c in ATTACKS])
     carried = ["n"] + [f"s_{c}" for c in S.GOLDEN12] + [f"n_{c}" for c in ATTACKS]
