@@ -154,7 +154,7 @@ def _ids_line_counts(spark, sf):
 @query("write_alerts", """SELECT flow_id, src_ip, dst_ip, dst_port, severity, predicted_class, confidence, pipeline_tier
     FROM decided WHERE severity IS NOT NULL""", ("decided",))
 def _write_alerts(spark, sf):
-    scored = V.scores_of(V.flows_of(V.stream_table(spark, sf, "events")))
+    scored = V.scores_of(V.flow_stream(spark, sf))
     al = jobs.stream_cascade(scored, seconds=False)
     path = scratch_path(spark, "alerts")
     sinks.write_alerts(al, path, scratch_path(spark, "ckpt")).awaitTermination()
@@ -756,10 +756,6 @@ def _key_set_ops(spark, sf):
 
 # --- streaming --------------------------------------------------------------
 
-def _stream_flows(spark, sf):
-    return V.flows_of(V.stream_table(spark, sf, "events"))
-
-
 _ALERT_SQL = """SELECT ts, flow_id, src_ip, dst_ip, dst_port, severity, predicted_class, confidence, pipeline_tier
     FROM decided WHERE severity IS NOT NULL"""
 
@@ -776,21 +772,21 @@ def _naive(df: DataFrame) -> DataFrame:
 
 @query("stream_cascade", _ALERT_SQL, ("decided",))
 def _stream_cascade(spark, sf):
-    return _drain(spark, jobs.stream_cascade(V.scores_of(_stream_flows(spark, sf)), seconds=False))
+    return _drain(spark, jobs.stream_cascade(V.scores_of(V.flow_stream(spark, sf)), seconds=False))
 
 
 @query("stream_ids_events", """SELECT e.ts, e.flow_id, coalesce(e.src_ip, '0.0.0.0') AS src_ip, e.dest_ip AS dst_ip,
     e.dest_port AS dst_port, d.severity, d.predicted_class, d.confidence, d.pipeline_tier
     FROM flow_events e JOIN decided d USING (flow_id) WHERE d.severity IS NOT NULL""", ("flow_events", "decided"))
 def _stream_ids_events(spark, sf):
-    events = E.parse_ids_events(V.event_lines_of(_stream_flows(spark, sf)))
+    events = E.parse_ids_events(V.event_lines_of(V.flow_stream(spark, sf)))
     return _drain(spark, jobs.stream_ids_events(V.scores_of(events)))
 
 
 @query("stream_metrics_live", """SELECT time_bucket(INTERVAL '5 minutes', ts) AS window_start, count(*) AS flows,
     count(*) FILTER (tier1_hit) AS tier1_hits, count(severity) AS alerts FROM decided GROUP BY 1""", ("decided",))
 def _stream_metrics_live(spark, sf):
-    decided = cascade.cascade_decide(V.scores_of(_stream_flows(spark, sf)))
+    decided = cascade.cascade_decide(V.scores_of(V.flow_stream(spark, sf)))
     out = scratch_path(spark, "out")
     jobs.run_updates(jobs.stream_metrics_live(decided), out, scratch_path(spark, "ckpt"))
     return _naive(jobs.read_updates(spark, out, ["window_start"]))
@@ -799,7 +795,7 @@ def _stream_metrics_live(spark, sf):
 @query("stream_tier2_windows", _tier2_sql("windowed", """
     WHERE window_start + INTERVAL '5 minutes' <= (SELECT max(ts) - INTERVAL '10 minutes' FROM clean)"""), ("windowed",))
 def _stream_tier2_windows(spark, sf):
-    rows = V.clean_of(_stream_flows(spark, sf))
+    rows = V.clean_of(V.flow_stream(spark, sf))
     return _naive(_round_tier2(_drain(spark, jobs.stream_tier2_windows(rows))))
 
 
@@ -809,7 +805,7 @@ _BLOCK_SQL = """SELECT src_ip, min(ts) AS first_seen, max(ts) AS last_seen, coun
 
 @query("block_requests", _BLOCK_SQL, ("decided",))
 def _block_requests(spark, sf):
-    al = jobs.stream_cascade(V.scores_of(_stream_flows(spark, sf)), seconds=False)
+    al = jobs.stream_cascade(V.scores_of(V.flow_stream(spark, sf)), seconds=False)
     out = scratch_path(spark, "blocks")
     jobs.stream_block_requests(al, out, scratch_path(spark, "ckpt")).awaitTermination()
     return jobs.read_blocks(spark, out)

@@ -6,6 +6,8 @@ row, so they grow with the tables.
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,6 +15,7 @@ from flowtide import schema as S
 from flowtide.operators.labels import clean_labels, drop_header_rows, drop_unmapped, map_label, with_label_key
 from flowtide.operators.windows import with_window_start
 from flowtide.plans.dataset import golden12
+from flowtide.session import scratch_path
 from flowtide.sources.dimension import label_dimension
 
 
@@ -20,12 +23,6 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
-def stream_table(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    """A given table as a file stream."""
-    schema = table(spark, sf, name).schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(sf)
-
-
 # --- flows ------------------------------------------------------------------
 
 _FLOWS = """
@@ -63,8 +60,32 @@ def flows_of(events: DataFrame) -> DataFrame:
     return events.sparkSession.sql(_FLOWS.replace("{TS}", "TIMESTAMP_NTZ"), events=events)
 
 
+@lru_cache(maxsize=8)
+def _flow_folder(app: str, sf: str) -> str:
+    """Flows derived from ``events`` once per application and stored in time order.
+
+    Stages hand over Parquet: later scans prune columns and push filters to
+    stored features instead of recomputing the derivation inside each filter.
+    """
+    spark = SparkSession.getActiveSession()
+    path = scratch_path(spark, "flows")
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    flows_of(table(spark, sf, "events")).repartitionByRange(n, "flow_id").write.parquet(path)
+    return path
+
+
+def flow_folder(spark, sf) -> str:
+    return _flow_folder(spark.sparkContext.applicationId, sf)
+
+
 def flows(spark, sf) -> DataFrame:
-    return flows_of(table(spark, sf, "events"))
+    return spark.read.parquet(flow_folder(spark, sf))
+
+
+def flow_stream(spark, sf) -> DataFrame:
+    """The stored flows as a file stream."""
+    path = flow_folder(spark, sf)
+    return spark.readStream.schema(spark.read.parquet(path).schema).parquet(path)
 
 
 def files(spark, sf) -> DataFrame:

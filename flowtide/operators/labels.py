@@ -42,5 +42,5 @@ def clean_labels(df: DataFrame, dim: DataFrame, raw: str = "raw_label") -> DataF
 
     A header row has no entry in the map, so the join removes it too.
     """
-    keyed = drop_header_rows(with_label_key(df, raw))
+    keyed = with_label_key(df, raw)
     return keyed.join(bounded_dimension(dim), ["source_year", "label_key"], "inner")

@@ -26,11 +26,13 @@ from pyspark.sql.window import Window
 from flowtide.functions import hash_unit
 from flowtide.session import cut
 
-BLOCK_POINTS = 4_000        # aimed-at points per block
+BLOCK_POINTS = 1_000        # aimed-at points per block
 MAX_BLOCKS = 65_536         # bounds the box table (and the sample) that tasks receive
 SAMPLE_PER_BLOCK = 16
-PROBES_PER_TASK = 20_000    # points that search one block in one task
-HOT_SHARE = 1_000           # a vector with more than 1/1000 of the rows is hot: at most 1,000 such
+PROBES_PER_TASK = 5_000     # points that search one block in one task
+CELLS = 200_000             # distances computed at a time: stays in cache
+HOT_SHARE = 1_000           # a vector with more than 1/1000 of the rows is hot: fewer than 1,000 such
+HOT_ROWS = 100_000          # and below this many rows none is
 
 
 # --- small numpy helpers that run inside tasks ------------------------------
@@ -97,13 +99,16 @@ def _box_distance(x: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
 def _nearest(q_id, q, bound, s_id, s, k):
     """k nearest of ``s`` for each of ``q`` no farther than ``bound``; ``s`` sorted by id."""
     out_q, out_s, out_d = [], [], []
-    step = max(1, 4_000_000 // max(len(s), 1))
+    columns = np.ascontiguousarray(s.T)
+    step = max(1, CELLS // max(len(s), 1))
     for a in range(0, len(q), step):
         x = q[a:a + step]
         d = np.zeros((len(x), len(s)))
+        diff = np.empty_like(d)
         for j in range(x.shape[1]):
-            diff = x[:, j, None] - s[None, :, j]
-            d += diff * diff
+            np.subtract(x[:, j, None], columns[j], out=diff)
+            np.multiply(diff, diff, out=diff)
+            d += diff
         top = bound[a:a + step]
         if len(s) > k:
             top = np.minimum(top, np.partition(d, k - 1, axis=1)[:, k - 1])
@@ -122,9 +127,10 @@ def _nearest(q_id, q, bound, s_id, s, k):
 # --- the Spark job ----------------------------------------------------------
 
 def _vector(features: list[str] | str) -> Column:
+    # adding 0.0 turns -0.0 into 0.0, so equal numbers hash alike
     if isinstance(features, str):
-        return F.col(features).cast("array<double>")
-    return F.array(*[F.col(c).cast("double") for c in features])
+        return F.transform(F.col(features), lambda x: x.cast("double") + 0.0)
+    return F.array(*[F.col(c).cast("double") + 0.0 for c in features])
 
 
 def _points(rows: DataFrame, k: int) -> DataFrame:
@@ -133,9 +139,10 @@ def _points(rows: DataFrame, k: int) -> DataFrame:
     The rank filter runs before the shuffle as well, so each task sends at
     most k rows per vector.
     """
-    rank = F.row_number().over(Window.partitionBy("g", "v").orderBy("id"))
-    first = rows.withColumn("_r", rank).where(F.col("_r") <= k)
-    return first.groupBy("g", "v").agg(
+    # the hash leads the key: sorts then compare numbers, and vectors only where hashes agree
+    rank = F.row_number().over(Window.partitionBy("h", "g", "v").orderBy("id"))
+    first = rows.withColumn("h", F.xxhash64("g", "v")).withColumn("_r", rank).where(F.col("_r") <= k)
+    return first.groupBy("h", "g", "v").agg(
         F.min("id").alias("point"), F.sort_array(F.collect_list(F.struct("id", "tag"))).alias("members"))
 
 
@@ -275,15 +282,19 @@ def knn_lists(left: DataFrame, features: list[str] | str, k: int, row_id: str, r
 
 def _attach_lists(rows: DataFrame, lists: DataFrame) -> DataFrame:
     """Join on (group, vector); vectors of very many rows are joined without moving those rows."""
-    sizes = rows.groupBy("_g", "_v").agg(F.count(F.lit(1)).alias("c"))
+    on = ["_h", "_g", "_v"]
+    rows, lists = (d.withColumn("_h", F.xxhash64("_g", "_v")) for d in (rows, lists))
     total = rows.count()
-    if total < HOT_SHARE * 10:
-        return rows.join(lists, ["_g", "_v"], "left")
-    hot = sizes.where(F.col("c") > total / HOT_SHARE).select("_g", "_v")  # fewer than HOT_SHARE rows
-    marked = rows.join(F.broadcast(hot.withColumn("_hot", F.lit(True))), ["_g", "_v"], "left")
-    hot_lists = lists.join(F.broadcast(hot), ["_g", "_v"], "left_semi")
-    calm = marked.where(F.col("_hot").isNull()).drop("_hot").join(lists, ["_g", "_v"], "left")
-    busy = marked.where(F.col("_hot")).drop("_hot").join(F.broadcast(hot_lists), ["_g", "_v"], "left")
+    hot = []
+    if total > HOT_ROWS:
+        # fewer than HOT_SHARE keys can pass, so the list is bounded
+        sizes = rows.groupBy("_h").agg(F.count(F.lit(1)).alias("c"))
+        hot = [r["_h"] for r in sizes.where(F.col("c") > max(total // HOT_SHARE, HOT_ROWS)).collect()]
+    if not hot:
+        return rows.join(lists, on, "left")
+    is_hot = F.col("_h").isin(hot)
+    calm = rows.where(~is_hot).join(lists.where(~is_hot), on, "left")
+    busy = rows.where(is_hot).join(F.broadcast(lists.where(is_hot)), on, "left")
     return calm.unionByName(busy)
 
 
