@@ -46,26 +46,26 @@ def exact_quantiles(df: DataFrame, groups: list[str], value: str, probs: list[fl
     # above are not needed, rows inside are counted per value
     cells = F.transform(
         F.filter("_edges", lambda e: F.col("_v") <= e["hi"]),
-        lambda e: F.struct(e["i"].alias("i"), F.when(F.col("_v") >= e["lo"], F.col("_v")).alias("v")))
-    counts = keyed.select(*groups, F.inline(cells)).groupBy(*groups, "i", "v").agg(F.count(F.lit(1)).alias("c"))
-    upto = Window.partitionBy(*groups, "i").orderBy(F.col("v").asc_nulls_first()).rowsBetween(
+        lambda e: F.struct(e["i"].alias("_i"), F.when(F.col("_v") >= e["lo"], F.col("_v")).alias("_x")))
+    counts = keyed.select(*groups, F.inline(cells)).groupBy(*groups, "_i", "_x").agg(F.count(F.lit(1)).alias("_c"))
+    upto = Window.partitionBy(*groups, "_i").orderBy(F.col("_x").asc_nulls_first()).rowsBetween(
         Window.unboundedPreceding, Window.currentRow)
-    ranked = counts.withColumn("_upto", F.sum("c").over(upto))
-    ranked = _attach(ranked, stats.select(*groups, "_edges"), groups).withColumn("_pos", F.col("_edges")[F.col("i")]["pos"])
+    ranked = counts.withColumn("_upto", F.sum("_c").over(upto))
+    ranked = _attach(ranked, stats.select(*groups, "_edges"), groups).withColumn("_pos", F.col("_edges")[F.col("_i")]["pos"])
 
     def at(rank):
-        here = (F.col("_upto") - F.col("c") <= rank) & (rank < F.col("_upto"))
-        return F.max(F.when(here, F.col("v")))
+        here = (F.col("_upto") - F.col("_c") <= rank) & (rank < F.col("_upto"))
+        return F.max(F.when(here, F.col("_x")))
 
     low, high = F.floor("_pos"), F.ceil("_pos")
-    picked = ranked.groupBy(*groups, "i").agg(
-        at(low).alias("a"), at(high).alias("b"), F.max(F.col("_pos") - low).alias("f"))
-    value_at = F.col("a") + (F.col("b") - F.col("a")) * F.col("f")
+    picked = ranked.groupBy(*groups, "_i").agg(
+        at(low).alias("_a"), at(high).alias("_b"), F.max(F.col("_pos") - low).alias("_f"))
+    value_at = F.col("_a") + (F.col("_b") - F.col("_a")) * F.col("_f")
     # a rank outside its bracket would leave a null; fail instead of guessing
-    safe = F.when(F.col("a").isNull() | F.col("b").isNull(),
+    safe = F.when(F.col("_a").isNull() | F.col("_b").isNull(),
                   F.raise_error(F.lit("rank outside its bracket"))).otherwise(value_at)
-    q = picked.select(*groups, "i", safe.alias("x")).groupBy(*groups).agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda s: s["x"]).alias("q"))
+    q = picked.select(*groups, "_i", safe.alias("_y")).groupBy(*groups).agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("_i", "_y"))), lambda s: s["_y"]).alias("q"))
     base = stats.drop("_edges")
     return base.join(q, groups) if groups else base.withColumn("q", q.scalar())
 

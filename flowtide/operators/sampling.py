@@ -30,28 +30,29 @@ def hash_cuts(df: DataFrame, row_id: str, seed: int, parts_per_mille: list[int]
     group = [by] if by else []
     keyed = df.select(*group, F.col(row_id).alias("_id"), hash_key(row_id, seed).alias("_h")).withColumn(
         "_p", F.substring("_h", 1, PREFIX_HEX))
-    hist = keyed.groupBy(*group, "_p").agg(F.count(F.lit(1)).alias("n"))
+    hist = keyed.groupBy(*group, "_p").agg(F.count(F.lit(1)).alias("_n"))
     # at most 65,536 rows per group from here
     part = Window.partitionBy(*group)
     upto = part.orderBy("_p").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    hist = hist.withColumns({"_upto": F.sum("n").over(upto), "_total": F.sum("n").over(part)})
+    hist = hist.withColumns({"_upto": F.sum("_n").over(upto), "_total": F.sum("_n").over(part)})
     if rows is not None:
         cuts = [F.least(F.lit(rows).cast("bigint"), F.col("_total"))]
     else:
         cuts = [F.floor((F.col("_total") * F.lit(pm) + 500) / 1000) for pm in parts_per_mille]
-    at = F.explode(F.array(*[F.struct(F.lit(i).alias("cut"), c.cast("bigint").alias("rank"))
-                             for i, c in enumerate(cuts)]))
-    edges = hist.select(*group, "_p", "n", "_upto", at.alias("c")).where(
-        (F.col("c.rank") > F.col("_upto") - F.col("n")) & (F.col("c.rank") <= F.col("_upto"))
-    ).select(*group, "_p", F.col("c.cut").alias("cut"), (F.col("c.rank") - F.col("_upto") + F.col("n")).alias("need"))
+    at = F.inline(F.array(*[F.struct(F.lit(i).alias("_cut"), c.cast("bigint").alias("_rank"))
+                            for i, c in enumerate(cuts)]))
+    before = F.col("_upto") - F.col("_n")
+    edges = hist.select(*group, "_p", "_n", "_upto", at).where(
+        (F.col("_rank") > before) & (F.col("_rank") <= F.col("_upto"))
+    ).select(*group, "_p", "_cut", (F.col("_rank") - before).alias("_need"))
     edges = _small(edges)
     same = keyed["_p"] == edges["_p"]
     if by:
         same = same & keyed[by].eqNullSafe(edges[by])
-    near = keyed.join(edges, same).select(*[keyed[g] for g in group], keyed["_p"], "cut", "need", "_h", "_id")
-    place = F.row_number().over(Window.partitionBy(*group, "_p", "cut").orderBy("_h", "_id"))
-    return near.withColumn("_r", place).where("_r = need").select(
-        *group, "cut", F.col("_h").alias("cut_hash"), F.col("_id").alias("cut_id"))
+    near = keyed.join(edges, same).select(*[keyed[g] for g in group], keyed["_p"], "_cut", "_need", "_h", "_id")
+    place = F.row_number().over(Window.partitionBy(*group, "_p", "_cut").orderBy("_h", "_id"))
+    return near.withColumn("_r", place).where("_r = _need").select(
+        *group, F.col("_cut").alias("cut"), F.col("_h").alias("cut_hash"), F.col("_id").alias("cut_id"))
 
 
 def _small(df: DataFrame) -> DataFrame:

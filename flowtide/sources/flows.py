@@ -42,9 +42,9 @@ def canonical_columns(df: DataFrame, short_layout: bool) -> DataFrame:
     plain = df.toDF(*[f"c{i}" for i in range(len(df.columns))])
     for i, name in enumerate(df.columns):
         name = name.strip()
-        # a second "Fwd Header Length" may arrive with a suffix from the reader
+        # readers tell the two equal names apart by a number at the end
         if name.startswith(S.REPEATED_IN_LONG) and name[len(S.REPEATED_IN_LONG):].lstrip(".").isdigit():
-            continue
+            name = S.REPEATED_IN_LONG
         name = S.SHORT_TO_LONG.get(name, name) if short_layout else name
         if name in drop or name in seen:
             continue
