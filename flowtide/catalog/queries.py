@@ -612,8 +612,8 @@ def _attack_fraction(spark, sf):
 
 
 _LONG_SQL = " UNION ALL ".join(f"SELECT tier, '{s}' AS stage, {s} AS ms FROM timings" for s in V.STAGES)
-_SUMMARY_SQL = f"""SELECT tier, stage, round(avg(ms), 6) AS mean, round(quantile_cont(ms, 0.5), 6) AS median,
-    round(quantile_cont(ms, 0.95), 6) AS p95, round(quantile_cont(ms, 0.99), 6) AS p99, round(max(ms), 6) AS max
+_SUMMARY_SQL = f"""SELECT tier, stage, round(avg(ms), 9) AS mean, round(quantile_cont(ms, 0.5), 9) AS median,
+    round(quantile_cont(ms, 0.95), 9) AS p95, round(quantile_cont(ms, 0.99), 9) AS p99, round(max(ms), 9) AS max
     FROM ({_LONG_SQL}) GROUP BY tier, stage"""
 
 
@@ -622,12 +622,12 @@ def _latency_summary(spark, sf):
     return evaluate.latency_summary(V.timings(spark, sf), V.STAGES)
 
 
-@query("latency_stats", """SELECT count(*) AS n, round(avg(latency_ms), 6) AS mean, round(quantile_cont(latency_ms, 0.5), 6) AS median,
-    round(min(latency_ms), 6) AS min, round(quantile_cont(latency_ms, 0.95), 6) AS p95,
-    round(quantile_cont(latency_ms, 0.99), 6) AS p99, round(max(latency_ms), 6) AS max,
+@query("latency_stats", """SELECT count(*) AS n, round(avg(latency_ms), 3) AS mean, round(quantile_cont(latency_ms, 0.5), 3) AS median,
+    round(min(latency_ms), 3) AS min, round(quantile_cont(latency_ms, 0.95), 3) AS p95,
+    round(quantile_cont(latency_ms, 0.99), 3) AS p99, round(max(latency_ms), 3) AS max,
     round(stddev_samp(latency_ms), 3) AS std FROM matched""", ("matched",))
 def _latency_stats(spark, sf):
-    return rounded(evaluate.latency_stats(_matched(spark, sf)), 3, ["std"])
+    return evaluate.latency_stats(_matched(spark, sf), digits=3)
 
 
 @query("latency_target", f"""SELECT tier, mean, p95, 0.5e0 AS target_ms, mean < 0.5 AS mean_ok, p95 < 0.5 AS p95_ok

@@ -128,13 +128,14 @@ def performance_table(scored: DataFrame, config: str = "config", baseline: str =
 PROBS = [0.5, 0.95, 0.99]
 
 
-def _named(q: DataFrame, keep: list[str], columns: list[str]) -> DataFrame:
+def _named(q: DataFrame, keep: list[str], columns: list[str], digits: int) -> DataFrame:
     out = {"mean": F.col("mean"), "median": F.col("q")[0], "min": F.col("min"), "p95": F.col("q")[1],
            "p99": F.col("q")[2], "max": F.col("max"), "std": F.col("std")}
-    return q.select(*keep, *[F.round(out[c], 6).alias(c) for c in columns])
+    return q.select(*keep, *[F.round(out[c], digits).alias(c) for c in columns])
 
 
-def latency_summary(df: DataFrame, stages: list[str], tier: str = "tier", approximate: bool = False) -> DataFrame:
+def latency_summary(df: DataFrame, stages: list[str], tier: str = "tier", approximate: bool = False,
+                    digits: int = 9) -> DataFrame:
     """Per tier and stage: mean, median, p95, p99, max."""
     long = df.unpivot([tier], stages, "stage", "ms")
     keep, cols = [tier, "stage"], ["mean", "median", "p95", "p99", "max"]
@@ -143,13 +144,13 @@ def latency_summary(df: DataFrame, stages: list[str], tier: str = "tier", approx
                                     F.stddev_samp("ms").alias("std"), F.percentile_approx("ms", PROBS).alias("q"))
     else:
         q = exact_quantiles(long, keep, "ms", PROBS)
-    return _named(q, keep, cols)
+    return _named(q, keep, cols, digits)
 
 
-def latency_stats(df: DataFrame, column: str = "latency_ms") -> DataFrame:
+def latency_stats(df: DataFrame, column: str = "latency_ms", digits: int = 9) -> DataFrame:
     """Mean, median, min, p95, p99, max and sample deviation of all rows."""
     q = exact_quantiles(df, [], column, PROBS)
-    return _named(q, ["n"], ["mean", "median", "min", "p95", "p99", "max", "std"])
+    return _named(q, ["n"], ["mean", "median", "min", "p95", "p99", "max", "std"], digits)
 
 
 def latency_target(summary: DataFrame, target_ms: float, stage: str = "total_ms") -> DataFrame:
