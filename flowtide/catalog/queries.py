@@ -7,7 +7,6 @@ there (model training, copula draws, header scans) and is covered by tests.
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,7 +20,7 @@ from flowtide.operators import packets as P
 from flowtide.operators import quality, sampling, setops, windows
 from flowtide.operators.labels import drop_header_rows, drop_unmapped
 from flowtide.plans import live
-from flowtide.session import cut, scratch_path
+from flowtide.session import cut, keep, scratch_path
 from flowtide.sources import events as E
 from flowtide.sources import flows as FL
 from flowtide.sources import packets as PK
@@ -876,37 +875,21 @@ def _balance_dataset(spark, sf):
 ROUNDS, DEPTH = 5, 5  # registered queries train small models; the defaults are those of the operators
 
 
-@lru_cache(maxsize=4)
-def _parts(app: str, sf: str):
-    """Stored train / val / test rows, and the models fitted on them."""
-    spark = SparkSession.getActiveSession()
-    rows = V.clean(spark, sf)
-    return cut(sampling.stratified_split(rows, "unified_label", "flow_id", {"train": 0.8, "val": 0.1, "test": 0.1}))
-
-
 def _data(spark, sf):
-    return _parts(spark.sparkContext.applicationId, sf)
-
-
-@lru_cache(maxsize=4)
-def _tier1(app: str, sf: str):
-    rows = _parts(app, sf)
-    train = rows.where("split <> 'test'").withColumn("is_val", F.col("split") == "val")
-    return models.train_binary(train, rounds=ROUNDS, depth=DEPTH)
-
-
-@lru_cache(maxsize=4)
-def _tier3(app: str, sf: str):
-    train = _parts(app, sf).where("split = 'train'")
-    return models.train_multiclass(train, rounds=3, depth=4, trees=10)
+    """Stored train / val / test rows."""
+    ratios = {"train": 0.8, "val": 0.1, "test": 0.1}
+    return keep(spark, f"parts {sf}", lambda: cut(
+        sampling.stratified_split(V.clean(spark, sf), "unified_label", "flow_id", ratios)))
 
 
 def _m1(spark, sf):
-    return _tier1(spark.sparkContext.applicationId, sf)
+    rows = _data(spark, sf).where("split <> 'test'").withColumn("is_val", F.col("split") == "val")
+    return keep(spark, f"tier1 {sf}", lambda: models.train_binary(rows, rounds=ROUNDS, depth=DEPTH))
 
 
 def _m3(spark, sf):
-    return _tier3(spark.sparkContext.applicationId, sf)
+    train = _data(spark, sf).where("split = 'train'")
+    return keep(spark, f"tier3 {sf}", lambda: models.train_multiclass(train, rounds=3, depth=4, trees=10))
 
 
 @query("train_binary")

@@ -6,8 +6,6 @@ row, so they grow with the tables.
 
 from __future__ import annotations
 
-from functools import lru_cache
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,7 +13,7 @@ from flowtide import schema as S
 from flowtide.operators.labels import clean_labels, drop_header_rows, drop_unmapped, map_label, with_label_key
 from flowtide.operators.windows import with_window_start
 from flowtide.plans.dataset import golden12
-from flowtide.session import scratch_path
+from flowtide.session import keep, scratch_path
 from flowtide.sources.dimension import label_dimension
 
 
@@ -60,22 +58,19 @@ def flows_of(events: DataFrame) -> DataFrame:
     return events.sparkSession.sql(_FLOWS.replace("{TS}", "TIMESTAMP_NTZ"), events=events)
 
 
-@lru_cache(maxsize=8)
-def _flow_folder(app: str, sf: str) -> str:
+def flow_folder(spark, sf) -> str:
     """Flows derived from ``events`` once per application and stored in time order.
 
     Stages hand over Parquet: later scans prune columns and push filters to
     stored features instead of recomputing the derivation inside each filter.
     """
-    spark = SparkSession.getActiveSession()
-    path = scratch_path(spark, "flows")
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    flows_of(table(spark, sf, "events")).repartitionByRange(n, "flow_id").write.parquet(path)
-    return path
+    def store():
+        path = scratch_path(spark, "flows")
+        n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        flows_of(table(spark, sf, "events")).repartitionByRange(n, "flow_id").write.parquet(path)
+        return path
 
-
-def flow_folder(spark, sf) -> str:
-    return _flow_folder(spark.sparkContext.applicationId, sf)
+    return keep(spark, f"flows {sf}", store)
 
 
 def flows(spark, sf) -> DataFrame:

@@ -14,7 +14,6 @@ is broadcast and the rows are scored where they are.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import product
 from math import factorial
 
 import numpy as np
@@ -26,6 +25,7 @@ from flowtide import schema as S
 from flowtide.session import scratch_path
 
 MAX_LEAVES = 500_000
+MAX_TABLE_BYTES = 256 * 1024 * 1024  # pattern tables a task keeps over all its batches
 
 
 def model_leaves(model, spark, path: str | None = None) -> list[tuple]:
@@ -68,31 +68,33 @@ def attribution_bias(leaves: list[tuple]) -> float:
 def _pattern_values(value: float, ratios: np.ndarray) -> np.ndarray:
     """Shapley values per 0/1 pattern (row = pattern, bit i = feature i)."""
     m = len(ratios)
+    codes = np.arange(1 << m)
+    o = ((codes[:, None] >> np.arange(m)) & 1).astype(float)
     table = np.zeros((1 << m, m))
-    if m == 0:
-        return table
-    weight = [factorial(s) * factorial(m - s - 1) / factorial(m) for s in range(m)]
-    for code, bits in enumerate(product((0.0, 1.0), repeat=m)):
-        o = np.array(bits[::-1])                     # bit i of code belongs to feature i
-        for i in range(m):
-            # sum over subsets of the other features, grouped by subset size
-            poly = np.array([1.0])
-            for j in range(m):
-                if j != i:
-                    poly = np.convolve(poly, [ratios[j], o[j]])
-            table[code, i] = value * (o[i] - ratios[i]) * sum(w * c for w, c in zip(weight, poly))
+    weight = np.array([factorial(s) * factorial(m - s - 1) / factorial(m) for s in range(m)])
+    for i in range(m):
+        # by_size[:, s]: sum over all subsets of s other features
+        by_size = np.zeros((1 << m, m))
+        by_size[:, 0] = 1.0
+        for j in range(m):
+            if j != i:
+                grown = by_size * ratios[j]
+                grown[:, 1:] += by_size[:, :-1] * o[:, j, None]
+                by_size = grown
+        table[:, i] = value * (o[:, i] - ratios[i]) * (by_size @ weight)
     return table
 
 
-def _attribute(x: np.ndarray, leaves: list[tuple]) -> np.ndarray:
+def _tables(leaves: list[tuple]):
+    return [(path, _pattern_values(value, np.array([p[3] for p in path]))) for value, path in leaves if path]
+
+
+def _attribute(x: np.ndarray, tables) -> np.ndarray:
     phi = np.zeros_like(x)
-    for value, path in leaves:
-        if not path:
-            continue
+    for path, table in tables:
         code = np.zeros(len(x), dtype=np.int64)
         for i, (f, low, high, _) in enumerate(path):
             code |= ((x[:, f] > low) & (x[:, f] <= high)).astype(np.int64) << i
-        table = _pattern_values(value, np.array([p[3] for p in path]))
         phi[:, [p[0] for p in path]] += table[code]
     return phi
 
@@ -102,12 +104,15 @@ def feature_attribution(model, df: DataFrame, row_id: str = "flow_id", features:
     """(id, feature, phi) per row and feature; the bias term is left out."""
     cols = features or S.GOLDEN12
     spark = df.sparkSession
-    shared = spark.sparkContext.broadcast(leaves or model_leaves(model, spark))
+    leaves = leaves or model_leaves(model, spark)
+    shared = spark.sparkContext.broadcast(leaves)
+    fits = sum(len(p) << len(p) for _, p in leaves) * 8 <= MAX_TABLE_BYTES
     id_type = dict(df.dtypes)[row_id]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = _tables(shared.value) if fits else None
         for b in batches:
-            phi = _attribute(b[cols].to_numpy(dtype=float), shared.value)
+            phi = _attribute(b[cols].to_numpy(dtype=float), held or _tables(shared.value))
             out = pd.DataFrame(phi, columns=[f"phi_{c}" for c in cols])
             out.insert(0, row_id, b[row_id].to_numpy())
             yield out

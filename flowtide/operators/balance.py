@@ -17,7 +17,7 @@ from flowtide.functions import hash_unit
 from flowtide.operators.neighbors import knn_lists
 from flowtide.operators.sampling import downsample_majority
 from flowtide.operators.setops import union_sources
-from flowtide.session import cut
+from flowtide.session import cut, small_table
 
 # Classes that get new rows are smaller than the target, so the target bounds
 # what one task holds.
@@ -28,7 +28,7 @@ def _small_classes(df: DataFrame, label: str, below: int) -> DataFrame:
     if below > MAX_TARGET:
         raise ValueError(f"target above {MAX_TARGET} rows per class")
     counts = df.groupBy(label).agg(F.count(F.lit(1)).alias("_n"))
-    return counts.where((F.col("_n") < below) & F.col(label).isNotNull())
+    return small_table(counts.where((F.col("_n") < below) & F.col(label).isNotNull()))
 
 
 def new_row_id(label: Column, kind: str, j: Column) -> Column:
@@ -71,7 +71,7 @@ def synthesize_minority(df: DataFrame, row_id: str, label: str = "unified_label"
     """
     cols = features or S.GOLDEN12
     small = _small_classes(df, label, min(threshold, target))
-    rows = df.select(row_id, label, *cols).join(F.broadcast(small), label)  # one row per class
+    rows = df.select(row_id, label, *cols).join(small, label)  # one row per class
     out = T.StructType([T.StructField(label, T.StringType()), T.StructField("_j", T.LongType()),
                         *[T.StructField(c, T.DoubleType()) for c in cols]])
 
@@ -100,7 +100,7 @@ def smote(df: DataFrame, row_id: str, label: str = "unified_label", features: li
     """
     cols = features or S.GOLDEN12
     small = _small_classes(df, label, target)
-    rows = df.select(row_id, label, *cols).join(F.broadcast(small), label)  # one row per class
+    rows = df.select(row_id, label, *cols).join(small, label)  # one row per class
     near = knn_lists(rows, cols, k, row_id, within=label)
     # fewer than ``target`` rows per class reach this window
     place = (F.row_number().over(Window.partitionBy(label).orderBy(row_id)) - 1).cast("bigint")

@@ -7,10 +7,7 @@ from pyspark.sql import functions as F
 
 from flowtide import schema as S
 from flowtide.functions import normalize_label
-
-# The map has about thirty rows; a map this long is no label map any more.
-MAX_DIMENSION_ROWS = 100_000
-
+from flowtide.session import BROADCAST_ROWS
 
 def with_label_key(df: DataFrame, raw: str = "raw_label") -> DataFrame:
     return df.withColumn("label_key", normalize_label(raw))
@@ -18,9 +15,7 @@ def with_label_key(df: DataFrame, raw: str = "raw_label") -> DataFrame:
 
 def bounded_dimension(dim: DataFrame) -> DataFrame:
     """Broadcast hint, given only after the dimension was counted."""
-    if dim.limit(MAX_DIMENSION_ROWS + 1).count() <= MAX_DIMENSION_ROWS:
-        return F.broadcast(dim)
-    return dim
+    return F.broadcast(dim) if dim.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else dim
 
 
 def map_label(df: DataFrame, dim: DataFrame) -> DataFrame:

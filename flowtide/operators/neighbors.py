@@ -28,6 +28,7 @@ from flowtide.session import cut
 
 BLOCK_POINTS = 1_000        # aimed-at points per block
 MAX_BLOCKS = 65_536         # bounds the box table (and the sample) that tasks receive
+MAX_BOXES = 4 * MAX_BLOCKS  # blocks of all groups together
 SAMPLE_PER_BLOCK = 16
 PROBES_PER_TASK = 5_000     # points that search one block in one task
 CELLS = 200_000             # distances computed at a time: stays in cache
@@ -150,7 +151,7 @@ def _probe(probes: DataFrame, points: DataFrame, k: int) -> DataFrame:
     """(q, s, d2): k nearest points of the named block for each probe (q, v, bound, block)."""
     crowd = probes.groupBy("block").agg(
         F.ceil(F.count(F.lit(1)) / F.lit(PROBES_PER_TASK)).cast("int").alias("parts"))
-    crowd = F.broadcast(crowd)  # at most MAX_BLOCKS rows per group value
+    crowd = F.broadcast(crowd)  # at most MAX_BOXES rows
     asked = probes.join(crowd, "block").withColumn("part", F.pmod(F.xxhash64("q"), F.col("parts")).cast("int"))
     held = points.select("block", F.col("point").alias("s"), F.col("v").alias("sv")).join(crowd, "block").withColumn(
         "part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
@@ -197,7 +198,9 @@ def _point_neighbors(points: DataFrame, queries: DataFrame | None, dims: int, k:
     box = pts.groupBy("g", "leaf").agg(
         F.array(*[F.min(F.col("v")[j]) for j in range(dims)]).alias("lo"),
         F.array(*[F.max(F.col("v")[j]) for j in range(dims)]).alias("hi"))
-    boxes = box.orderBy("g", "leaf").toPandas()      # groups x MAX_BLOCKS rows at most
+    boxes = box.orderBy("g", "leaf").limit(MAX_BOXES + 1).toPandas()
+    if len(boxes) > MAX_BOXES:
+        raise ValueError("too many groups for one call: split the table by group ranges")
     if not len(boxes):
         return spark.createDataFrame([], "q bigint, s bigint, d2 double")
     boxes["block"] = np.arange(len(boxes))

@@ -11,6 +11,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from flowtide.session import small_table
+
 ACCURACY = 20_000           # sketch: rank error below n / ACCURACY
 MARGIN = 4 / ACCURACY       # half width of a bracket, four times that error
 SMALL_GROUP = 100_000       # up to here the bracket is the whole group
@@ -39,15 +41,19 @@ def exact_quantiles(df: DataFrame, groups: list[str], value: str, probs: list[fl
 
     Interpolation is linear between the two neighbouring ranks.
     """
-    stats = _bounds(df, groups, value, probs)
+    stats = small_table(_bounds(df, groups, value, probs))
     rows = df.where(F.col(value).isNotNull()).select(*groups, F.col(value).alias("_v"))
     keyed = _attach(rows, stats.select(*groups, "_edges"), groups)
     # per wanted rank: rows below its bracket fold into one null key, rows
     # above are not needed, rows inside are counted per value
-    cells = F.transform(
-        F.filter("_edges", lambda e: F.col("_v") <= e["hi"]),
-        lambda e: F.struct(e["i"].alias("_i"), F.when(F.col("_v") >= e["lo"], F.col("_v")).alias("_x")))
-    counts = keyed.select(*groups, F.inline(cells)).groupBy(*groups, "_i", "_x").agg(F.count(F.lit(1)).alias("_c"))
+    def cell(i):
+        edge = F.col("_edges")[i]
+        return F.when(F.col("_v") <= edge["hi"], F.struct(
+            F.lit(i).alias("_i"), F.when(F.col("_v") >= edge["lo"], F.col("_v")).alias("_x")))
+
+    cells = keyed.select(*groups, F.explode(F.array(*[cell(i) for i in range(len(probs))])).alias("_e"))
+    counts = cells.where(F.col("_e").isNotNull()).groupBy(
+        *groups, F.col("_e._i").alias("_i"), F.col("_e._x").alias("_x")).agg(F.count(F.lit(1)).alias("_c"))
     upto = Window.partitionBy(*groups, "_i").orderBy(F.col("_x").asc_nulls_first()).rowsBetween(
         Window.unboundedPreceding, Window.currentRow)
     ranked = counts.withColumn("_upto", F.sum("_c").over(upto))

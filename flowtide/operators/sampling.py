@@ -15,7 +15,7 @@ from pyspark.sql.window import Window
 
 from flowtide import schema as S
 from flowtide.functions import hash_key, hash_unit
-from flowtide.session import BROADCAST_ROWS
+from flowtide.session import small_table
 
 PREFIX_HEX = 4  # 65,536 prefixes
 
@@ -45,7 +45,7 @@ def hash_cuts(df: DataFrame, row_id: str, seed: int, parts_per_mille: list[int]
     edges = hist.select(*group, "_p", "_n", "_upto", at).where(
         (F.col("_rank") > before) & (F.col("_rank") <= F.col("_upto"))
     ).select(*group, "_p", "_cut", (F.col("_rank") - before).alias("_need"))
-    edges = _small(edges)
+    edges = small_table(edges)
     same = keyed["_p"] == edges["_p"]
     if by:
         same = same & keyed[by].eqNullSafe(edges[by])
@@ -55,14 +55,6 @@ def hash_cuts(df: DataFrame, row_id: str, seed: int, parts_per_mille: list[int]
         *group, F.col("_cut").alias("cut"), F.col("_h").alias("cut_hash"), F.col("_id").alias("cut_id"))
 
 
-def _small(df: DataFrame) -> DataFrame:
-    """Hand a result of few rows back as a local table, so that its size is known to the planner."""
-    head = df.limit(BROADCAST_ROWS + 1).collect()
-    if len(head) > BROADCAST_ROWS:
-        return df
-    return F.broadcast(df.sparkSession.createDataFrame(head, df.schema))
-
-
 def _not_after(h, i, ch, ci):
     return (h < ch) | ((h == ch) & (i <= ci))
 
@@ -80,7 +72,7 @@ def stratified_split(df: DataFrame, label: str, row_id: str, ratios: dict[str, f
     wide = cuts.groupBy(label).agg(F.map_from_entries(F.collect_list(F.struct(
         "cut", F.struct("cut_hash", "cut_id")))).alias("_cuts")).withColumnRenamed(label, "_label")
     keyed = df.withColumn("_h", hash_key(row_id, seed))
-    joined = keyed.join(_small(wide), keyed[label].eqNullSafe(F.col("_label")), "left")
+    joined = keyed.join(small_table(wide), keyed[label].eqNullSafe(F.col("_label")), "left")
     split = None
     for i, n in enumerate(names[:-1]):
         cut = F.try_element_at("_cuts", F.lit(i))

@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.functions import broadcast
 
 # A side is broadcast by hand only after it was counted and found below this.
 BROADCAST_ROWS = 200_000
@@ -61,6 +62,30 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/flowtide-{uuid.uuid4().hex}/{name}"
 
 
+def small_table(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
+    """An aggregate that is expected to be small, evaluated once.
+
+    Up to ``limit`` rows it comes back as a local table to broadcast, so that
+    joining it moves no row of the large side.  A larger one is stored and
+    joined by shuffle, where adaptive execution splits skewed keys.
+    """
+    head = df.limit(limit + 1).collect()
+    if len(head) > limit:
+        return cut(df)
+    return broadcast(df.sparkSession.createDataFrame(head, df.schema))
+
+
+_kept: dict[tuple, object] = {}
+
+
+def keep(spark: SparkSession, name: str, make):
+    """The value of ``make()``, made once per application."""
+    key = (spark.sparkContext.applicationId, name)
+    if key not in _kept:
+        _kept[key] = make()
+    return _kept[key]
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Store ``df`` in the shared folder and continue from the stored copy.
 

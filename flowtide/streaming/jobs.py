@@ -44,10 +44,9 @@ def stream_tier2_windows(flows: DataFrame, ts: str = "ts", width: str = "5 minut
                          label: str = "unified_label") -> DataFrame:
     """Streaming twin of ``tier2_windows``: a window is emitted once the watermark has passed it.
 
-    Chained aggregates: counts per (window, source, port, protocol) first,
-    then the vector per (window, source).  State holds counts and sums, never
-    flows.  The port and protocol entropies need marginal counts, which come
-    from maps of at most 65,536 ports and 256 protocols per window and source.
+    Chained aggregates: counts per (window, source, port, protocol), then per
+    port and per protocol, then the vector per (window, source).  State holds
+    counts and sums, never flows.
     """
     fine = _timed(flows, ts, delay).groupBy(F.window(ts, width).alias("w"), "src_ip", "dst_port", "protocol").agg(
         F.count(F.lit(1)).alias("n"), *[F.sum(c).alias(f"s_{c}") for c in S.GOLDEN12],
