@@ -392,7 +392,8 @@ def _scale_time_units(spark, sf):
     return FL.scale_time_units(V.flows(spark, sf)).select("flow_id", *S.TIME_COLUMNS)
 
 
-@query("parse_timestamps", """SELECT flow_id, date_trunc('second', ts) AS ts FROM flows WHERE flow_id % 50 <> 0""", ("flows",))
+@query("parse_timestamps", """SELECT * FROM (SELECT flow_id, try_strptime(CASE WHEN flow_id % 50 = 0 THEN 'not a time'
+    ELSE strftime(ts, '%d/%m/%Y %H:%M:%S') END, '%d/%m/%Y %H:%M:%S') AS ts FROM flows) WHERE ts IS NOT NULL""", ("flows",))
 def _parse_timestamps(spark, sf):
     text = F.when(F.col("flow_id") % 50 == 0, "not a time").otherwise(F.date_format("ts", "dd/MM/yyyy HH:mm:ss"))
     raw = V.flows(spark, sf).select("flow_id", text.alias("ts"))

@@ -87,10 +87,12 @@ def keep(spark: SparkSession, name: str, make):
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Store ``df`` in the shared folder and continue from the stored copy.
+    """Store ``df`` as Parquet in the shared folder and continue from the stored copy.
 
-    The result survives lost executors, and columns that depend on the
-    physical placement of rows (partition numbers) become plain data.
+    The result survives lost executors, later steps read only the columns they
+    need, and columns that depend on the physical placement of rows (partition
+    numbers) become plain data.
     """
-    shared_dir(df.sparkSession)
-    return df.checkpoint()
+    path = scratch_path(df.sparkSession, "cut")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
