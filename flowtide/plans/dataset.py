@@ -2,13 +2,43 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from flowtide import schema as S
 from flowtide.operators.balance import balance_dataset
 from flowtide.operators.features import drop_incomplete, rates_inf_to_null, select_golden12
 from flowtide.operators.labels import clean_labels
+from flowtide.operators.quality import file_headers
 from flowtide.operators.sampling import stratified_split
+from flowtide.operators.setops import union_sources
+from flowtide.sources.flows import add_lineage, canonical_columns, scan_flow_csv, to_engine_names
+
+
+def read_raw_year(spark: SparkSession, path: str, year: int) -> list[DataFrame]:
+    """One table per header layout found in a folder, read with that layout's own schema."""
+    heads = file_headers(spark, path)
+    layouts = heads.groupBy("columns").agg(F.collect_list("file_name").alias("files")).collect()  # one entry per file
+    out = []
+    for layout in sorted(layouts, key=lambda r: r["columns"]):
+        names = []
+        for c in layout["columns"]:
+            names.append(c if c not in names else f"{c}.1")  # a header may repeat a name
+        files = [f"{path.rstrip('/')}/{f}" for f in sorted(layout["files"])]
+        out.append(scan_flow_csv(spark, files, S.long_layout(names), S.ENCODINGS[year]))
+    return out
+
+
+def merge_raw(spark: SparkSession, folders: dict[int, str], dim: DataFrame) -> DataFrame:
+    """All raw files of all years in one column layout, labelled; unknown labels and header rows dropped."""
+    parts = [add_lineage(canonical_columns(t, short_layout=year == 2018), year)
+             for year, path in folders.items() for t in read_raw_year(spark, path, year)]
+    return clean_labels(union_sources(*parts), dim, raw="Label").drop("label_key")
+
+
+def select_merged(merged: DataFrame) -> DataFrame:
+    """The twelve features of a merged table in engine spelling, incomplete rows dropped."""
+    return drop_incomplete(rates_inf_to_null(select_golden12(to_engine_names(merged))))
 
 
 def golden12(raw: DataFrame, dim: DataFrame, keep: list[str] | None = None) -> DataFrame:

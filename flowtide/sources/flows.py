@@ -9,26 +9,29 @@ from pyspark.sql import types as T
 from flowtide import schema as S
 from flowtide.functions import micros, parse_timestamp
 
-_BAD = "_corrupt_record"
+_SURPLUS, _UNREAD = "_surplus", "_unread"
 
 
-def scan_flow_csv(spark: SparkSession, path: str, schema: T.StructType, encoding: str = "UTF-8") -> DataFrame:
-    """Read every CSV of a folder with a declared schema.
+def scan_flow_csv(spark: SparkSession, path: str | list[str], schema: T.StructType, encoding: str = "UTF-8") -> DataFrame:
+    """Read every CSV of a folder (or the named files) with a declared schema.
 
     Rows with too many fields are dropped, short rows are kept and padded
     with nulls.  ``file_name`` tells where a row came from.
+
+    One spare column catches the surplus field of a long row, whatever columns
+    a query needs; the corrupt-record column of the reader would miss long
+    rows once columns are pruned.  The second spare is never read and keeps
+    the parser on its select-by-position path, where short rows are no errors.
     """
-    full = T.StructType([*schema.fields, T.StructField(_BAD, T.StringType(), True)])
+    spare = [T.StructField(_SURPLUS, T.StringType(), True), T.StructField(_UNREAD, T.StringType(), True)]
     raw = (
-        spark.read.schema(full)
+        spark.read.schema(T.StructType([*schema.fields, *spare]))
         .option("header", True).option("encoding", encoding).option("mode", "PERMISSIVE")
-        .option("columnNameOfCorruptRecord", _BAD)
         .option("pathGlobFilter", "*.csv")
         .csv(path)
     )
-    fields = F.size(F.split(F.regexp_replace(_BAD, r'"[^"]*"', "q"), ",", -1))
-    keep = F.col(_BAD).isNull() | (fields <= len(schema.fields))
-    return raw.where(keep).select(*schema.names, F.col("_metadata.file_name").alias("file_name"))
+    named = [F.col(f"`{c}`") for c in schema.names]  # names may hold dots and slashes
+    return raw.where(F.col(_SURPLUS).isNull()).select(*named, F.col("_metadata.file_name").alias("file_name"))
 
 
 def canonical_columns(df: DataFrame, short_layout: bool) -> DataFrame:
@@ -53,6 +56,19 @@ def canonical_columns(df: DataFrame, short_layout: bool) -> DataFrame:
     return plain.select(*picked)
 
 
+def flows_with_source(df: DataFrame) -> DataFrame:
+    """Short-layout rows with source and time, as the window operators take them.
+
+    Times are day-first; rows whose time does not parse are dropped.
+    """
+    long = {S.SHORT_TO_LONG.get(c.strip(), c.strip()): c for c in df.columns}
+    names = {"Src IP": "src_ip", "Timestamp": "ts", "Destination Port": "dst_port", "Protocol": "protocol",
+             "Label": "raw_label", **dict(zip(S.GOLDEN12_LONG, S.GOLDEN12))}
+    out = df.select(*[F.col(f"`{long[k]}`").alias(v) for k, v in names.items()])
+    out = out.withColumns({"dst_port": F.col("dst_port").cast("int"), "protocol": F.col("protocol").cast("int")})
+    return add_lineage(parse_timestamps(out, "ts"), 2018)
+
+
 def add_lineage(df: DataFrame, year: int | None = None, origin: str | None = None) -> DataFrame:
     if year is not None:
         df = df.withColumn("source_year", F.lit(year).cast("int"))

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from flowtide import schema as S
 from flowtide.plans import dataset, live
+from flowtide.sources import flows as FL
 from flowtide.sources.dimension import label_dimension
 
 
@@ -48,3 +49,31 @@ def test_live_units(spark):
     a, b = live.prepare_live(df).where("flow_id = 1").first(), live.prepare_live(df, seconds=False).where("flow_id = 1").first()
     assert a["flow_duration"] == b["flow_duration"] * 1e6 and a["flow_bytes_s"] == b["flow_bytes_s"]
     assert live.prepare_live(df).where(F.col("flow_id") == 4).first()["flow_iat_mean"] == 0.0
+
+
+def test_raw_folders_of_both_years(spark, tmp_path):
+    """Mixed layouts, broken dashes, repeated header lines, a long row and a zero-duration flow."""
+    a, b = tmp_path / "y17", tmp_path / "y18"
+    a.mkdir()
+    b.mkdir()
+    shared = ["Flow Duration", "Fwd PSH Flags", "Flow IAT Mean", "Fwd IAT Max", "Bwd IAT Min"]
+    short = [c for c in S.SHORT_TO_LONG]
+    n = len(shared) + len(short)
+    head17 = [" " + c for c in shared + [S.SHORT_TO_LONG[c] for c in short]]
+    dup = head17 + [" Fwd Header Length", " Label"]
+    (a / "one.csv").write_bytes((",".join(dup) + "\n" + ",".join(["1"] * (n + 1)) + ",Web Attack \xef\xbf\xbd XSS\n"
+                                 + ",".join(["2"] * (n + 1)) + ",BENIGN,extra\n").encode("latin1"))
+    head18 = shared + short + ["Protocol", "Timestamp", "Label"]
+    rates = ["Infinity" if c in ("Flow Pkts/s", "Flow Byts/s") else "0" for c in shared + short]
+    (b / "p.csv").write_text(",".join(head18) + "\n" + ",".join(["3"] * n) + ",6,20/02/2018 08:00:00,Benign\n" + ",".join(head18) + "\n"
+                             + ",".join(rates) + ",6,20/02/2018 08:00:00,Benign\n")
+    extra = ["Flow ID", "Src IP", "Src Port", "Dst IP"] + head18
+    (b / "q.csv").write_text(",".join(extra) + "\nid,10.0.0.1,4,10.0.0.2," + ",".join(["5"] * n) + ",17,20/02/2018 08:34:07,DoS attacks-Hulk\n")
+    merged = dataset.merge_raw(spark, {2017: str(a), 2018: str(b)}, label_dimension(spark))
+    got = {(r["source_year"], r["file_name"], r["unified_label"], r["Flow Duration"]) for r in merged.collect()}
+    assert got == {(2017, "one.csv", "WEB_ATTACK", 1.0), (2018, "p.csv", "BENIGN", 3.0), (2018, "p.csv", "BENIGN", 0.0), (2018, "q.csv", "DoS_DDoS", 5.0)}
+    assert "Protocol" not in merged.columns and "Src IP" not in merged.columns
+    assert sorted(r["flow_duration"] for r in dataset.select_merged(merged).collect()) == [1.0, 3.0, 5.0]
+    withip = [t for t in dataset.read_raw_year(spark, str(b), 2018) if "Src IP" in t.columns][0]
+    flow = FL.flows_with_source(withip).first()
+    assert (flow["src_ip"], flow["dst_port"], flow["protocol"], str(flow["ts"])) == ("10.0.0.1", 5, 17, "2018-02-20 08:34:07")

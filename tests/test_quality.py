@@ -79,6 +79,16 @@ def test_csv_scan_short_and_long_rows(spark, tmp_path):
     assert got == {(1, 2.0, "a", "b.csv"), (3, 4.0, None, "b.csv"), (7, 8.0, "q,r", "b.csv"), (9, float("inf"), "ï¿½", "a.csv")}
 
 
+def test_long_rows_are_dropped_whatever_columns_are_read(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("x,y,z\n1,2,3\n4,5,6,7\n8,9\n1,2,3,4,5,6\nx,y,z\n")
+    schema = T.StructType([T.StructField(c, T.DoubleType()) for c in "xyz"])
+    df = FL.scan_flow_csv(spark, str(tmp_path), schema)
+    assert df.count() == 3
+    assert [r["x"] for r in df.select("x").collect()] == [1.0, 8.0, None]
+    assert [r["z"] for r in df.select("z").collect()] == [3.0, None, None]
+    assert [r["y"] for r in df.where("x > 1").select("y").collect()] == [9.0]
+
+
 def test_files_encoding_and_headers(spark, tmp_path):
     (tmp_path / "a.csv").write_bytes(b"x,y,z\n1,2,3\n")
     (tmp_path / "b.csv").write_bytes(b"x, y,w\n1,2,\xe9\n4,5,6\n")
