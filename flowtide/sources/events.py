@@ -4,9 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from flowtide import schema as S
 
+_BROKEN = "_broken"
+
 
 def read_ids_events(spark: SparkSession, path: str, streaming: bool = False,
                     files_per_trigger: int = 1) -> DataFrame:
@@ -20,7 +23,7 @@ def read_ids_events(spark: SparkSession, path: str, streaming: bool = False,
 def parse_ids_events(lines: DataFrame, column: str = "value") -> DataFrame:
     """Keep lines that hold a JSON object; the rest is skipped."""
     return _parsed(lines, column).where(~F.col("_bad")).select(
-        *[c for c in lines.columns if c != column], F.col("event.*"))
+        *[c for c in lines.columns if c != column], *[F.col(f"event.{c}") for c in S.IDS_EVENT.names])
 
 
 def ids_line_counts(lines: DataFrame, column: str = "value") -> DataFrame:
@@ -35,10 +38,13 @@ def ids_line_counts(lines: DataFrame, column: str = "value") -> DataFrame:
 
 
 def _parsed(lines: DataFrame, column: str) -> DataFrame:
-    # is-it-JSON is asked of the raw text: from_json alone would turn a broken
-    # line into a struct of nulls
-    good = F.coalesce(F.get_json_object(column, "$").startswith("{"), F.lit(False))
-    return lines.withColumn("_bad", ~good).withColumn("event", F.from_json(column, S.IDS_EVENT))
+    # PERMISSIVE parsing returns a struct of nulls for a broken line and keeps
+    # its text in the extra field; blank lines and non-objects give null
+    schema = T.StructType([*S.IDS_EVENT.fields, T.StructField(_BROKEN, T.StringType(), True)])
+    event = F.from_json(column, schema, {"columnNameOfCorruptRecord": _BROKEN, "allowSingleQuotes": "false"})
+    whole = F.endswith(F.rtrim(F.col(column)), F.lit("}"))
+    bad = F.col("event").isNull() | F.col(f"event.{_BROKEN}").isNotNull() | ~F.coalesce(whole, F.lit(False))
+    return lines.withColumn("event", event).withColumn("_bad", bad)
 
 
 def filter_event_types(events: DataFrame) -> DataFrame:

@@ -16,7 +16,7 @@ LINES = [
     json.dumps({"event_type": "alert"}),
     json.dumps({"event_type": "netflow", "flow": {"age": 0, "pkts_toserver": 0, "pkts_toclient": 0}, "src_ip": None}),
     json.dumps({"event_type": "dns"}),
-    "", "   ", "{broken", "[1, 2]", "null",
+    "", "   ", "{broken", "[1, 2]", "null", '{"event_type": "flow"} tail', "{'event_type': 'flow'}", '{"event_type": "flow",}',
 ]
 
 
@@ -29,7 +29,7 @@ def test_lines(spark):
     lines = spark.createDataFrame([(x,) for x in LINES], "value string")
     assert events(spark).count() == 4
     assert E.filter_event_types(events(spark)).count() == 3
-    assert tuple(E.ids_line_counts(lines).first()) == (9, 2, 3, 4)
+    assert tuple(E.ids_line_counts(lines).first()) == (12, 2, 6, 4)
 
 
 def test_features_and_defaults(spark):
