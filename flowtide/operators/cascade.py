@@ -34,8 +34,9 @@ def score_cascade(df: DataFrame, tier1, tier3, threshold: float = 0.5) -> DataFr
     """
     first = score_binary(tier1, df)
     empty = F.array().cast("array<double>")
-    hits = first.where(F.col("p1") > threshold).withColumn("probs", empty)
-    rest = score_multiclass(tier3, first.where(~(F.col("p1") > threshold)))
+    hit = F.coalesce(F.col("p1") > threshold, F.lit(False))
+    hits = first.where(hit).withColumn("probs", empty)
+    rest = score_multiclass(tier3, first.where(~hit))
     return cascade_decide(hits.unionByName(rest), threshold=threshold)
 
 

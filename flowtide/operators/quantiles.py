@@ -7,6 +7,8 @@ counting pass keeps only the values inside the brackets.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -73,11 +75,18 @@ def exact_quantiles(df: DataFrame, groups: list[str], value: str, probs: list[fl
     q = picked.select(*groups, "_i", safe.alias("_y")).groupBy(*groups).agg(
         F.transform(F.array_sort(F.collect_list(F.struct("_i", "_y"))), lambda s: s["_y"]).alias("q"))
     base = stats.drop("_edges")
-    return base.join(q, groups) if groups else base.withColumn("q", q.scalar())
+    return _on_groups(q, base, groups) if groups else base.withColumn("q", q.scalar())
 
 
 def _attach(rows: DataFrame, small: DataFrame, groups: list[str]) -> DataFrame:
     """Group-level values onto rows; the ungrouped case needs no join."""
     if groups:
-        return rows.join(small, groups)
+        return _on_groups(rows, small, groups)
     return rows.withColumn("_edges", small.select("_edges").scalar())
+
+
+def _on_groups(rows: DataFrame, small: DataFrame, groups: list[str]) -> DataFrame:
+    """Inner join that keeps a null group."""
+    other = small.withColumnsRenamed({g: f"_of_{g}" for g in groups})
+    same = reduce(lambda a, b: a & b, [F.col(g).eqNullSafe(F.col(f"_of_{g}")) for g in groups])
+    return rows.join(other, same).drop(*[f"_of_{g}" for g in groups])

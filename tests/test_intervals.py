@@ -3,7 +3,6 @@ from datetime import datetime, timedelta
 import numpy as np
 import pandas as pd
 import pytest
-from pyspark.sql import functions as F
 
 from flowtide.operators import intervals, packets, quality
 from flowtide.operators.intervals import label_by_interval, winner_segments

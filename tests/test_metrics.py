@@ -87,6 +87,12 @@ def test_exact_quantiles_match_numpy(spark, monkeypatch, small):
     assert np.allclose(alone["q"], np.quantile(data["hot"], probs), atol=1e-12)
 
 
+def test_quantiles_keep_a_null_group(spark):
+    df = spark.createDataFrame([(None, 1.0), (None, 3.0), ("a", 2.0), ("a", None)], "g string, v double")
+    got = {r["g"]: (r["n"], r["q"]) for r in quantiles.exact_quantiles(df, ["g"], "v", [0.5]).collect()}
+    assert got == {None: (2, [2.0]), "a": (1, [2.0])}
+
+
 def test_latency_target_is_strict(spark):
     s = spark.createDataFrame([("t", "total_ms", 0.5, 0.4)], "tier string, stage string, mean double, p95 double")
     r = evaluate.latency_target(s, 0.5).first()

@@ -4,7 +4,6 @@ from pyspark.sql import types as T
 
 from flowtide import schema as S
 from flowtide.operators import evaluate, features, quality, setops
-from flowtide.session import scratch_path
 from flowtide.sources import flows as FL
 from flowtide.sources.sinks import split_manifest
 

@@ -1,6 +1,5 @@
 from datetime import datetime, timedelta
 
-import pytest
 from pyspark.sql import functions as F
 
 from flowtide import schema as S

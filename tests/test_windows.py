@@ -2,7 +2,6 @@ import math
 from datetime import datetime, timedelta
 
 import numpy as np
-from pyspark.sql import functions as F
 
 from flowtide import schema as S
 from flowtide.operators import windows
