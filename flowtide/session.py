@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+import shutil
 import tempfile
 import uuid
 
@@ -37,6 +39,23 @@ def build_session(app: str = "flowtide", master: str | None = None, partitions:
     return b.getOrCreate()
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Send this package's source to the workers, once per application.
+
+    Python functions then load there from wherever the driver was started.
+    """
+
+    def send():
+        root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+        name = os.path.basename(os.path.dirname(os.path.abspath(__file__)))
+        staged = tempfile.mkdtemp(prefix=f"{name}-ship-")
+        shutil.copytree(os.path.join(root, name), os.path.join(staged, "src", name), ignore=shutil.ignore_patterns("__pycache__"))
+        spark.sparkContext.addPyFile(shutil.make_archive(os.path.join(staged, name), "zip", os.path.join(staged, "src")))
+        return True
+
+    keep(spark, "shipped package", send)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """Folder every executor can reach: the session's checkpoint folder.
 
