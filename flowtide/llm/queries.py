@@ -4,17 +4,34 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from flowtide.llm import chunk_bpe, packing, token_counts
+from flowtide.llm import chunk_bpe, classifier, html_text, license_scan, near_dedup, packing, robust_outliers, token_counts, topk_search
 
 
 def _docs(spark: SparkSession, sf: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/documents.parquet")
 
 
+def op1_near_dedup(spark, sf):
+    return near_dedup.components(_docs(spark, sf), words=4)
+
+
+def op2_license_scan(spark, sf):
+    return license_scan.scan(_docs(spark, sf))
+
+
+def op3_robust_outliers(spark, sf):
+    return robust_outliers.judge(_docs(spark, sf))
+
+
 def op4_best_fit_packing(spark, sf):
     return packing.pack(_docs(spark, sf))
 
 
+def op5_quality_classifier(spark, sf):
+    docs = _docs(spark, sf)
+    return classifier.score(docs, classifier.fit(docs, spark.read.parquet(f"{sf}/labels.parquet")))
+
+
 def op6_token_counts(spark, sf):
     return token_counts.token_counts(_docs(spark, sf))
 
@@ -24,5 +41,46 @@ def op7_chunk_bpe(spark, sf):
     return chunk_bpe.by_document(docs, chunk_bpe.encoded_texts(docs, digests=True))
 
 
-QUERIES = {f.__name__: f for f in (op4_best_fit_packing, op6_token_counts, op7_chunk_bpe)}
-ORACLES: dict[str, str] = {}
+def op9_topk_search(spark, sf):
+    vectors = topk_search.integer_vectors(spark.read.parquet(f"{sf}/embeddings.parquet"))
+    return topk_search.top_k(vectors, vectors.filter("vec_id % 50 = 0"), 5)
+
+
+def op10_html_text(spark, sf):
+    return html_text.extract(spark.read.parquet(f"{sf}/pages.parquet"))
+
+
+QUERIES = {f.__name__: f for f in (
+    op1_near_dedup, op2_license_scan, op3_robust_outliers, op4_best_fit_packing, op5_quality_classifier, op6_token_counts, op7_chunk_bpe, op9_topk_search, op10_html_text)}
+ORACLES = {
+    "op1_near_dedup": r"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+), sets AS (
+  SELECT doc_id, list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')]
+    ELSE list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' ')) END) AS s FROM words
+), items AS (
+  SELECT doc_id, unnest(s) AS x FROM sets
+), pairs AS (
+  SELECT p.doc_id AS a, q.doc_id AS b, count(*) AS common FROM items p JOIN items q ON p.x = q.x AND p.doc_id <> q.doc_id GROUP BY ALL
+), links AS (
+  SELECT a, b FROM pairs JOIN sets p ON p.doc_id = a JOIN sets q ON q.doc_id = b WHERE 100 * common >= 80 * (len(p.s) + len(q.s) - common)
+), reach AS (
+  SELECT doc_id, doc_id AS seen FROM sets UNION SELECT reach.doc_id, b FROM reach JOIN links ON seen = a
+)
+SELECT sets.doc_id, CAST(len(s) AS BIGINT) AS n_shingles, c.component_id, sets.doc_id = c.component_id AS kept
+FROM sets JOIN (SELECT doc_id, min(seen) AS component_id FROM reach GROUP BY doc_id) c ON c.doc_id = sets.doc_id
+""",
+    "op9_topk_search": """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND vec_id IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), scored AS (
+  SELECT q.vec_id AS query_id, c.vec_id, CAST(coalesce(list_sum(list_transform(list_zip(q.e, c.e), lambda z: z[1] * z[2])), 0) AS BIGINT) AS score
+  FROM v q JOIN v c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id AND len(q.e) = len(c.e)
+), ranked AS (
+  SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM scored
+)
+SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5
+""",
+}
