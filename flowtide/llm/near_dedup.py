@@ -10,11 +10,11 @@ four times, once for every place the error may take.
 
 Equal sets collapse to one node first.  In a bucket of the index every node is
 compared with the smallest one only, which joins groups of near copies without
-expanding them into pairs.  Buckets that still hold several components give, in
-two more rounds, the closest pairs and then all remaining pairs between
-different components; large ones are cut into block pairs.  No bucket is capped
-and no pair under the distance is lost.  Every link is confirmed on the full
-sets; only pairs inside one component are never looked at.
+expanding them into pairs.  Buckets that still hold several components, cut into
+block pairs where they are large, then compare members of different components
+inside the tasks; only links come out.  No bucket is capped and no pair under
+the distance is lost.  Every link is confirmed on the full sets; only pairs
+inside one component are never looked at.
 
 Defined results: words are parted by ASCII white space, A-Z is lower-cased; a
 text shorter than a shingle has its whole sequence as one; a text without words
@@ -40,7 +40,7 @@ from flowtide.session import cut
 SYMBOLS = 64
 CHUNK = 4
 DISTANCE = SYMBOLS // CHUNK * 2 - 1
-BLOCK = 2048
+BLOCK = 1024
 _A = np.random.default_rng(5).integers(1, 1 << 63, SYMBOLS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -158,63 +158,126 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, words: int) -> DataFrame:
     return map_rows(with_b.join(texts.toDF("a", "za"), "a").select("a", "b", "za", "zb"), "a long, b long", _Confirm(words))
 
 
-def _between(closest: bool):
-    """Pairs of different components in each group of sorted (key, i, j, blk, node, n, comp, sig) rows."""
-
-    def pairs_of(t):
-        node, size, comp, blk = (np.array([r[k] for r in t]) for k in (4, 5, 6, 3))
-        sig = np.frombuffer(b"".join(r[7] for r in t), dtype="<u2").reshape(-1, SYMBOLS)
-        one_block = t[0][1] == t[0][2]
-        out = set()
-        for r in range(len(t) - 1):
+def _groups(rows, width=3):
+    """Consecutive rows of equal first ``width`` fields."""
+    held, key = [], None
+    for row in rows:
+        if row[:width] != key:
+            if held:
+                yield held
+            held, key = [], row[:width]
+        held.append(row)
+    if held:
+        yield held
+
+
+class _Group:
+    """One block pair of a bucket: (key, i, j, blk, node, n, comp, sig[, z]) rows, smallest components first."""
+
+    def __init__(self, rows):
+        comp = np.array([r[6] for r in rows])
+        _, inverse, counts = np.unique(comp, return_inverse=True, return_counts=True)
+        order = np.lexsort((comp, counts[inverse]))
+        self.rows = [rows[i] for i in order]
+        self.comp = comp[order]
+        self.node, self.size, self.blk = (np.array([r[k] for r in self.rows]) for k in (4, 5, 3))
+        self.sig = np.frombuffer(b"".join(r[7] for r in self.rows), dtype="<u2").reshape(-1, SYMBOLS)
+        self.slot, self.one_block = rows[0][0] >> 48, rows[0][1] == rows[0][2]
+
+    def pairs(self):
+        """(row, partners): each pair of different components once, in the first bucket that it shares."""
+        for r in range(len(self.node) - 1):
+            if self.comp[r] == self.comp[-1]:
+                return
             rest = slice(r + 1, None)
-            ok = (comp[rest] != comp[r]) & _sizes_fit(size[rest], size[r])
-            if not one_block:
-                ok &= blk[rest] != blk[r]
+            ok = (self.comp[rest] != self.comp[r]) & _sizes_fit(self.size[rest], self.size[r])
+            if not self.one_block:
+                ok &= self.blk[rest] != self.blk[r]
             at = np.flatnonzero(ok) + r + 1
             if not len(at):
                 continue
-            d = (sig[at] != sig[r]).sum(axis=1)
-            at, d = at[d <= DISTANCE], d[d <= DISTANCE]
-            if closest and len(at):
-                order = np.lexsort((node[at], d, comp[at]))
-                at = at[order]
-                at = at[np.r_[True, comp[at][1:] != comp[at][:-1]]]
-            for x in at:
-                a, b = sorted((int(node[r]), int(node[x])))
-                out.add((a, b))
-        return out
-
-    def run(rows):
-        held, key = [], None
-        for row in rows:
-            if row[:3] != key:
-                if len(held) > 1:
-                    yield from pairs_of(held)
-                held, key = [], row[:3]
-            held.append(row)
-        if len(held) > 1:
-            yield from pairs_of(held)
-
-    return run
-
-
-def _rest_pairs(entries: DataFrame, nodes: DataFrame, comps: DataFrame, closest: bool) -> DataFrame:
-    """Pairs between different components that share a bucket, from buckets cut into block pairs."""
+            same = self.sig[at] == self.sig[r]
+            by_chunk = same.reshape(len(at), -1, CHUNK)
+            chunk = (by_chunk.sum(axis=2) >= CHUNK - 1).argmax(axis=1)
+            part = by_chunk[np.arange(len(at)), chunk]
+            first = chunk * CHUNK + np.where(part.all(axis=1), 0, (~part).argmax(axis=1))
+            at = at[(first == self.slot) & (SYMBOLS - same.sum(axis=1) <= DISTANCE)]
+            if len(at):
+                yield r, at
+
+
+def _needed(rows):
+    """The rows of each group that some pair needs."""
+    for held in _groups(rows):
+        g, need = _Group(held), set()
+        for r, at in g.pairs():
+            need.add(r)
+            need.update(at.tolist())
+        yield from (g.rows[r][:5] for r in need)
+
+
+class _Cross:
+    """Links between components, by exact intersections of one row's set with the group's."""
+
+    def __init__(self, words):
+        self.words = words
+
+    def __call__(self, rows):
+        open_ = zstandard.ZstdDecompressor()
+        for held in _groups(rows):
+            if len(held) < 2:
+                continue
+            g = _Group(held)
+            sets = [shingle_set(open_.decompress(r[8]).decode(), self.words) for r in g.rows]
+            ends = np.cumsum([len(x) for x in sets])
+            starts = ends - [len(x) for x in sets]
+            hashes, places = np.unique(np.concatenate(sets), return_inverse=True)
+            marked = np.zeros(len(hashes), dtype=np.int32)
+            root = {c: c for c in set(g.comp.tolist())}
+
+            def find(c):
+                while root[c] != c:
+                    root[c] = c = root[root[c]]
+                return c
+
+            for r, at in g.pairs():
+                mine = places[starts[r] : ends[r]]
+                marked[mine] = 1
+                common = np.add.reduceat(marked[places], starts)[at]
+                marked[mine] = 0
+                for x in at[100 * common >= 80 * (len(sets[r]) + (ends - starts)[at] - common)]:
+                    a, b = find(int(g.comp[r])), find(int(g.comp[x]))
+                    if a != b:
+                        root[max(a, b)] = min(a, b)
+                        yield int(g.node[r]), int(g.node[x])
+
+
+def _cross_links(entries: DataFrame, nodes: DataFrame, comps: DataFrame, texts: DataFrame, words: int) -> DataFrame:
+    """Links that join components sharing a bucket.
+
+    Buckets are cut into block pairs.  A first pass over signatures names the
+    rows that have a pair to look at; only their texts move, and only links
+    between parts not yet joined come out.
+    """
     own = comps.toDF("c_node", "c_label")
     labelled = nodes.select("node", "n", "sig").join(own, F.col("node") == F.col("c_node"), "left").select(
-        "node", "n", "sig", F.coalesce("c_label", "node").alias("comp"))
+        "node", "n", F.coalesce("c_label", "node").alias("comp"), "sig")
     keyed = entries.join(labelled.select("node", "comp"), "node")
     mixed = (
         keyed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("size"))
         .filter("lo <> hi").select("key", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks"))
     )
     rows = keyed.select("key", "node").join(mixed, "key").withColumn("blk", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    rows = rows.withColumn("other", other).select("key", F.least("blk", "other").alias("i"), F.greatest("blk", "other").alias("j"), "blk", "node")
-    rows = rows.join(labelled, "node").select("key", "i", "j", "blk", "node", "n", "comp", "sig")
-    spread = rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "node")
-    return map_rows(spread, "a long, b long", _between(closest)).distinct()
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rows = rows.select("key", F.least("blk", "other").alias("i"), F.greatest("blk", "other").alias("j"), "blk", "node")
+
+    def spread(df):
+        return df.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "node")
+
+    seen = spread(rows.join(labelled, "node").select("key", "i", "j", "blk", "node", "n", "comp", "sig"))
+    needed = map_rows(seen, "key long, i int, j int, blk int, node long", _needed)
+    packed = needed.join(labelled, "node").join(texts.toDF("t_node", "z"), F.col("node") == F.col("t_node"))
+    return map_rows(spread(packed.select("key", "i", "j", "blk", "node", "n", "comp", "sig", "z")), "a long, b long", _Cross(words))
 
 
 def components(docs: DataFrame, words: int = 5) -> DataFrame:
@@ -232,17 +295,12 @@ def components(docs: DataFrame, words: int = 5) -> DataFrame:
     met = entries.select("node").distinct().select(F.col("node").alias("doc_id"))
     packed = map_rows(pick(docs, "doc_id", "text").filter("doc_id IS NOT NULL"), "doc_id long, z binary", _Compressed())
     texts = cut(packed.join(met, "doc_id"))
-    entries = entries.select("key", "node")
-    tested = cut(_near_pairs(stars, nodes))
-    links = cut(_confirmed(tested, texts, words))
+    links = cut(_confirmed(_near_pairs(stars, nodes), texts, words))
     comps = connected_components(links)
-    for closest in (True, False):
-        pairs = cut(_rest_pairs(entries, nodes, comps, closest).join(tested, ["a", "b"], "left_anti"))
-        more = cut(_confirmed(pairs, texts, words))
-        if not more.isEmpty():
-            links = links.unionByName(more)
-            comps = connected_components(links)
-        tested = tested.unionByName(pairs)
+    more = cut(_cross_links(entries.select("key", "node"), nodes, comps, texts, words))
+    if not more.isEmpty():
+        links = links.unionByName(more)
+        comps = connected_components(links)
     named = base.filter("d1 IS NOT NULL").select("doc_id", "n_shingles", "d1", "d2").join(nodes.select("d1", "d2", "node"), ["d1", "d2"])
     # Rows of one id with different texts are one document of the graph.
     several = named.groupBy("doc_id").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).filter("lo <> hi")
