@@ -1,7 +1,62 @@
-"""Cleaning pipeline over documents."""
-STAGES = []
+"""Cleaning pipeline over documents: classifier, quality rules, near-duplicates, repeated passages, packing.
+
+Each stage works on all rows that its predecessor kept and returns the columns
+of ``documents``; the last returns the packed pieces.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from flowtide.llm import classifier, near_dedup, packing, robust_outliers, suffix_dedup
+from flowtide.session import cut
+
+
+def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier accepts."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    return classifier.accepted(docs, classifier.fit(docs, labels))
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that pass the base rules and are no outliers of their language and source."""
+    return robust_outliers.accepted(docs)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates (five words, similarity 0.8)."""
+    return near_dedup.deduplicated(docs)
+
+
+def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without passages that stand earlier in the corpus; n_chars follows the text."""
+    rest = suffix_dedup.rewritten(docs)
+    if "n_chars" in rest.columns:
+        rest = rest.withColumn("n_chars", F.coalesce(F.length("text").cast("long"), F.col("n_chars"))).select(*docs.columns)
+    return rest
+
+
+def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every piece of every document with its place in a sequence."""
+    return packing.pack(docs)
+
+
+STAGES = [
+    ("quality_classifier", quality_classifier),
+    ("quality_rules", quality_rules),
+    ("near_duplicates", near_duplicates),
+    ("repeated_passages", repeated_passages),
+    ("best_fit_packing", best_fit_packing),
+]
+
+# Training, minima and packing have no SQL form; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages over ``documents``, each stored before the next."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES:
+        docs = cut(stage(spark, docs, sf_dir))
+    return docs

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from flowtide.llm import chunk_bpe, classifier, html_text, license_scan, near_dedup, packing, robust_outliers, token_counts, topk_search
+from flowtide.llm import chunk_bpe, classifier, html_text, license_scan, near_dedup, packing, robust_outliers, suffix_dedup, token_counts, topk_search
 
 
 def _docs(spark: SparkSession, sf: str) -> DataFrame:
@@ -41,6 +41,10 @@ def op7_chunk_bpe(spark, sf):
     return chunk_bpe.by_document(docs, chunk_bpe.encoded_texts(docs, digests=True))
 
 
+def op8_suffix_dedup(spark, sf):
+    return suffix_dedup.deduplicate(_docs(spark, sf))
+
+
 def op9_topk_search(spark, sf):
     vectors = topk_search.integer_vectors(spark.read.parquet(f"{sf}/embeddings.parquet"))
     return topk_search.top_k(vectors, vectors.filter("vec_id % 50 = 0"), 5)
@@ -51,7 +55,7 @@ def op10_html_text(spark, sf):
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_near_dedup, op2_license_scan, op3_robust_outliers, op4_best_fit_packing, op5_quality_classifier, op6_token_counts, op7_chunk_bpe, op9_topk_search, op10_html_text)}
+    op1_near_dedup, op2_license_scan, op3_robust_outliers, op4_best_fit_packing, op5_quality_classifier, op6_token_counts, op7_chunk_bpe, op8_suffix_dedup, op9_topk_search, op10_html_text)}
 ORACLES = {
     "op1_near_dedup": r"""
 WITH RECURSIVE words AS (
