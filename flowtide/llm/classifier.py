@@ -76,7 +76,7 @@ def train(bags: list[tuple[np.ndarray, int]]) -> Model:
     vectors = rng.uniform(-1 / DIMENSIONS, 1 / DIMENSIONS, (1 << BUCKET_BITS, DIMENSIONS))
     weights, bias = np.zeros((2, DIMENSIONS)), np.zeros(2)
     share = np.mean([y for _, y in bags]) if bags else 0.5
-    if not 0 < share < 1:
+    if len({y for _, y in bags}) < 2:
         share = min(max(share, 1e-6), 1 - 1e-6)
         return Model(vectors * 0, weights, np.log(np.array([1 - share, share])))
     weights += rng.normal(0, 0.1, weights.shape)

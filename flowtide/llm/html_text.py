@@ -56,6 +56,7 @@ LABELLED = [
     (200, 0.0, 30, 0.0, 40, 0.0, 0, 0, 0, 1, 0),
     # pages without a main element: prose, short lines between prose, headings
     (60, 0.0, 50, 0.0, 70, 0.0, 0, 0, 0, 0, 1), (22, 0.1, 9, 0.0, 40, 0.0, 0, 0, 0, 0, 1), (120, 0.05, 1, 1.0, 4, 0.8, 0, 0, 0, 0, 1), (14, 0.0, 3, 1.0, 35, 0.0, 0, 0, 0, 0, 1),
+    (50, 0.0, 45, 0.0, 2, 1.0, 0, 0, 0, 0, 1), (35, 0.0, 1, 1.0, 1, 1.0, 0, 0, 0, 0, 1), (90, 0.0, 60, 0.0, 1, 1.0, 0, 0, 0, 0, 1),
     (3, 0.0, 60, 0.0, 45, 0.0, 0, 0, 0, 0, 1), (5, 0.0, 30, 0.0, 80, 0.0, 0, 0, 0, 0, 1), (8, 0.0, 40, 0.0, 20, 0.1, 0, 0, 0, 0, 1), (2, 0.0, 24, 0.0, 90, 0.0, 0, 0, 0, 0, 1),
     (7, 0.0, 1, 1.0, 50, 0.0, 0, 0, 1, 0, 1), (4, 0.0, 60, 0.0, 60, 0.0, 0, 0, 1, 0, 1), (9, 0.0, 0, 0.0, 30, 0.0, 0, 0, 1, 0, 1), (15, 0.0, 0, 0.0, 0, 0.0, 0, 0, 0, 0, 1),
     # pages without a main element: menus, short ends, link lists, frame parts

@@ -199,7 +199,7 @@ class _Repeats:
         return row[0], row[1], row[2], row[3], row[4], start, last - first + LENGTH, 0, None
 
     def _covered(self, held):
-        rows = [r for g in held for r in sorted(g, key=lambda r: (r[3], r[4], r[5]))]
+        rows = sorted((r for g in held for r in g), key=lambda r: (r[3], r[4], r[5]))
         if not rows:
             return
         counts = np.array([r[7] for r in rows])
