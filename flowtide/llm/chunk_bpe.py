@@ -123,12 +123,12 @@ class _DocKeys:
 
 
 class _Bodies:
-    """The distinct chunk bodies of each text, by hash."""
+    """The distinct chunk bodies of each document's text, by hash."""
 
     def __call__(self, rows):
-        open_ = zstandard.ZstdDecompressor()
-        for k1, k2, z in rows:
-            data = open_.decompress(z)
+        for (text,) in rows:
+            data = (text or "").encode()
+            k1, k2 = _two_longs(data)
             for h in {_two_longs(data[b:c]) for _, b, c, _ in chunk_parts(data) if c > b}:
                 yield *h, k1, k2
 
@@ -186,13 +186,12 @@ def encoded_texts(docs: DataFrame, path: str | None = None, digests: bool = Fals
     """
     path = path or default_path()
     texts = map_rows(pick(docs, "text"), f"{KEYS}, z binary", _Texts()).dropDuplicates(["k1", "k2"])
-    bodies = map_rows(texts, f"h1 long, h2 long, {KEYS}", _Bodies())
-    shared = (
-        bodies.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.min("k1").alias("o1"), F.max("k1").alias("last"))
-        .filter("n > 1").select("h1", "h2", "o1")
-    )
-    owners = shared.groupBy(F.col("o1").alias("k1")).agg(F.collect_list(F.struct("h1", "h2")).alias("owned"))
-    ids = map_rows(texts.join(owners, "k1").select("z", "owned"), "h1 long, h2 long, ids binary", _Owned(path)).dropDuplicates(["h1", "h2"])
+    # Hashes only; copies of a text are dropped inside the tasks first.
+    bodies = map_rows(pick(docs, "text"), f"h1 long, h2 long, {KEYS}", _Bodies()).dropDuplicates(["h1", "h2", "k1", "k2"])
+    shared = bodies.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.min(F.struct("k1", "k2")).alias("o")).filter("n > 1").select("h1", "h2", "o.k1", "o.k2")
+    # Joins on the whole key, as below, so that both read one exchange of the texts.
+    owners = shared.groupBy("k1", "k2").agg(F.collect_list(F.struct("h1", "h2")).alias("owned"))
+    ids = map_rows(texts.join(owners, ["k1", "k2"]).select("z", "owned"), "h1 long, h2 long, ids binary", _Owned(path)).dropDuplicates(["h1", "h2"])
     lists = bodies.join(ids, ["h1", "h2"]).groupBy("k1", "k2").agg(F.collect_list(F.struct("h1", "h2", "ids")).alias("shared"))
     out = "n_tokens long, ids_sha256 string, decoded_sha256 string" if digests else "ids binary, decoded string"
     return map_rows(texts.join(lists, ["k1", "k2"], "left").select("k1", "k2", "z", "shared"), f"{KEYS}, {out}", _Assemble(path, digests))
