@@ -201,11 +201,6 @@ def estimates(stats: DataFrame) -> tuple[DataFrame, DataFrame]:
     return groups, cut(_moments(inner, consistency(REWEIGHT)))
 
 
-def fit(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(groups, estimates) of the documents."""
-    return estimates(cut(_keyed(with_statistics(docs.select("text", "lang", "source"))).select("g_lang", "g_source", *VECTOR)))
-
-
 def _keyed(stats: DataFrame) -> DataFrame:
     return stats.withColumn("g_lang", F.coalesce("lang", F.lit(""))).withColumn("g_source", F.coalesce("source", F.lit("")))
 
@@ -232,9 +227,8 @@ def judge(docs: DataFrame) -> DataFrame:
 def accepted(docs: DataFrame) -> DataFrame:
     """The documents, all columns, that the rules keep.
 
-    Statistics are computed once for the estimates and once more beside the
-    text, which is then never shuffled.
+    Statistics are computed once and stored beside the row, which is never shuffled.
     """
-    fitted = fit(docs)
     whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), "text", "lang", "source")
-    return verdicts(_keyed(with_statistics(whole)), fitted).filter("kept").select("_row.*")
+    stats = cut(_keyed(with_statistics(whole).drop("text")))
+    return verdicts(stats, estimates(stats)).filter("kept").select("_row.*")
