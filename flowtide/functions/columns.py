@@ -66,13 +66,17 @@ def binary_target(label: Column | str, positive: str = S.DOS) -> Column:
 
 
 def decide(score: Column | str, threshold: float = 0.5, strict: bool = True) -> Column:
+    """1 where the score passes the threshold; NaN does not, null stays null."""
     c = _c(score)
-    return ((c > threshold) if strict else (c >= threshold)).cast("int")
+    return (((c > threshold) if strict else (c >= threshold)) & ~F.isnan(c)).cast("int")
 
 
 def predict_class(probs: Column | str) -> Column:
-    """Struct of class and confidence of the largest probability, first one on ties."""
-    p = _c(probs)
+    """Struct of class and confidence of the largest probability, first one on ties.
+
+    NaN does not compete; both fields are null where no number is left.
+    """
+    p = F.transform(_c(probs), lambda x: F.when(~F.isnan(x), x))
     top = F.array_max(p)
     at = (F.array_position(p, top) - 1).cast("int")
     return F.struct(class_name(at).alias("predicted_class"), top.alias("confidence"))

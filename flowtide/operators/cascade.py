@@ -2,20 +2,35 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from flowtide import schema as S
-from flowtide.functions import predict_class, severity
+from flowtide.functions import decide, predict_class, severity
 from flowtide.operators.models import score_binary, score_multiclass
 
 ALERT_COLUMNS = ["ts", "flow_id", "src_ip", "dst_ip", "dst_port", "severity", "predicted_class", "confidence",
                  "pipeline_tier"]
 
 
+def _hit(p1: str, threshold: float) -> Column:
+    return F.coalesce(decide(p1, threshold) == 1, F.lit(False))
+
+
+def unscored(scored: DataFrame, p1: str = "p1", probs: str = "probs") -> DataFrame:
+    """Rows in all, rows without a usable first score, rows with a probability that is no number."""
+    gap = F.exists(probs, lambda x: x.isNull() | F.isnan(x))
+    return scored.agg(
+        F.count(F.lit(1)).alias("rows"), F.count_if(F.col(p1).isNull() | F.isnan(p1)).alias("p1_missing"),
+        F.count_if(F.coalesce(gap, F.lit(True))).alias("probs_missing"))
+
+
 def cascade_decide(scored: DataFrame, p1: str = "p1", probs: str = "probs", threshold: float = 0.5) -> DataFrame:
-    """Add tier1_hit, predicted_class, confidence, pipeline_tier, severity to rows with both scores."""
-    hit = F.coalesce(F.col(p1) > threshold, F.lit(False))
+    """Add tier1_hit, predicted_class, confidence, pipeline_tier, severity to rows with both scores.
+
+    A null or NaN score is no hit; without any number among ``probs`` the class is null and no alert follows.
+    """
+    hit = _hit(p1, threshold)
     best = predict_class(probs)
     d = scored.withColumns({"tier1_hit": hit, "_best": best})
     d = d.withColumns({
@@ -34,7 +49,7 @@ def score_cascade(df: DataFrame, tier1, tier3, threshold: float = 0.5) -> DataFr
     """
     first = score_binary(tier1, df)
     empty = F.array().cast("array<double>")
-    hit = F.coalesce(F.col("p1") > threshold, F.lit(False))
+    hit = _hit("p1", threshold)
     hits = first.where(hit).withColumn("probs", empty)
     rest = score_multiclass(tier3, first.where(~hit))
     return cascade_decide(hits.unionByName(rest), threshold=threshold)

@@ -41,15 +41,17 @@ def confusion_matrix(df: DataFrame, true: str = "y_true", pred: str = "y_pred",
                      labels: list[str] | None = None) -> DataFrame:
     """Rows per (true, predicted) pair with empty cells filled.
 
-    Classes are the union of both columns unless given.  After the first
+    Classes are the union of both columns unless given; null is a class of its
+    own, so no row is lost.  Given labels keep only their own cells.  After the first
     aggregate there are at most classes x classes rows per configuration.
     """
     by = by or []
     cells = df.groupBy(*by, F.col(true).alias("t"), F.col(pred).alias("p")).agg(F.count(F.lit(1)).alias("n"))
     whole = cells.groupBy(*by).agg(
         F.map_from_entries(F.collect_list(F.struct(F.struct("t", "p"), F.col("n")))).alias("m"),
-        F.array_sort(F.array_union(F.collect_set("t"), F.collect_set("p"))).alias("found"))
-    names = F.array(*[F.lit(x) for x in labels]) if labels else F.col("found")
+        F.array_sort(F.array_union(F.collect_set(F.struct(F.col("t").alias("c"))),
+                                   F.collect_set(F.struct(F.col("p").alias("c"))))).alias("found"))
+    names = F.array(*[F.lit(x) for x in labels]) if labels else F.col("found.c")
     grid = whole.select(*by, "m", names.alias("k")).select(*by, "m", "k", F.explode("k").alias(true))
     grid = grid.select(*by, "m", true, F.explode("k").alias(pred))
     key = F.struct(F.col(true).alias("t"), F.col(pred).alias("p"))
@@ -66,7 +68,7 @@ def per_class_report(cm: DataFrame, true: str = "y_true", pred: str = "y_pred",
     by = by or []
     side = F.explode(F.array(F.struct(F.col(true).alias("label"), F.lit(1).alias("as_true")),
                              F.struct(F.col(pred).alias("label"), F.lit(0).alias("as_true"))))
-    marks = cm.select(*by, "n", (F.col(true) == F.col(pred)).alias("hit"), side.alias("s"))
+    marks = cm.select(*by, "n", F.col(true).eqNullSafe(F.col(pred)).alias("hit"), side.alias("s"))
     sums = marks.groupBy(*by, F.col("s.label").alias("label")).agg(
         F.sum(F.when(F.col("hit") & (F.col("s.as_true") == 1), F.col("n")).otherwise(0)).alias("tp"),
         F.sum(F.when(F.col("s.as_true") == 1, F.col("n")).otherwise(0)).alias("support"),

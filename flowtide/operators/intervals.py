@@ -16,7 +16,10 @@ MAX_SEGMENTS_PER_BUCKET = 64
 
 
 def session_gap(log: DataFrame, tie: str = "log_id") -> DataFrame:
-    """``gap_sec``: seconds from the previous row's end to this row's start, by start order."""
+    """``gap_sec``: seconds from the previous row's end to this row's start, by start order.
+
+    Null where the previous row has no end, however the log is split into blocks.
+    """
     return _gaps(log, tie).drop(BLOCK)
 
 
@@ -25,15 +28,18 @@ def _gaps(log: DataFrame, tie: str) -> DataFrame:
     blocks = ordered_blocks(log, keys)
     w = block_window(keys)
     ends = blocks.withColumns({"_pos": F.row_number().over(w), "_prev": F.lag("end_ts").over(w)})
-    carry = carry_last(blocks, keys, F.col("end_ts"), "_carry")
-    prev = F.when(F.col("_pos") == 1, F.col("_carry")).otherwise(F.col("_prev"))
+    carry = carry_last(blocks, keys, F.struct("end_ts"), "_carry")  # a struct carries a null end too
+    prev = F.when(F.col("_pos") == 1, F.col("_carry.end_ts")).otherwise(F.col("_prev"))
     return (ends.join(F.broadcast(carry), BLOCK)  # one row per block
             .withColumn("gap_sec", (micros("start_ts") - micros(prev)) / 1e6)
             .drop("_pos", "_prev", "_carry"))
 
 
 def sessionize(log: DataFrame, gap_seconds: float = 60.0, tie: str = "log_id") -> DataFrame:
-    """``session_id``: running number of gaps longer than ``gap_seconds``, from 0."""
+    """``session_id``: running number of gaps longer than ``gap_seconds``, from 0.
+
+    A row after one without an end has no gap and stays in the session.
+    """
     keys = ["start_ts", tie]
     gaps = _gaps(log, tie)
     opens = F.coalesce((F.col("gap_sec") > gap_seconds).cast("bigint"), F.lit(0).cast("bigint"))

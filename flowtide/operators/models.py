@@ -11,9 +11,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from flowtide import schema as S
-from flowtide.functions import binary_target, class_code, class_name
+from flowtide.functions import binary_target, class_code, class_name, decide
 from flowtide.operators.evaluate import confusion_matrix, overall_report, per_class_report
 from flowtide.operators.features import assemble_features
+from flowtide.session import cut
 
 SEED = 42
 
@@ -73,7 +74,7 @@ def predicted_label(probs: str = "probs") -> Column:
 
 def binary_predictions(model, df: DataFrame, label: str = "unified_label", threshold: float = 0.5) -> DataFrame:
     """(y_true, y_pred) with the positive class against 'OTHER'."""
-    names = F.when(F.col("p1") > threshold, S.DOS).otherwise("OTHER")
+    names = F.when(decide("p1", threshold) == 1, S.DOS).otherwise("OTHER")
     truth = F.when(F.col(label) == S.DOS, S.DOS).otherwise("OTHER")
     return score_binary(model, df).select(truth.alias("y_true"), names.alias("y_pred"))
 
@@ -92,7 +93,7 @@ def evaluate_predictions(pred: DataFrame, tag: str) -> DataFrame:
 
     The matrix is counted once; both reports read that small table.
     """
-    cm = confusion_matrix(pred).cache()
+    cm = cut(confusion_matrix(pred))
     per = per_class_report(cm).select(
         F.lit("class").alias("scope"), "label",
         F.explode(F.create_map(*[x for c in ("precision", "recall", "f1", "support")

@@ -9,7 +9,9 @@ from pyspark.sql import types as T
 from flowtide import schema as S
 from flowtide.functions import micros, parse_timestamp
 
-_SURPLUS, _UNREAD = "_surplus", "_unread"
+_LINE, _ROW = "_line", "_row"
+# A field in quotes, with doubled or escaped quotes inside.
+_QUOTED = r'"(?:[^"\\]|\\.|"")*"'
 
 
 def scan_flow_csv(spark: SparkSession, path: str | list[str], schema: T.StructType, encoding: str = "UTF-8") -> DataFrame:
@@ -18,20 +20,21 @@ def scan_flow_csv(spark: SparkSession, path: str | list[str], schema: T.StructTy
     Rows with too many fields are dropped, short rows are kept and padded
     with nulls.  ``file_name`` tells where a row came from.
 
-    One spare column catches the surplus field of a long row, whatever columns
-    a query needs; the corrupt-record column of the reader would miss long
-    rows once columns are pruned.  The second spare is never read and keeps
-    the parser on its select-by-position path, where short rows are no errors.
+    Lines are read whole, because the parsed columns cannot tell a blank
+    surplus field from none; fields are counted outside quotes.
     """
-    spare = [T.StructField(_SURPLUS, T.StringType(), True), T.StructField(_UNREAD, T.StringType(), True)]
     raw = (
-        spark.read.schema(T.StructType([*schema.fields, *spare]))
-        .option("header", True).option("encoding", encoding).option("mode", "PERMISSIVE")
+        spark.read.schema(T.StructType([T.StructField(_LINE, T.StringType(), True)]))
+        .option("header", True).option("encoding", encoding).option("sep", "\u0001").option("quote", "")
         .option("pathGlobFilter", "*.csv")
         .csv(path)
     )
-    named = [F.col(f"`{c}`") for c in schema.names]  # names may hold dots and slashes
-    return raw.where(F.col(_SURPLUS).isNull()).select(*named, F.col("_metadata.file_name").alias("file_name"))
+    bare = F.regexp_replace(_LINE, _QUOTED, "")
+    fields = F.length(bare) - F.length(F.replace(bare, F.lit(","), F.lit(""))) + 1
+    rows = raw.where(fields <= len(schema.fields)).select(
+        F.from_csv(_LINE, schema.toDDL(), {"mode": "PERMISSIVE"}).alias(_ROW),
+        F.col("_metadata.file_name").alias("file_name"))
+    return rows.select(*[F.col(_ROW)[c].alias(c) for c in schema.names], "file_name")  # names may hold dots and slashes
 
 
 def canonical_columns(df: DataFrame, short_layout: bool) -> DataFrame:

@@ -106,3 +106,21 @@ def test_packets(spark):
     assert {(r["icmp_id"], r["icmp_seq"]): round(r["latency_ms"], 6) for r in m.collect()} == {(1, 1): 0.5, (1, 2): -1000.0}
     assert tuple(packets.unmatched_packets(a, b, keys).first()) == (2, 1, 1)
     assert tuple(quality.negative_latency_check(m).first()) == (2, 1)
+
+
+def test_sessions_with_open_ends_do_not_depend_on_blocks(spark):
+    t0 = datetime(2024, 1, 1)
+    rows = [(i, t0 + timedelta(seconds=100 * i), None if i % 3 == 1 else t0 + timedelta(seconds=100 * i + (90 if i % 4 else 10))) for i in range(40)]
+    log = spark.createDataFrame(rows, "log_id long, start_ts timestamp_ntz, end_ts timestamp_ntz")
+    want, session = [], 0
+    for i, start, _ in rows:
+        end = rows[i - 1][2] if i else None
+        session += end is not None and (start - end).total_seconds() > 60
+        want.append(session)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        for n in (1, 4, 9):
+            spark.conf.set("spark.sql.shuffle.partitions", n)
+            assert [r.session_id for r in intervals.sessionize(log).orderBy("log_id").collect()] == want
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)

@@ -106,3 +106,24 @@ def test_attribution_tables(spark):
     assert [r["feature"] for r in shift.collect()] == ["b", "a"]
     assert {r["model"]: r["feature"] for r in evaluate.primary_driver(shift).collect()} == {"baseline": "a", "adapted": "b"}
     assert evaluate.top_features(shift, 1).first()["feature"] == "b"
+
+
+def test_null_classes_are_counted(spark):
+    rows = [("a", "a"), ("a", None), (None, "a"), ("b", "a"), (None, None)]
+    cm = evaluate.confusion_matrix(spark.createDataFrame(rows, "y_true string, y_pred string"))
+    got = {(r.y_true, r.y_pred): r.n for r in cm.collect()}
+    assert len(got) == 9 and sum(got.values()) == 5 and got[None, "a"] == got["a", None] == got[None, None] == 1
+    rep = evaluate.overall_report(cm).first()
+    assert rep.n_rows == 5 and rep.accuracy == 0.4
+
+
+def test_scores_that_are_no_numbers(spark):
+    nan = float("nan")
+    rows = [(1, nan, [0.2, nan, 0.5, 0.1, 0.1, 0.1]), (2, None, [nan] * 6), (3, 0.9, None), (4, 0.5, [0.9, 0.1, 0.0, 0.0, 0.0, 0.0])]
+    scored = spark.createDataFrame(rows, "flow_id long, p1 double, probs array<double>")
+    got = {r.flow_id: r for r in cascade.cascade_decide(scored).collect()}
+    assert [got[i].tier1_hit for i in (1, 2, 3, 4)] == [False, False, True, False]
+    assert got[1].confidence == 0.5 and got[1].severity is not None
+    assert got[2].predicted_class is None and got[2].severity is None
+    assert got[3].severity == "CRITICAL" and got[4].severity is None
+    assert tuple(cascade.unscored(scored).first()) == (4, 2, 3)

@@ -79,7 +79,7 @@ def test_csv_scan_short_and_long_rows(spark, tmp_path):
 
 
 def test_long_rows_are_dropped_whatever_columns_are_read(spark, tmp_path):
-    (tmp_path / "a.csv").write_text("x,y,z\n1,2,3\n4,5,6,7\n8,9\n1,2,3,4,5,6\nx,y,z\n")
+    (tmp_path / "a.csv").write_text("x,y,z\n1,2,3\n4,5,6,7\n4,5,6,\n8,9\n1,2,3,4,5,6\n4,5,6,\"\"\nx,y,z\n")
     schema = T.StructType([T.StructField(c, T.DoubleType()) for c in "xyz"])
     df = FL.scan_flow_csv(spark, str(tmp_path), schema)
     assert df.count() == 3
