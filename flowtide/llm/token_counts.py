@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from flowtide.llm import tokens
 from flowtide.llm.common import map_rows, pick
+from flowtide.session import cut
 
 BAND = 256
 
@@ -94,5 +95,9 @@ def at_limits(sums: DataFrame, limits: list[int]) -> DataFrame:
 
 
 def token_counts(docs: DataFrame, paths: tuple[str, str] | None = None) -> DataFrame:
-    """The suffix sums of all documents."""
-    return suffix_sums(length_histogram(encoded_lengths(docs, paths)))
+    """The suffix sums of all documents.
+
+    The histogram is stored first, because bands and rows both read it and the
+    texts should be encoded once.
+    """
+    return suffix_sums(cut(length_histogram(encoded_lengths(docs, paths))))
