@@ -42,7 +42,7 @@ def default_path() -> str:
 
 @functools.lru_cache(maxsize=2)
 def codec(path: str):
-    """(encode, decode) of one tokenizer file.
+    """(encode, decode, narrowest unsigned type that holds every id) of one tokenizer file.
 
     Texts of plain Latin letters are split by the tokenizer's own pattern and
     encoded word by word through a bounded table; words are encoded by the
@@ -76,7 +76,7 @@ def codec(path: str):
         """Without a decoder in the file, tokens are joined by blanks."""
         return " ".join(map(names.__getitem__, ids))
 
-    return encode, decode
+    return encode, decode, "<u2" if max(names, default=0) < 1 << 16 else "<u4"
 
 
 def chunk_parts(data: bytes) -> list[tuple[int, int, int, int]]:
@@ -123,12 +123,12 @@ class _DocKeys:
 
 
 class _Bodies:
-    """The distinct chunk bodies of each document's text, by hash."""
+    """The distinct chunk bodies of each text, by hash."""
 
     def __call__(self, rows):
-        for (text,) in rows:
-            data = (text or "").encode()
-            k1, k2 = _two_longs(data)
+        open_ = zstandard.ZstdDecompressor()
+        for k1, k2, z in rows:
+            data = open_.decompress(z)
             for h in {_two_longs(data[b:c]) for _, b, c, _ in chunk_parts(data) if c > b}:
                 yield *h, k1, k2
 
@@ -140,14 +140,14 @@ class _Owned:
         self.path = path
 
     def __call__(self, rows):
-        open_, (encode, _) = zstandard.ZstdDecompressor(), codec(self.path)
+        open_, (encode, _, width) = zstandard.ZstdDecompressor(), codec(self.path)
         for z, owned in rows:
             data, todo = open_.decompress(z), {(o["h1"], o["h2"]) for o in owned}
             for _, b, c, _ in chunk_parts(data):
                 h = _two_longs(data[b:c]) if c > b else None
                 if h in todo:
                     todo.discard(h)
-                    yield *h, np.array(encode(data[b:c].decode()), dtype="<u4").tobytes()
+                    yield *h, np.array(encode(data[b:c].decode()), dtype=width).tobytes()
 
 
 class _Assemble:
@@ -157,7 +157,7 @@ class _Assemble:
         self.path, self.digests = path, digests
 
     def __call__(self, rows):
-        open_, (encode, decode) = zstandard.ZstdDecompressor(), codec(self.path)
+        open_, (encode, decode, width) = zstandard.ZstdDecompressor(), codec(self.path)
         for k1, k2, z, shared in rows:
             data = open_.decompress(z)
             have = {(x["h1"], x["h2"]): x["ids"] for x in shared or ()}
@@ -168,7 +168,7 @@ class _Assemble:
                     continue
                 ids += encode(data[open_from:b].decode())
                 got = have.get(_two_longs(data[b:c])) if have else None
-                ids += encode(data[b:c].decode()) if got is None else np.frombuffer(got, dtype="<u4").tolist()
+                ids += encode(data[b:c].decode()) if got is None else np.frombuffer(got, dtype=width).tolist()
                 open_from = c
             ids += encode(data[open_from:].decode())
             raw, text = np.array(ids, dtype="<u4").tobytes(), decode(ids)
@@ -186,8 +186,8 @@ def encoded_texts(docs: DataFrame, path: str | None = None, digests: bool = Fals
     """
     path = path or default_path()
     texts = map_rows(pick(docs, "text"), f"{KEYS}, z binary", _Texts()).dropDuplicates(["k1", "k2"])
-    # Hashes only; copies of a text are dropped inside the tasks first.
-    bodies = map_rows(pick(docs, "text"), f"h1 long, h2 long, {KEYS}", _Bodies()).dropDuplicates(["h1", "h2", "k1", "k2"])
+    # Hashes only, from the exchange of the texts, where copies are already dropped.
+    bodies = map_rows(texts, f"h1 long, h2 long, {KEYS}", _Bodies())
     shared = bodies.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.min(F.struct("k1", "k2")).alias("o")).filter("n > 1").select("h1", "h2", "o.k1", "o.k2")
     # Joins on the whole key, as below, so that both read one exchange of the texts.
     owners = shared.groupBy("k1", "k2").agg(F.collect_list(F.struct("h1", "h2")).alias("owned"))
