@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
@@ -59,13 +60,18 @@ class _Rows:
         return pa.RecordBatch.from_arrays([pa.array(list(c), type=f.type) for c, f in zip(cols, self.schema)], schema=self.schema)
 
 
+@functools.lru_cache(maxsize=16)
+def _weights(seed: int) -> np.ndarray:
+    return np.random.default_rng(1000 + seed).integers(1, 1 << 63, 256, dtype=np.uint64)
+
+
 def prefix_hash(data: np.ndarray, seed: int = 0) -> tuple[np.ndarray, np.ndarray]:
     """Prefix sums of a polynomial over random byte weights, and the inverse powers.
 
     The hash of bytes [s, e) is ``(sums[e] - sums[s]) * inverse[s]`` modulo 2^64.
     """
     n = len(data)
-    weights = np.random.default_rng(1000 + seed).integers(1, 1 << 63, 256, dtype=np.uint64)
+    weights = _weights(seed)
     up = powers(n)
     sums = np.zeros(n + 1, dtype=np.uint64)
     np.cumsum(weights[data] * up[:n], out=sums[1:])
