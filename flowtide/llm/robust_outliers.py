@@ -28,8 +28,8 @@ from flowtide.session import cut
 
 P = 5
 VECTOR = [f"z{i}" for i in range(P)]
-# Least standard deviations: smaller differences than these are never evidence.
-FLOOR = (0.25, 0.05, 0.04, 0.15, 0.15)
+# Least standard deviations.  Each statistic alone can pass the cutoff within what the base rules let through.
+FLOOR = (0.25, 0.05, 0.03, 0.1, 0.1)
 SHARE = 0.75
 STEPS = 3
 GROUP_ROWS = 100
@@ -59,7 +59,7 @@ def consistency(share: float) -> float:
     return share / chi2_below(chi2_at(share, P), P + 2)
 
 
-CUTOFF = chi2_at(1 - 1e-9, P)
+CUTOFF = chi2_at(0.999, P)
 REWEIGHT = 0.975
 
 
@@ -153,7 +153,7 @@ def _moments(rows: DataFrame, factor: float) -> DataFrame:
             for k in range(j):
                 c = c - F.col(f"l{i}{k}") * F.col(f"l{j}{k}")
             # The floor keeps groups without spread in a statistic invertible.
-            e = e.withColumn(f"l{i}{j}", F.sqrt(F.greatest(c + FLOOR[i] ** 2, F.lit(FLOOR[i] ** 2))) if i == j else c / F.col(f"l{j}{j}"))
+            e = e.withColumn(f"l{i}{j}", F.sqrt(F.greatest(c, F.lit(FLOOR[i] ** 2))) if i == j else c / F.col(f"l{j}{j}"))
     return e.select(*KEYS, *[f"m{i}" for i in range(P)], *[f"l{i}{j}" for i in range(P) for j in range(i + 1)])
 
 

@@ -189,6 +189,30 @@ def test_outliers_are_native_and_found(spark):
     assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == list(range(300))
 
 
+def _plain_texts(n, seed):
+    rng = np.random.default_rng(seed)
+    text = lambda k: " ".join("".join(rng.choice(list("abcdefgh"), rng.integers(3, 9))) for _ in range(k))
+    return text, [text(int(np.exp(rng.normal(5.0, 0.3)))) for _ in range(n)]
+
+
+def _planted(text):
+    """One text per statistic that is far off in it alone."""
+    passage = text(14)
+    lines = [text(4) for _ in range(20)]
+    return {
+        "words": text(4000), "length": " ".join(w + w for w in text(150).split()), "symbols": text(147) + " " + "# % & " * 9,
+        "lines": "\n".join(lines + lines[::-1]), "repeats": " ".join([passage, text(35), passage, text(35)])}
+
+
+def test_each_statistic_alone_rejects(spark):
+    text, clean = _plain_texts(400, 3)
+    planted = _planted(text)
+    docs = docs_of(spark, clean + list(planted.values())).withColumn("lang", F.lit("en")).withColumn("source", F.lit("s"))
+    rows = {r.doc_id: r for r in robust_outliers.judge(docs).collect()}
+    assert {k: (rows[400 + i].base_failed, rows[400 + i].kept) for i, k in enumerate(planted)} == {k: (False, False) for k in planted}
+    assert sum(not rows[i].kept for i in range(400)) <= 4
+
+
 def test_classifier_on_held_out_labels(spark):
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
     rows = classifier.score(docs, classifier.fit(docs, labels)).join(labels.filter("quality IS NOT NULL"), "doc_id").filter("held_out").collect()
