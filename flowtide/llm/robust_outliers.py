@@ -6,8 +6,10 @@ median absolute deviations, concentration steps on the three quarters of the
 rows that lie nearest, and one reweighting.  A document is rejected if its
 squared Mahalanobis distance to its group exceeds ``CUTOFF``.
 
-Groups below ``GROUP_ROWS`` documents are judged by their language as a whole;
-languages below it are judged by the base rules only.  Medians, ranks and
+Each language as a whole and all rows together get such an estimate too.  The
+moments of a group are drawn towards those of its language, and these towards
+those of all rows, with weight n / (n + ``PRIOR_ROWS``) for the own ones, so
+every document is judged and nothing switches at a size.  Medians, ranks and
 moments are counts and sums, combined inside the tasks before the shuffle, so a
 source that holds a third of all rows costs no more than others.  Quantiles come
 from counts over a fine fixed grid and do not depend on the order of rows.
@@ -28,11 +30,15 @@ from flowtide.session import cut
 
 P = 5
 VECTOR = [f"z{i}" for i in range(P)]
+MEANS = [f"m{i}" for i in range(P)]
+PAIRS = [(i, j) for i in range(P) for j in range(i + 1)]
+MOMENTS = [*MEANS, *[f"c{i}{j}" for i, j in PAIRS]]
 # Least standard deviations.  Each statistic alone can pass the cutoff within what the base rules let through.
 FLOOR = (0.25, 0.05, 0.03, 0.1, 0.1)
 SHARE = 0.75
 STEPS = 3
-GROUP_ROWS = 100
+# Rows at which a group's own moments weigh as much as those of the level above.
+PRIOR_ROWS = 100
 WHITE = " \t\n\x0b\x0c\r"
 GRID = 256
 
@@ -115,19 +121,13 @@ def with_statistics(docs: DataFrame) -> DataFrame:
     return s.select("*", failed.alias("base_failed"), *[v.alias(z) for v, z in zip(vector, VECTOR)]).drop("_n_lines")
 
 
-def _groups(stats: DataFrame) -> DataFrame:
-    """One row per group: g_lang, g_source, and the keys e_lang, e_source of the estimate it uses."""
-    g = stats.groupBy("g_lang", "g_source").agg(F.count("*").alias("n"))
-    in_lang = F.sum("n").over(Window.partitionBy("g_lang"))
-    whole = F.col("n") >= GROUP_ROWS
-    return g.select(
-        F.col("g_lang").alias("k_lang"), F.col("g_source").alias("k_source"),
-        F.when(whole | (in_lang >= GROUP_ROWS), F.col("g_lang")).alias("e_lang"), F.when(whole, F.col("g_source")).otherwise(F.lit("")).alias("e_source"),
-        (~whole).alias("e_pooled"),
-    )
+KEYS = ["e_level", "e_lang", "e_source"]
+# Levels of estimates: a language and source, a language, all rows.
+LEVELS = [(2, "g_lang", "g_source"), (1, "g_lang", None), (0, None, None)]
 
 
-KEYS = ["e_lang", "e_source", "e_pooled"]
+def _keys(level: int, lang: str | None, source: str | None) -> list[Column]:
+    return [F.lit(level).alias("e_level"), (F.col(lang) if lang else F.lit("")).alias("e_lang"), (F.col(source) if source else F.lit("")).alias("e_source")]
 
 
 def _quantile(values: DataFrame, keys: list[str], share: float) -> DataFrame:
@@ -142,19 +142,33 @@ def _log_cell(d: Column) -> Column:
     return F.floor(F.log2(d + 1e-9) * 64)
 
 
-def _moments(rows: DataFrame, factor: float) -> DataFrame:
-    """Means m_i and the Cholesky factor l_ij of the covariance, per estimate key."""
+def _raw_moments(rows: DataFrame) -> DataFrame:
+    """Rows n, means m_i and covariances c_ij of the rows as they are, per estimate key."""
     means = [F.avg(z).alias(f"m{i}") for i, z in enumerate(VECTOR)]
-    seconds = [F.avg(F.col(VECTOR[i]) * F.col(VECTOR[j])).alias(f"s{i}{j}") for i in range(P) for j in range(i + 1)]
-    e = rows.groupBy(*KEYS).agg(*means, *seconds)
+    seconds = [F.avg(F.col(VECTOR[i]) * F.col(VECTOR[j])).alias(f"s{i}{j}") for i, j in PAIRS]
+    e = rows.groupBy(*KEYS).agg(F.count("*").alias("n"), *means, *seconds)
+    return e.select(*KEYS, "n", *MEANS, *[(F.col(f"s{i}{j}") - F.col(f"m{i}") * F.col(f"m{j}")).alias(f"c{i}{j}") for i, j in PAIRS])
+
+
+def _factored(e: DataFrame, keys: list[str], factor: float = 1.0) -> DataFrame:
+    """Means m_i and the Cholesky factor l_ij of ``factor`` times the covariance c_ij."""
     for j in range(P):
         for i in range(j, P):
-            c = factor * (F.col(f"s{i}{j}") - F.col(f"m{i}") * F.col(f"m{j}"))
+            c = factor * F.col(f"c{i}{j}")
             for k in range(j):
                 c = c - F.col(f"l{i}{k}") * F.col(f"l{j}{k}")
             # The floor keeps groups without spread in a statistic invertible.
             e = e.withColumn(f"l{i}{j}", F.sqrt(F.greatest(c, F.lit(FLOOR[i] ** 2))) if i == j else c / F.col(f"l{j}{j}"))
-    return e.select(*KEYS, *[f"m{i}" for i in range(P)], *[f"l{i}{j}" for i in range(P) for j in range(i + 1)])
+    return e.select(*keys, *MEANS, *[f"l{i}{j}" for i, j in PAIRS])
+
+
+def _shrunk(own: DataFrame, above: DataFrame, keys: list[str]) -> DataFrame:
+    """Moments of ``own`` drawn towards those of ``above`` (columns u_...), joined on ``keys``."""
+    w = F.col("n") / (F.col("n") + PRIOR_ROWS)
+    mix = lambda x: w * F.col(x) + (1 - w) * F.col(f"u_{x}")
+    up = above.select(*keys, *[F.col(x).alias(f"u_{x}") for x in MOMENTS])
+    both = own.join(up, keys) if keys else own.crossJoin(up)
+    return both.select(*[c for c in own.columns if c not in MOMENTS], *[mix(x).alias(x) for x in MOMENTS])
 
 
 def _distance(rows: DataFrame) -> DataFrame:
@@ -172,15 +186,9 @@ def _on(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
     return left.join(right, keys, "left")
 
 
-def estimates(stats: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(groups, estimates) from a stored table of g_lang, g_source and the vector."""
-    groups = cut(_groups(stats))
-    rows = stats.join(groups, (F.col("g_lang") == F.col("k_lang")) & (F.col("g_source") == F.col("k_source"))).filter(F.col("e_lang").isNotNull())
-    # An estimate for a language as a whole takes all of its rows; one for a group takes the group's.
-    pooled = groups.filter("e_pooled").select(F.col("e_lang").alias("p_lang")).filter(F.col("p_lang").isNotNull()).distinct()
-    own = rows.filter(~F.col("e_pooled")).select(*KEYS, *VECTOR)
-    shared = stats.join(pooled, F.col("g_lang") == F.col("p_lang")).select(F.col("p_lang").alias("e_lang"), F.lit("").alias("e_source"), F.lit(True).alias("e_pooled"), *VECTOR)
-    rows = own.unionByName(shared)
+def estimates(stats: DataFrame) -> DataFrame:
+    """Means and Cholesky factor for each g_lang, g_source of a stored table with the vector."""
+    rows = stats.select(F.explode(F.array(*[F.struct(*_keys(*level)) for level in LEVELS])).alias("e"), *VECTOR).select("e.*", *VECTOR)
 
     def unpivoted(cells):
         return rows_now.select(*KEYS, F.explode(F.array(*[F.struct(F.lit(i).alias("i"), c.alias("bin")) for i, c in enumerate(cells)])).alias("x")).select(*KEYS, "x.i", "x.bin")
@@ -196,21 +204,28 @@ def estimates(stats: DataFrame) -> tuple[DataFrame, DataFrame]:
     for _ in range(STEPS):
         near = _distance(_on(rows, now, KEYS)).withColumn("bin", _log_cell(F.col("d")))
         edge = _quantile(near, KEYS, SHARE)
-        now = cut(_moments(_on(near, edge, KEYS).filter(F.col("bin") <= F.col("q")), consistency(SHARE)))
+        now = cut(_factored(_raw_moments(_on(near, edge, KEYS).filter(F.col("bin") <= F.col("q"))), KEYS, consistency(SHARE)))
     inner = _distance(_on(rows, now, KEYS)).filter(F.col("d") <= chi2_at(REWEIGHT, P))
-    return groups, cut(_moments(inner, consistency(REWEIGHT)))
+    fitted = cut(_raw_moments(inner).select(*KEYS, "n", *MEANS, *[(consistency(REWEIGHT) * F.col(f"c{i}{j}")).alias(f"c{i}{j}") for i, j in PAIRS]))
+    # A group without an inner row has weight 0 and takes the level above as it is.
+    groups = rows.filter("e_level = 2").select(*KEYS).distinct()
+    langs = groups.select(F.lit(1).alias("e_level"), "e_lang", F.lit("").alias("e_source")).distinct()
+    filled = lambda keys: _on(keys, fitted, KEYS).fillna(0, ["n", *MOMENTS])
+    top = fitted.filter("e_level = 0")
+    by_lang = _shrunk(filled(langs), top, [])
+    by_group = _shrunk(filled(groups), by_lang, ["e_lang"])
+    return cut(_factored(by_group.withColumnsRenamed({"e_lang": "k_lang", "e_source": "k_source"}), ["k_lang", "k_source"]))
 
 
 def _keyed(stats: DataFrame) -> DataFrame:
     return stats.withColumn("g_lang", F.coalesce("lang", F.lit(""))).withColumn("g_source", F.coalesce("source", F.lit("")))
 
 
-def verdicts(stats: DataFrame, fitted: tuple[DataFrame, DataFrame]) -> DataFrame:
+def verdicts(stats: DataFrame, fitted: DataFrame) -> DataFrame:
     """``stats`` (keyed, with the vector) and distance, kept."""
-    groups, est = fitted
-    rows = stats.join(groups, (F.col("g_lang") == F.col("k_lang")) & (F.col("g_source") == F.col("k_source")), "left").join(est, KEYS, "left")
+    rows = stats.join(fitted, (F.col("g_lang") == F.col("k_lang")) & (F.col("g_source") == F.col("k_source")), "left")
     rows = _distance(rows)
-    kept = ~F.col("base_failed") & F.coalesce(F.col("d") <= CUTOFF, F.lit(True))
+    kept = ~F.col("base_failed") & (F.col("d") <= CUTOFF)
     return rows.select(*stats.columns, F.col("d").alias("distance"), kept.alias("kept"))
 
 

@@ -213,6 +213,20 @@ def test_each_statistic_alone_rejects(spark):
     assert sum(not rows[i].kept for i in range(400)) <= 4
 
 
+def test_small_groups_are_judged_too(spark):
+    text, clean = _plain_texts(400, 3)
+    junk = " ".join(w + "##" for w in text(150).split())
+    groups = [("en", f"s{k % 3}") for k in range(400)] + [("en", "rare"), ("xx", "alone"), (None, None)]
+    docs = docs_of(spark, [*clean, junk, junk, junk]).select("doc_id", "text")
+    keys = spark.createDataFrame([(i, *g) for i, g in enumerate(groups)], "doc_id long, lang string, source string")
+    rows = {r.doc_id: r for r in robust_outliers.judge(docs.join(keys, "doc_id")).collect()}
+    assert not any(rows[400 + k].kept or rows[400 + k].base_failed for k in range(3))
+    assert all(r.distance is not None for r in rows.values())
+    few = docs.join(keys, "doc_id").filter("doc_id % 10 = 0 OR doc_id = 401")
+    small = {r.doc_id: r.kept for r in robust_outliers.judge(few).collect()}
+    assert len(small) == 42 and not small[401] and sum(small.values()) >= 39
+
+
 def test_classifier_on_held_out_labels(spark):
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
     rows = classifier.score(docs, classifier.fit(docs, labels)).join(labels.filter("quality IS NOT NULL"), "doc_id").filter("held_out").collect()
