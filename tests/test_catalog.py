@@ -3,6 +3,7 @@ import pytest
 
 import __spark_entry__ as entry
 from check import rows_of
+from flowtide.catalog import queries as catalog
 from flowtide.catalog.views import SQL_VIEWS
 
 SF = "/root/testdata/sf0.001"
@@ -21,13 +22,13 @@ def con():
 
 
 def test_every_query_has_its_oracle():
-    q, o = entry.queries(), entry.oracle_sql()
-    assert set(o) <= set(q)
-    assert set(q) - set(o) == ROWS_ONLY
+    assert set(catalog.ORACLES) <= set(catalog.QUERIES)
+    assert set(catalog.QUERIES) - set(catalog.ORACLES) == ROWS_ONLY
+    assert set(catalog.QUERIES) <= set(entry.queries()) and set(catalog.ORACLES) <= set(entry.oracle_sql())
 
 
 def test_oracles_parse(con):
-    for key, sql in entry.oracle_sql().items():
+    for key, sql in catalog.ORACLES.items():
         con.execute(f"EXPLAIN {sql}")
     assert len(SQL_VIEWS) > 20
 
