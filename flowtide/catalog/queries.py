@@ -26,7 +26,7 @@ from flowtide.sources import flows as FL
 from flowtide.sources import packets as PK
 from flowtide.sources import sinks
 from flowtide.sources.dimension import label_dimension, write_label_dimension
-from flowtide.streaming import jobs
+from flowtide.streaming import jobs, progress, state
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -536,6 +536,16 @@ def _knn_join(spark, sf):
     return rounded(neighbors.knn_join(V.table(spark, sf, "embeddings"), "embedding", 5, "vec_id"))
 
 
+@query("knn_recall", "SELECT count(*) AS points, 5 * count(*) AS pairs, true AS recall_at_least_90 FROM embeddings")
+def _knn_recall(spark, sf):
+    """The approximate join held against the exact one."""
+    v = V.table(spark, sf, "embeddings")
+    exact = cut(neighbors.knn_join(v, "embedding", 5, "vec_id").select("vec_id", "nn_id"))
+    near = neighbors.knn_join(v, "embedding", 5, "vec_id", method="lsh").select("vec_id", "nn_id", F.lit(1).alias("hit"))
+    return exact.join(near, ["vec_id", "nn_id"], "left").agg(
+        F.count_distinct("vec_id").alias("points"), F.count(F.lit(1)).alias("pairs"), (F.avg(F.coalesce("hit", F.lit(0))) >= 0.9).alias("recall_at_least_90"))
+
+
 # --- aggregations -----------------------------------------------------------
 
 @query("class_counts", "SELECT source_year, unified_label, count(*) AS rows FROM labelled GROUP BY ALL", ("labelled",))
@@ -792,23 +802,66 @@ def _stream_metrics_live(spark, sf):
     return _naive(jobs.read_updates(spark, out, ["window_start"]))
 
 
-@query("stream_tier2_windows", _tier2_sql("windowed", """
-    WHERE window_start + INTERVAL '5 minutes' <= (SELECT max(ts) - INTERVAL '10 minutes' FROM clean)"""), ("windowed",))
+@query("stream_tier2_windows", _tier2_sql("windowed"), ("windowed",))
 def _stream_tier2_windows(spark, sf):
-    rows = V.clean_of(V.flow_stream(spark, sf))
+    rows = V.clean_of(V.flow_stream(spark, sf, closed=True))
     return _naive(_round_tier2(_drain(spark, jobs.stream_tier2_windows(rows))))
 
 
+@query("stream_sessionize", "SELECT log_id, class_label, session_id FROM sessions", ("sessions",))
+def _stream_sessionize(spark, sf):
+    done = _drain(spark, state.stream_sessionize(V.log_stream(spark, sf)))
+    return done.select("log_id", "class_label", "session_id")
+
+
 _BLOCK_SQL = """SELECT src_ip, min(ts) AS first_seen, max(ts) AS last_seen, count(*) AS n_alerts,
     arg_min(predicted_class, ts) AS predicted_class FROM decided WHERE severity IS NOT NULL GROUP BY src_ip"""
 
 
+def _block_actions(spark, sf) -> DataFrame:
+    al = jobs.stream_cascade(V.scores_of(V.flow_stream(spark, sf, closed=True)), seconds=False)
+    done = _drain(spark, jobs.stream_block_requests(al, ttl_seconds=6 * 3600))
+    return done.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("first_seen", "last_seen")})
+
+
 @query("block_requests", _BLOCK_SQL, ("decided",))
 def _block_requests(spark, sf):
-    al = jobs.stream_cascade(V.scores_of(V.flow_stream(spark, sf)), seconds=False)
-    out = scratch_path(spark, "blocks")
-    jobs.stream_block_requests(al, out, scratch_path(spark, "ckpt")).awaitTermination()
-    return jobs.read_blocks(spark, out)
+    return jobs.released(_block_actions(spark, sf))
+
+
+@query("stream_ids_blocks", f"""SELECT 'block' AS action, coalesce(src_ip, '0.0.0.0') AS src_ip, arg_min(predicted_class, ts) AS predicted_class,
+    min(ts) AS first_seen FROM (SELECT e.ts, e.src_ip, d.predicted_class FROM flow_events e JOIN decided d USING (flow_id)
+      WHERE d.severity IS NOT NULL) GROUP BY ALL""", ("flow_events", "decided"))
+def _stream_ids_blocks(spark, sf):
+    events = E.parse_ids_events(V.event_lines_of(V.flow_stream(spark, sf)))
+    done = _drain(spark, jobs.stream_ids_blocks(V.scores_of(events), ttl_seconds=30 * 86400))
+    return done.where("action = 'block'").select("action", "src_ip", "predicted_class", F.col("first_seen").cast("timestamp_ntz").alias("first_seen"))
+
+
+def _watched(spark, sf) -> DataFrame:
+    """Rates of a cascade stream and of its block requests, from their progress."""
+    path = scratch_path(spark, "progress")
+    with progress.watch(spark, path):
+        al = jobs.stream_cascade(V.scores_of(V.flow_stream(spark, sf)), seconds=False)
+        jobs.run_to_files(al, scratch_path(spark, "out"), scratch_path(spark, "ckpt"), name="alerts")
+        jobs.run_to_files(jobs.stream_block_requests(al), scratch_path(spark, "out"), scratch_path(spark, "ckpt"), name="blocks")
+    return progress.stream_rates(progress.read_progress(spark, path))
+
+
+@query("stream_progress", """SELECT name, count(*) AS input_rows, 0 AS late_rows, true AS several_batches, true AS has_latency, true AS has_rate
+    FROM flows, (VALUES ('alerts'), ('blocks')) AS q(name) GROUP BY name""", ("flows",))
+def _stream_progress(spark, sf):
+    return _watched(spark, sf).select(
+        "name", "input_rows", F.col("late_rows").cast("int").alias("late_rows"), (F.col("batches") > 1).alias("several_batches"),
+        (F.col("avg_latency_us") > 0).alias("has_latency"), (F.col("throughput_fps") > 0).alias("has_rate"))
+
+
+@query("realtime_table_live")
+def _realtime_table_live(spark, sf):
+    """The report row of a finished stream, with mean latency and throughput from its progress."""
+    rates = _watched(spark, sf).where("name = 'alerts'").first()
+    decided = cascade.cascade_decide(V.scores(spark, sf))
+    return cascade.realtime_table(cascade.stream_metrics(decided, rates["busy_ms"] / 1000.0))
 
 
 @query("block_requests_batch", _BLOCK_SQL, ("decided",))
@@ -889,8 +942,8 @@ def _m1(spark, sf):
 
 
 def _m3(spark, sf):
-    train = _data(spark, sf).where("split = 'train'")
-    return keep(spark, f"tier3 {sf}", lambda: models.train_multiclass(train, rounds=3, depth=4, trees=10))
+    rows = _data(spark, sf).where("split <> 'test'").withColumn("is_val", F.col("split") == "val")
+    return keep(spark, f"tier3 {sf}", lambda: models.train_multiclass(rows, rounds=3, depth=4, trees=10))
 
 
 @query("train_binary")

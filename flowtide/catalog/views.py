@@ -77,10 +77,58 @@ def flows(spark, sf) -> DataFrame:
     return spark.read.parquet(flow_folder(spark, sf))
 
 
-def flow_stream(spark, sf) -> DataFrame:
-    """The stored flows as a file stream."""
-    path = flow_folder(spark, sf)
-    return spark.readStream.schema(spark.read.parquet(path).schema).parquet(path)
+SLICES, SLICE_FILES = 4, 2
+CLOSING = "closing"  # source of the row that ends a closed stream
+
+
+def stream_folder(spark, sf, closed: bool) -> str:
+    """The flows as files in time order, ``SLICE_FILES`` per slice; a closed folder ends with one row a day later.
+
+    That row moves the watermark past all others, so that every window and
+    session of theirs is emitted; its own stay open.
+    """
+    def store():
+        path = scratch_path(spark, "stream")
+        f = flows(spark, sf)
+        first, last = f.agg(F.min("flow_id"), F.max("flow_id")).first()
+        step = (last - first) // SLICES + 1
+        for i in range(SLICES):
+            part = f.where((F.col("flow_id") >= first + i * step) & (F.col("flow_id") < first + (i + 1) * step))
+            part.repartition(SLICE_FILES, "flow_id").write.mode("append").parquet(path)
+        if closed:
+            # an id whose made-up score is an alert
+            end = f.where(F.col("flow_id") == last).withColumns({
+                "ts": F.col("ts") + F.expr("INTERVAL '1' DAY"), "src_ip": F.lit(CLOSING), "flow_id": F.lit(10**12 + 27)})
+            end.withColumns({"raw_label": F.lit("BENIGN"), "source_year": F.lit(2017), **{c: F.lit(1.0) for c in S.GOLDEN12}}).coalesce(1).write.mode("append").parquet(path)
+        return path
+
+    return keep(spark, f"stream {closed} {sf}", store)
+
+
+def flow_stream(spark, sf, closed: bool = False) -> DataFrame:
+    """The stored flows as a file stream of several micro-batches."""
+    path = stream_folder(spark, sf, closed)
+    return spark.readStream.schema(flows(spark, sf).schema).option("maxFilesPerTrigger", SLICE_FILES).parquet(path)
+
+
+def log_stream(spark, sf) -> DataFrame:
+    """The attack log as a file stream in start order, with a closing row a day later."""
+    def store():
+        path = scratch_path(spark, "log")
+        log = attack_log(spark, sf)
+        first, last = log.agg(F.min("start_ts"), F.max("start_ts")).first()
+        step = (last - first) / SLICES
+        for i in range(SLICES):
+            low, high = first + i * step, first + (i + 1) * step
+            inside = (F.col("start_ts") >= F.lit(low)) & ((F.col("start_ts") < F.lit(high)) if i < SLICES - 1 else F.lit(True))
+            log.where(inside).coalesce(1).write.mode("append").parquet(path)
+        end = log.limit(1).withColumns({"log_id": F.lit(10**12), "start_ts": F.lit(last) + F.expr("INTERVAL '1' DAY"),
+                                        "end_ts": F.lit(last) + F.expr("INTERVAL '25' HOUR")})
+        end.coalesce(1).write.mode("append").parquet(path)
+        return path
+
+    path = keep(spark, f"log stream {sf}", store)
+    return spark.readStream.schema(attack_log(spark, sf).schema).option("maxFilesPerTrigger", 1).parquet(path)
 
 
 def files(spark, sf) -> DataFrame:

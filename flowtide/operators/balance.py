@@ -91,7 +91,7 @@ def synthesize_minority(df: DataFrame, row_id: str, label: str = "unified_label"
 
 
 def smote(df: DataFrame, row_id: str, label: str = "unified_label", features: list[str] | None = None,
-          target: int = 20_000, k: int = 5, seed: int = 42) -> DataFrame:
+          target: int = 20_000, k: int = 5, seed: int = 42, method: str = "exact") -> DataFrame:
     """Interpolated rows x + u (nn - x) for classes below ``target``.
 
     Result: (id, features, label, origin, base_id, nn_id, u).  Base row,
@@ -101,7 +101,7 @@ def smote(df: DataFrame, row_id: str, label: str = "unified_label", features: li
     cols = features or S.GOLDEN12
     small = _small_classes(df, label, target)
     rows = df.select(row_id, label, *cols).join(small, label)  # one row per class
-    near = knn_lists(rows, cols, k, row_id, within=label)
+    near = knn_lists(rows, cols, k, row_id, within=label, method=method)
     # fewer than ``target`` rows per class reach this window
     place = (F.row_number().over(Window.partitionBy(label).orderBy(row_id)) - 1).cast("bigint")
     base = near.withColumn("_pos", place)
@@ -120,11 +120,11 @@ def smote(df: DataFrame, row_id: str, label: str = "unified_label", features: li
 
 
 def enn_clean(df: DataFrame, row_id: str, label: str = "unified_label", features: list[str] | None = None,
-              k: int = 3, scale: bool = False) -> DataFrame:
+              k: int = 3, scale: bool = False, method: str = "exact") -> DataFrame:
     """Drop rows whose k nearest neighbours are not all of their own class.
 
     The smallest class is left alone.  ``scale`` standardises the features
-    before measuring distances.
+    before measuring distances; ``method`` is that of the neighbour join.
     """
     cols = features or S.GOLDEN12
     smallest = df.groupBy(label).agg(F.count(F.lit(1)).alias("n")).agg(
@@ -134,7 +134,7 @@ def enn_clean(df: DataFrame, row_id: str, label: str = "unified_label", features
         stats = df.agg(*[F.struct(F.avg(c).alias("m"), F.stddev_samp(c).alias("s")).alias(c) for c in cols]).first()
         work = df.withColumns({f"_z_{c}": (F.col(c) - stats[c]["m"]) / (stats[c]["s"] or 1.0) for c in cols})
         cols = [f"_z_{c}" for c in cols]
-    near = knn_lists(work, cols, k, row_id, tag=label)
+    near = knn_lists(work, cols, k, row_id, tag=label, method=method)
     agree = F.forall("nn", lambda x: x["tag"] == F.col(label))
     return near.where((F.col(label) == smallest) | agree).select(*df.columns)
 

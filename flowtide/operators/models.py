@@ -14,6 +14,7 @@ from flowtide import schema as S
 from flowtide.functions import binary_target, class_code, class_name, decide
 from flowtide.operators.evaluate import confusion_matrix, overall_report, per_class_report
 from flowtide.operators.features import assemble_features
+from flowtide.operators.rounds import PATIENCE, best_round, cut_ensemble, joint_log_loss, pr_auc, score_counts, tree_arrays
 from flowtide.session import cut
 
 SEED = 42
@@ -25,31 +26,60 @@ def _prepared(df: DataFrame, label: str, target: Column) -> DataFrame:
 
 
 def train_binary(df: DataFrame, label: str = "unified_label", rounds: int = 300, depth: int = 6, rate: float = 0.1,
-                 positive: str = S.DOS, seed: int = SEED):
+                 positive: str = S.DOS, seed: int = SEED, patience: int = PATIENCE):
     """Boosted trees for positive class against the rest.
 
-    A boolean column ``is_val`` marks validation rows; boosting then stops
-    once the validation error no longer improves.
+    A boolean column ``is_val`` marks validation rows.  They are not trained on;
+    the ensemble ends at the round with the largest area under their
+    precision-recall curve before ``patience`` rounds without a larger one.
     """
     gbt = GBTClassifier(labelCol="y", maxDepth=depth, stepSize=rate, maxIter=rounds, seed=seed)
-    if "is_val" in df.columns:
-        gbt = gbt.setValidationIndicatorCol("is_val")
-    return gbt.fit(_prepared(df, label, binary_target(label, positive)))
+    target = binary_target(label, positive)
+    if "is_val" not in df.columns:
+        return gbt.fit(_prepared(df, label, target))
+    model = gbt.fit(_prepared(df.where(~F.coalesce("is_val", F.lit(False))).drop("is_val"), label, target))
+    by_round = pr_auc_by_round(model, df.where("is_val"), label, positive)
+    return cut_ensemble(model, best_round(by_round, patience)) if by_round else model
+
+
+def pr_auc_by_round(model, df: DataFrame, label: str = "unified_label", positive: str = S.DOS) -> list[float]:
+    """Area under the precision-recall curve of ``df`` after each round; empty without a positive row."""
+    counts = score_counts(df, tree_arrays(model, df.sparkSession), binary_target(label, positive))
+    return [r["pr_auc"] for r in pr_auc(counts).orderBy("round").collect()]  # one number per round
 
 
 def train_multiclass(df: DataFrame, label: str = "unified_label", rounds: int = 400, depth: int = 8,
-                     rate: float = 0.1, trees: int = 100, seed: int = SEED, learners: tuple = ("boosted", "forest")):
-    """Two learners over the six classes: boosted trees one-vs-rest, and a random forest."""
-    data = _prepared(df, label, class_code(label)).drop("is_val")
+                     rate: float = 0.1, trees: int = 100, seed: int = SEED, learners: tuple = ("boosted", "forest"),
+                     patience: int = PATIENCE):
+    """Two learners over the six classes: boosted trees one-vs-rest, and a random forest.
+
+    With validation rows (``is_val``) the boosted ensembles of all classes end at
+    the same round: the one with the least log loss before ``patience`` rounds
+    without a lesser one.  Both learners train on the stored, prepared rows.
+    """
+    val = df.where("is_val") if "is_val" in df.columns else None
+    train = df if val is None else df.where(~F.coalesce("is_val", F.lit(False))).drop("is_val")
+    data = cut(_prepared(train, label, class_code(label)))
     out = {}
     if "boosted" in learners:
         base = GBTClassifier(maxDepth=depth, stepSize=rate, maxIter=rounds, seed=seed)
-        out["boosted"] = OneVsRest(classifier=base, labelCol="y", parallelism=2).fit(data)
+        model = OneVsRest(classifier=base, labelCol="y", parallelism=2).fit(data)
+        losses = [] if val is None else log_loss_by_round(model, val, label)
+        if losses:
+            end = best_round(losses, patience, largest=False)
+            model = model._copyValues(OneVsRestModel([cut_ensemble(m, end) for m in model.models]))
+        out["boosted"] = model
     if "forest" in learners:
         out["forest"] = RandomForestClassifier(labelCol="y", maxDepth=depth, numTrees=trees, seed=seed).fit(data)
     return out
 
 
+def log_loss_by_round(model: OneVsRestModel, df: DataFrame, label: str = "unified_label") -> list[float]:
+    """Mean log loss of ``df`` with all classes' ensembles cut after each round."""
+    ensembles = [tree_arrays(m, df.sparkSession) for m in model.models]
+    return [r["log_loss"] for r in joint_log_loss(df, ensembles, class_code(label)).orderBy("round").collect()]  # one number per round
+
+
 def score_binary(model, df: DataFrame, out: str = "p1") -> DataFrame:
     """Probability of the positive class."""
     scored = model.transform(assemble_features(df))
@@ -57,12 +87,21 @@ def score_binary(model, df: DataFrame, out: str = "p1") -> DataFrame:
 
 
 def score_multiclass(model, df: DataFrame, out: str = "probs") -> DataFrame:
-    """Class probabilities in code order, summing to 1."""
-    scored = model.transform(assemble_features(df))
+    """Class probabilities in code order, summing to 1.
+
+    The binary models of a one-vs-rest learner are applied one after another,
+    which works on streams as well.
+    """
     if isinstance(model, OneVsRestModel):
-        # one margin per class; the boosted logistic doubles the margin
-        p = F.transform(vector_to_array("rawPrediction"), lambda m: 1.0 / (1.0 + F.exp(-2.0 * m)))
+        scored, margins = assemble_features(df), []
+        for i, m in enumerate(model.models):
+            names = {m.rawPredictionCol: f"_raw{i}", m.probabilityCol: f"_prob{i}", m.predictionCol: f"_pred{i}"}
+            scored = m.copy(names).transform(scored)
+            margins.append(vector_to_array(f"_raw{i}")[1])
+        # the boosted logistic doubles the margin
+        p = F.array(*[1.0 / (1.0 + F.exp(-2.0 * m)) for m in margins])
     else:
+        scored = model.transform(assemble_features(df))
         p = vector_to_array("probability")
     total = F.aggregate("_p", F.lit(0.0), lambda a, x: a + x)
     return scored.withColumn("_p", p).withColumn(out, F.transform("_p", lambda x: x / total)).select(*df.columns, out)

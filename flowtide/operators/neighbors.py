@@ -10,6 +10,13 @@
    blocks are skipped.
 4. A block that many points ask for is split over several tasks by salt.
 
+``method="lsh"`` answers approximately with bounded work per point.  Each of
+several tables projects the vectors on its own random directions and parts them
+at medians of a sample, so bucket lengths follow the data and a bucket holds a
+fixed number of points however many there are; a point is compared with its
+bucket mates of every table only.  A point that finds too few mates (a rare
+group, say) falls back to the exact search.
+
 Order of neighbours: squared Euclidean distance, then id.
 """
 
@@ -32,6 +39,9 @@ MAX_BOXES = 4 * MAX_BLOCKS  # blocks of all groups together
 SAMPLE_PER_BLOCK = 16
 PROBES_PER_TASK = 5_000     # points that search one block in one task
 CELLS = 200_000             # distances computed at a time: stays in cache
+LSH_TABLES = 8              # independent sets of random directions
+LSH_BUCKET = 512            # aimed-at points per bucket; none holds more than twice as many
+LSH_DIRECTIONS = 16         # random directions per table
 HOT_SHARE = 1_000           # a vector with more than 1/1000 of the rows is hot: fewer than 1,000 such
 HOT_ROWS = 100_000          # and below this many rows none is
 
@@ -245,14 +255,104 @@ def _point_neighbors(points: DataFrame, queries: DataFrame | None, dims: int, k:
     return both.withColumn("_r", rank).where(F.col("_r") <= k).drop("_r")
 
 
+def _directions(table: int, dims: int) -> np.ndarray:
+    """Random orthonormal directions of one table, as columns."""
+    q, _ = np.linalg.qr(np.random.default_rng([table, dims]).standard_normal((dims, dims)))
+    return q[:, :LSH_DIRECTIONS]
+
+
+def _bucket_pairs(q_id, q, s_id, s, k: int, most: int, table: int, depth: int = 0) -> list[pd.DataFrame]:
+    """k nearest within one bucket; a bucket above ``most`` points is parted at the median of further directions."""
+    if not len(q) or not len(s):
+        return []
+    if len(s) > most:
+        for attempt in range(8):
+            a = np.random.default_rng([table, depth, attempt, 7]).standard_normal(s.shape[1])
+            at_s, at_q = s @ a, q @ a
+            cut_at = np.median(at_s)
+            low = at_s <= cut_at
+            if 0 < low.sum() < len(s):
+                below = at_q <= cut_at
+                return (_bucket_pairs(q_id[below], q[below], s_id[low], s[low], k, most, table, depth + 1)
+                        + _bucket_pairs(q_id[~below], q[~below], s_id[~low], s[~low], k, most, table, depth + 1))
+    order = np.argsort(s_id)
+    return [_nearest(q_id, q, np.full(len(q), np.inf), s_id[order], s[order], k)]
+
+
+def _approximate_neighbors(points: DataFrame, queries: DataFrame | None, dims: int, k: int) -> DataFrame:
+    """(q, s, d2): k near points of each query point among its bucket mates of all tables."""
+    tables, bucket = LSH_TABLES, LSH_BUCKET
+    spark = points.sparkSession
+    n = points.count()
+    leaves = int(min(max(n // bucket, 1), MAX_BLOCKS))  # beyond, buckets are parted further inside the tasks
+    share = min(1.0, leaves * SAMPLE_PER_BLOCK / max(n, 1))
+    drawn = points.where(hash_unit("point", 17) < share).select("v").toPandas() if leaves > 1 else []
+    turns = [_directions(t, dims) for t in range(tables)]
+    trees = [_grow_partition(np.stack(drawn["v"]) @ r, leaves) if len(drawn) else None for r in turns]
+    known = spark.sparkContext.broadcast((turns, trees))
+
+    @F.pandas_udf("array<bigint>")
+    def buckets(it: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        turns, trees = known.value
+        for v in it:
+            x = np.stack(v) if len(v) else np.zeros((0, dims))
+            at = [_find_leaf(t, x @ r) if t is not None else np.zeros(len(x), dtype=np.int64) for r, t in zip(turns, trees)]
+            yield pd.Series(list(np.stack(at, axis=1)) if len(x) else [], dtype=object)
+
+    def hashed(df: DataFrame) -> DataFrame:
+        return df.select("g", "point", "v", F.posexplode(buckets("v")).alias("tab", "leaf"))
+
+    keys, pairs = ["tab", "g", "leaf"], "q bigint, s bigint, d2 double"
+    nothing = {"q": "int64", "s": "int64", "d2": "float64"}
+
+    def joined(parts: list[pd.DataFrame]) -> pd.DataFrame:
+        return pd.concat(parts) if parts else pd.DataFrame({c: [] for c in nothing}).astype(nothing)
+
+    def among(ss: pd.DataFrame) -> pd.DataFrame:
+        ids, x = ss["point"].to_numpy(), np.stack(ss["v"])
+        return joined(_bucket_pairs(ids, x, ids, x, k, 2 * bucket, int(ss["tab"].iloc[0])))
+
+    def between(qs: pd.DataFrame, ss: pd.DataFrame) -> pd.DataFrame:
+        if not len(qs) or not len(ss):
+            return joined([])
+        return joined(_bucket_pairs(qs["point"].to_numpy(), np.stack(qs["v"]), ss["point"].to_numpy(), np.stack(ss["v"]),
+                                    k, 2 * bucket, int(ss["tab"].iloc[0])))
+
+    if queries is None:
+        found = hashed(points).groupBy(*keys).applyInPandas(among, pairs)
+    else:
+        asked = cut(hashed(queries))
+        crowd = asked.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / F.lit(PROBES_PER_TASK)).cast("int").alias("parts"))
+        left = asked.join(crowd, keys).withColumn("part", F.pmod(F.xxhash64("point"), F.col("parts")).cast("int"))
+        held = hashed(points).join(crowd, keys).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+        left, held = (d.select(*[F.col(c).alias(f"{side}_{c}") for c in [*keys, "part"]], "point", "v", F.col("tab").alias("tab"))
+                      for side, d in (("l", left), ("r", held)))
+        found = left.groupBy(*[f"l_{c}" for c in [*keys, "part"]]).cogroup(
+            held.groupBy(*[f"r_{c}" for c in [*keys, "part"]])).applyInPandas(between, pairs)
+    rank = F.row_number().over(Window.partitionBy("q").orderBy("d2", "s"))
+    near = cut(found.groupBy("q", "s").agg(F.min("d2").alias("d2")).withColumn("_r", rank).where(F.col("_r") <= k).drop("_r"))
+    # points with too few mates are searched exactly
+    full = near.groupBy("q").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") >= k).select(F.col("q").alias("point"))
+    short = cut((points if queries is None else queries).select("g", "point", "v").join(full, "point", "left_anti"))
+    if short.isEmpty():
+        return near
+    exact = _point_neighbors(points, short, dims, k)
+    return near.join(full.withColumnRenamed("point", "q"), "q", "left_semi").unionByName(exact)
+
+
 def knn_lists(left: DataFrame, features: list[str] | str, k: int, row_id: str, right: DataFrame | None = None,
-              tag: str | None = None, within: str | None = None, exclude_self: bool | None = None) -> DataFrame:
+              tag: str | None = None, within: str | None = None, exclude_self: bool | None = None,
+              method: str = "exact") -> DataFrame:
     """Rows of ``left`` with ``nn``: array of (d2, id, tag), nearest first.
 
+    ``method`` is "exact", or "lsh" for approximate lists with bounded work per point.
+
     ``right`` defaults to ``left``; rows then skip themselves.  ``tag`` is a
     column of the neighbour to bring along, ``within`` restricts neighbours to
     the same group.  Ids are integers and unique.
     """
+    if method not in ("exact", "lsh"):
+        raise ValueError(f"unknown method {method}")
     self_join = right is None
     skip = self_join if exclude_self is None else exclude_self
     kk = k + 1 if skip else k
@@ -269,7 +369,8 @@ def knn_lists(left: DataFrame, features: list[str] | str, k: int, row_id: str, r
     dims = len(features) if not isinstance(features, str) else (
         points.select(F.max(F.size("v"))).first()[0] or 0)
     queries = None if self_join else shaped(left).groupBy("g", "v").agg(F.min("id").alias("point"))
-    near = _point_neighbors(points, queries, dims, kk)
+    search = _point_neighbors if method == "exact" else _approximate_neighbors
+    near = search(points, queries, dims, kk)
     named = near.join(points.select(F.col("point").alias("s"), "members"), "s")
     lists = named.groupBy("q").agg(F.slice(F.array_sort(F.flatten(F.collect_list(F.transform(
         "members", lambda m: F.struct(F.col("d2").alias("d2"), m["id"].alias("id"), m["tag"].alias("tag")))))),
@@ -302,8 +403,8 @@ def _attach_lists(rows: DataFrame, lists: DataFrame) -> DataFrame:
 
 
 def knn_join(left: DataFrame, features: list[str] | str, k: int, row_id: str, right: DataFrame | None = None,
-             within: str | None = None) -> DataFrame:
+             within: str | None = None, method: str = "exact") -> DataFrame:
     """(id, nn_rank, nn_id, distance): the k nearest neighbours, self excluded."""
-    lists = knn_lists(left, features, k, row_id, right=right, within=within)
+    lists = knn_lists(left, features, k, row_id, right=right, within=within, method=method)
     return lists.select(row_id, F.posexplode("nn").alias("_p", "_n")).select(
         row_id, (F.col("_p") + 1).alias("nn_rank"), F.col("_n.id").alias("nn_id"), F.sqrt("_n.d2").alias("distance"))

@@ -10,6 +10,7 @@ from flowtide.operators.windows import ATTACKS, MEANS, entropy_of_counts, label_
 from flowtide import schema as S
 from flowtide.plans.live import prepare_live
 from flowtide.sources.events import filter_event_types, ids_event_features, ids_event_tuple
+from flowtide.streaming.state import stream_blocks
 
 
 def _timed(stream: DataFrame, ts: str, delay: str) -> DataFrame:
@@ -81,35 +82,25 @@ def stream_tier2_windows(flows: DataFrame, ts: str = "ts", width: str = "5 minut
         (attacks / F.col("flow_count")).alias("attack_flow_fraction"))
 
 
-def stream_block_requests(alert_rows: DataFrame, path: str, checkpoint: str):
-    """Keep one block request per source.
+def stream_block_requests(alert_rows: DataFrame, ttl_seconds: float = 3600.0, delay: str = "10 minutes") -> DataFrame:
+    """Alert stream -> one ``block`` and one ``release`` action per hostile source; see ``stream_blocks``."""
+    return stream_blocks(alert_rows, ttl_seconds, delay)
 
-    Each micro-batch writes its partial result under its own batch number,
-    replacing what an earlier try of the same batch wrote; ``read_blocks``
-    merges the parts.  Returns the running query.
-    """
-    def write(batch: DataFrame, batch_id: int) -> None:
-        at = F.struct("ts", "flow_id")
-        part = batch.groupBy("src_ip").agg(
-            F.min("ts").alias("first_seen"), F.max("ts").alias("last_seen"), F.count(F.lit(1)).alias("n_alerts"),
-            F.min(F.struct(at.alias("at"), F.col("predicted_class").alias("c"))).alias("first"))
-        part.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
 
-    return (alert_rows.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
-            .trigger(availableNow=True).start())
+def stream_ids_blocks(events: DataFrame, tier1=None, tier3=None, ttl_seconds: float = 3600.0, delay: str = "10 minutes") -> DataFrame:
+    """Event stream -> features -> alerts -> block requests."""
+    return stream_block_requests(stream_ids_events(events, tier1, tier3), ttl_seconds, delay)
 
 
-def read_blocks(spark: SparkSession, path: str) -> DataFrame:
-    parts = spark.read.parquet(path)
-    return parts.groupBy("src_ip").agg(
-        F.min("first_seen").alias("first_seen"), F.max("last_seen").alias("last_seen"),
-        F.sum("n_alerts").alias("n_alerts"), F.min("first").alias("_f"),
-    ).select("src_ip", "first_seen", "last_seen", "n_alerts", F.col("_f.c").alias("predicted_class"))
+def released(actions: DataFrame) -> DataFrame:
+    """The finished blocks of stored actions, in the columns of the batch ``block_requests``."""
+    return actions.where("action = 'release'").drop("action")
 
 
-def run_to_files(stream: DataFrame, path: str, checkpoint: str, fmt: str = "parquet") -> None:
+def run_to_files(stream: DataFrame, path: str, checkpoint: str, fmt: str = "parquet", name: str | None = None) -> None:
     """Drain an append stream into files and wait for it."""
-    q = (stream.writeStream.format(fmt).outputMode("append").option("path", path)
+    writer = stream.writeStream.queryName(name) if name else stream.writeStream
+    q = (writer.format(fmt).outputMode("append").option("path", path)
          .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
     q.awaitTermination()
 

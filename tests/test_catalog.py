@@ -10,7 +10,7 @@ SF = "/root/testdata/sf0.001"
 TABLES = ["events", "lineitem", "embeddings"]
 # the inventory keys that have no SQL twin
 ROWS_ONLY = {"schema_consistency", "synthesize_minority", "balance_dataset", "train_binary", "train_multiclass", "evaluate_model",
-             "zero_shot_eval", "domain_adapt", "score_cascade_models", "feature_attribution"}
+             "zero_shot_eval", "domain_adapt", "realtime_table_live", "score_cascade_models", "feature_attribution"}
 
 
 @pytest.fixture(scope="module")

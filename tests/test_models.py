@@ -7,9 +7,11 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from flowtide import schema as S
-from flowtide.operators import attribution, cascade, features, models
+from flowtide.operators import artefact, attribution, cascade, features, models, rounds
 from flowtide.operators.attribution import _pattern_values
 from flowtide.plans import live
+from flowtide.session import scratch_path
+from flowtide.streaming import jobs
 
 
 @pytest.fixture(scope="module")
@@ -103,3 +105,82 @@ def test_missing_feature_is_an_error_at_the_model_edge(spark, data, tier1):
     broken = data.withColumn("flow_duration", F.lit(None).cast("double"))
     with pytest.raises(Exception):
         models.score_binary(tier1, broken).collect()
+
+
+def pr_area(y, score):
+    """Area under the precision-recall curve by trapezoids over distinct scores."""
+    order = np.argsort(-score, kind="stable")
+    y, score = y[order], score[order]
+    ends = np.flatnonzero(np.append(score[1:] != score[:-1], True))
+    tp, n = np.cumsum(y)[ends], ends + 1
+    p, r = tp / n, tp / y.sum()
+    return float((np.diff(np.append(0, r)) * (p + np.append(p[0], p[:-1])) / 2).sum())
+
+
+def test_rounds_are_chosen_as_by_refitting(data):
+    """Every number of rounds fitted anew: the same areas, the same choice, the same model."""
+    train, val = data.where("not is_val").drop("is_val"), data.where("is_val")
+    y = np.array([r.unified_label == S.DOS for r in val.orderBy("flow_id").select("unified_label").collect()])
+    areas, kept = [], {}
+    for n in range(1, 7):
+        m = models.train_binary(train, rounds=n, depth=2)
+        kept[n] = np.array([r.p1 for r in models.score_binary(m, val).orderBy("flow_id").select("p1").collect()])
+        areas.append(pr_area(y, kept[n]))
+    assert np.allclose(models.pr_auc_by_round(m, val), areas, atol=1e-6)
+    for patience in (1, 3):
+        chosen = models.train_binary(data, rounds=6, depth=2, patience=patience)
+        best = rounds.best_round(areas, patience)
+        assert chosen.getNumTrees == best
+        got = np.array([r.p1 for r in models.score_binary(chosen, val).orderBy("flow_id").select("p1").collect()])
+        assert np.allclose(got, kept[best])
+
+
+def test_patience():
+    assert rounds.best_round([1, 2, 2, 1, 3], patience=2) == 2
+    assert rounds.best_round([1, 2, 2, 1, 3], patience=3) == 5
+    assert rounds.best_round([3, 2, 2.5, 1], patience=9, largest=False) == 4
+    assert rounds.best_round([]) == 0
+
+
+def test_joint_stopping_of_the_classes(data):
+    full = models.train_multiclass(data.drop("is_val"), rounds=4, depth=3, learners=("boosted",))["boosted"]
+    losses = models.log_loss_by_round(full, data)
+    code = {c: i for i, c in enumerate(S.CLASSES)}
+    rows = models.score_multiclass(full, data).select("unified_label", "probs").collect()
+    assert losses[-1] == pytest.approx(-np.mean([np.log(max(r.probs[code[r.unified_label]], 1e-15)) for r in rows]))
+    kept = models.train_multiclass(data, rounds=4, depth=3, learners=("boosted",), patience=1)["boosted"]
+    by_round = models.log_loss_by_round(models.train_multiclass(data.where("not is_val").drop("is_val"), rounds=4, depth=3, learners=("boosted",))["boosted"], data.where("is_val"))
+    assert {m.getNumTrees for m in kept.models} == {rounds.best_round(by_round, 1, largest=False)}
+
+
+@pytest.mark.parametrize("learner", ["boosted", "forest"])
+def test_a_stored_cascade_serves_a_stream(spark, data, tier1, tier3, learner):
+    """Saved, loaded and applied to a stream of several batches: the alerts of the batch."""
+    path = scratch_path(spark, "cascade")
+    assert artefact.save_cascade(spark, path, tier1, tier3[learner]) == 1
+    t1, t3 = artefact.load_cascade(spark, path)
+    flows = data.select("*", F.timestamp_seconds("flow_id").alias("ts"), F.concat(F.lit("s"), F.col("flow_id") % 3).alias("src_ip"),
+                        F.lit("d").alias("dst_ip"), F.lit(80).alias("dst_port")).drop("is_val", "unified_label")
+    folder = scratch_path(spark, "flows")
+    flows.repartition(3).write.parquet(folder)
+    stream = jobs.stream_cascade(spark.readStream.schema(flows.schema).option("maxFilesPerTrigger", 1).parquet(folder), t1, t3, seconds=False)
+    out = scratch_path(spark, "out")
+    jobs.run_to_files(stream, out, scratch_path(spark, "ckpt"))
+    want = cascade.alerts(cascade.score_cascade(flows, tier1, tier3[learner]))
+    got = spark.read.schema(stream.schema).parquet(out).select(want.columns)
+    assert got.count() == want.count() > 100 and got.exceptAll(want).isEmpty()
+
+
+def test_cascade_versions_and_orders_are_checked(spark, tier1, tier3):
+    path = scratch_path(spark, "cascade")
+    with pytest.raises(FileNotFoundError):
+        artefact.load_cascade(spark, path)
+    assert artefact.save_cascade(spark, path, tier1, tier3["forest"]) == 1
+    tier1.write().save(f"{path}/version=2/tier1")  # an attempt that broke off
+    assert artefact.versions(spark, path).select("version").distinct().count() == 1
+    assert artefact.save_cascade(spark, path, tier1, tier3["forest"], classes=S.CLASSES[::-1]) == 2
+    with pytest.raises(ValueError):
+        artefact.load_cascade(spark, path)
+    assert len(artefact.load_cascade(spark, path, version=1)) == 2
+    with pytest.raises(FileNotFoundError):
+        artefact.load_cascade(spark, path, version=7)

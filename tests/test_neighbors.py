@@ -1,5 +1,7 @@
 import numpy as np
+import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from flowtide.operators import balance, neighbors
 
@@ -115,3 +117,68 @@ def test_no_target_beyond_the_bound(spark):
     df = spark.createDataFrame([(1, 1.0, "a")], "id long, x double, unified_label string")
     with pytest.raises(ValueError):
         balance.smote(df, "id", features=["x"], target=10**9)
+
+
+# ---------------------------------------------------------------- approximate search
+def recall(spark, df, k, **kw):
+    exact = neighbors.knn_join(df, "v", k, "id", **kw).select("id", "nn_id")
+    near = neighbors.knn_join(df, "v", k, "id", method="lsh", **kw).select("id", "nn_id")
+    return exact.intersect(near).count() / exact.count()
+
+
+def test_lsh_recall_on_the_given_vectors(spark, monkeypatch):
+    monkeypatch.setattr(neighbors, "LSH_BUCKET", 128)
+    df = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet").select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"))
+    assert recall(spark, df, 5) >= 0.9
+
+
+@pytest.fixture(scope="module")
+def clustered(spark):
+    def make(n):
+        rng = np.random.default_rng(n)
+        centres = rng.normal(size=(n // 25, 32)) * 3
+        x = centres[rng.integers(len(centres), size=n)] + rng.normal(size=(n, 32))
+        return spark.createDataFrame(pd.DataFrame({"id": np.arange(n), "v": list(x), "g": [f"g{i % 2}" for i in range(n)]}))
+    return make
+
+
+def test_lsh_work_per_point_does_not_grow(spark, clustered, monkeypatch):
+    """Recall holds and no bucket grows while the table becomes four times as large."""
+    monkeypatch.setattr(neighbors, "LSH_TABLES", 8)
+    monkeypatch.setattr(neighbors, "LSH_BUCKET", 64)
+    for n in (1500, 6000):
+        assert recall(spark, clustered(n), 5) >= 0.9
+    sizes = []
+    real = neighbors._nearest
+    monkeypatch.setattr(neighbors, "_nearest", lambda *a: sizes.append(len(a[4])) or real(*a))
+    x = np.random.default_rng(1).normal(size=(5000, 8))
+    ids = np.arange(len(x))
+    got = pd.concat(neighbors._bucket_pairs(ids, x, ids, x, 3, 128, 0))
+    assert max(sizes) <= 128 and len(got) == 3 * len(x)  # an oversized bucket is parted until it fits
+
+
+def test_lsh_falls_back_to_the_exact_search(spark, clustered, monkeypatch):
+    """A rare group is spread over all buckets; its points still get their exact neighbours."""
+    monkeypatch.setattr(neighbors, "LSH_TABLES", 2)
+    monkeypatch.setattr(neighbors, "LSH_BUCKET", 64)
+    df = clustered(1500).withColumn("g", F.when(F.col("id") % 300 == 0, "rare").otherwise("many"))
+    rare = F.col("id") % 300 == 0
+    exact = neighbors.knn_join(df, "v", 3, "id", within="g").where(rare)
+    near = neighbors.knn_join(df, "v", 3, "id", within="g", method="lsh").where(rare)
+    assert exact.count() == near.count() == 15 and exact.exceptAll(near).isEmpty()
+
+
+def test_lsh_between_two_tables_and_odd_inputs(spark, clustered, monkeypatch):
+    monkeypatch.setattr(neighbors, "LSH_TABLES", 8)
+    monkeypatch.setattr(neighbors, "LSH_BUCKET", 64)
+    monkeypatch.setattr(neighbors, "PROBES_PER_TASK", 20)
+    df = clustered(1000)
+    left, right = df.where("id < 300").drop("g"), df.where("id >= 300").drop("g")
+    exact = neighbors.knn_join(left, "v", 4, "id", right=right).select("id", "nn_id")
+    near = neighbors.knn_join(left, "v", 4, "id", right=right, method="lsh").select("id", "nn_id")
+    assert near.count() == exact.count() and exact.intersect(near).count() >= 0.9 * exact.count()
+    same = spark.createDataFrame([(i, [1.0, 2.0]) for i in range(9)], "id long, v array<double>")
+    assert {r.id: r.nn_id for r in neighbors.knn_join(same, "v", 1, "id", method="lsh").collect()} == {0: 1, **dict.fromkeys(range(1, 9), 0)}
+    assert neighbors.knn_join(same.where("id < 0"), "v", 1, "id", method="lsh").collect() == []
+    with pytest.raises(ValueError):
+        neighbors.knn_join(same, "v", 1, "id", method="hnsw")

@@ -4,9 +4,10 @@ from pyspark.sql import functions as F
 
 from flowtide import schema as S
 from flowtide.operators.cascade import alerts, block_requests, cascade_decide
+from flowtide.operators.intervals import sessionize
 from flowtide.operators.windows import tier2_windows
 from flowtide.session import scratch_path
-from flowtide.streaming import jobs
+from flowtide.streaming import jobs, progress, state
 
 T0 = datetime(2024, 1, 1)
 
@@ -71,19 +72,117 @@ def test_live_metrics(spark):
     assert sum(got.values()) == 150 and len(got) == 5
 
 
-def test_blocks_are_one_per_source_and_replayable(spark):
+def alerts_of(spark, rows):
+    return spark.createDataFrame([(T0 + timedelta(seconds=t), i, s, c) for t, i, s, c in rows], "ts timestamp, flow_id long, src_ip string, predicted_class string")
+
+
+def actions(spark, stream, ckpt=None, out=None):
+    out = out or scratch_path(spark, "out")
+    jobs.run_to_files(stream, out, ckpt or scratch_path(spark, "ckpt"))
+    return sorted((tuple(r) for r in spark.read.schema(stream.schema).parquet(out).collect()), key=repr)
+
+
+def test_one_block_per_source_over_several_batches(spark):
+    """Three batches with one source give one request; quiet sources are released with all their alerts."""
+    batches = [[(0, 1, "a", "BOTNET"), (5, 2, "a", "DoS_DDoS"), (6, 3, None, "BOTNET")], [(100, 4, "a", "WEB_ATTACK"), (90, 5, "b", "BOTNET"), (90, 4, "b", "DoS_DDoS")],
+               [(400, 6, "a", "BOTNET")], [(9000, 7, "z", "BOTNET")]]
+    got = actions(spark, jobs.stream_block_requests(stream_of(spark, *[alerts_of(spark, b) for b in batches]), ttl_seconds=600, delay="60 seconds"))
+    blocks = [r for r in got if r[0] == "block"]
+    assert sorted((r[1] or "") for r in blocks) == ["", "a", "b", "z"]
+    freed = {r[1]: r for r in got if r[0] == "release"}
+    assert set(freed) == {None, "a", "b"}
+    assert freed["a"][2:] == (T0, T0 + timedelta(seconds=400), 4, "BOTNET")
+    assert freed["b"][2:] == (T0 + timedelta(seconds=90), T0 + timedelta(seconds=90), 2, "DoS_DDoS")
+
+
+def test_a_source_that_returns_is_blocked_anew(spark):
+    batches = [[(0, 1, "a", "BOTNET")], [(2000, 2, "z", "BOTNET")], [(2500, 3, "a", "WEB_ATTACK")], [(9000, 4, "z", "BOTNET")]]
+    got = actions(spark, jobs.stream_block_requests(stream_of(spark, *[alerts_of(spark, b) for b in batches]), ttl_seconds=600, delay="60 seconds"))
+    assert [(r[0], r[5]) for r in got if r[1] == "a"] == [("block", "BOTNET"), ("block", "WEB_ATTACK"), ("release", "BOTNET"), ("release", "WEB_ATTACK")]
+
+
+def test_blocks_survive_a_restart(spark):
+    """The query ends and starts again from its checkpoint: nothing is repeated, counts go on."""
+    path, out, ckpt = scratch_path(spark, "in"), scratch_path(spark, "out"), scratch_path(spark, "ckpt")
+    first = alerts_of(spark, [(0, 1, "a", "BOTNET"), (1, 2, "b", "BOTNET")])
+    first.coalesce(1).write.mode("append").parquet(path)
+
+    def again():
+        stream = spark.readStream.schema(first.schema).parquet(path)
+        return actions(spark, jobs.stream_block_requests(stream, ttl_seconds=600, delay="60 seconds"), ckpt, out)
+
+    assert [r[:2] for r in again()] == [("block", "a"), ("block", "b")]
+    alerts_of(spark, [(30, 3, "a", "BOTNET"), (5000, 4, "z", "BOTNET")]).coalesce(1).write.mode("append").parquet(path)
+    got = again()
+    assert sorted((r[0], r[1], r[4]) for r in got) == [("block", "a", 1), ("block", "b", 1), ("block", "z", 1), ("release", "a", 2), ("release", "b", 1)]
+    assert again() == got
+
+
+def test_blocks_equal_the_batch_operator(spark):
     a, b = flow_rows(spark, range(100)), flow_rows(spark, range(100, 200), 100)
+    end = flow_rows(spark, [10**6], 300).withColumns({"p1": F.lit(0.9), "src_ip": F.lit("end")})
+    al = jobs.stream_cascade(stream_of(spark, a, b, end), seconds=False)
     out = scratch_path(spark, "b")
-    al = jobs.stream_cascade(stream_of(spark, a, b), seconds=False)
-    jobs.stream_block_requests(al, out, scratch_path(spark, "c")).awaitTermination()
-    # the same files again under a lost checkpoint: batch numbers repeat, parts are replaced
-    jobs.stream_block_requests(al, out, scratch_path(spark, "c2")).awaitTermination()
+    jobs.run_to_files(jobs.stream_block_requests(al), out, scratch_path(spark, "c"))
     want = block_requests(alerts(cascade_decide(a.unionAll(b))))
-    got = jobs.read_blocks(spark, out)
+    got = jobs.released(spark.read.parquet(out))
     assert got.count() == want.count() == 3
     assert got.select(want.columns).exceptAll(want).count() == 0
 
 
+def log_of(spark, rows):
+    return spark.createDataFrame([(i, T0 + timedelta(seconds=s), None if e is None else T0 + timedelta(seconds=e), k) for i, s, e, k in rows],
+                                 "log_id long, start_ts timestamp, end_ts timestamp, sensor string")
+
+
+def sessions_of(spark, rows, batches, closing=10**6, **kw):
+    """Streamed in ``batches`` (lists of row numbers) with a closing row for every sensor."""
+    frames = [log_of(spark, [rows[i] for i in b]) for b in batches]
+    frames.append(log_of(spark, [(10**9 + j, closing, closing, k) for j, k in enumerate(sorted({r[3] for r in rows}))]))
+    return sorted((r.sensor, r.log_id, r.session_id) for r in drain(spark, state.stream_sessionize(stream_of(spark, *frames), delay="100 seconds", **kw)).collect())
+
+
+LOG = [(1, 0, 30, "s"), (2, 30, 40, "s"), (3, 100, 500, "s"), (4, 161, 170, "s"), (5, 230, 231, "s"), (6, 292, 300, "s"), (7, 292, 310, "s"), (8, 400, None, "s"),
+       (9, 900, 950, "s"), (10, 1010, 1011, "s"), (11, 1072, 1080, "s")]
+
+
+def test_stream_sessions_equal_batch(spark):
+    """Out of order inside the delay, gaps of exactly a minute, equal starts, an open end, an overlapping long row."""
+    want = sorted(("s", r.log_id, r.session_id) for r in sessionize(log_of(spark, LOG)).collect())
+    assert len({w[2] for w in want}) > 3
+    for batches in ([[1, 0], [3, 2, 4], [6, 5, 7], [8, 9, 10]], [list(range(11))], [[i] for i in range(11)]):
+        assert sessions_of(spark, LOG, batches) == want
+
+
+def test_stream_sessions_by_key(spark):
+    rows = LOG + [(100 + i, s * 2, None if e is None else e * 2, "t") for i, s, e, _ in LOG]
+    got = sessions_of(spark, rows, [[0, 1, 2, 11, 12], [3, 4, 5, 6, 13, 14], [7, 8, 9, 10, 15, 16, 17, 18, 19, 20, 21]], by=["sensor"])
+    want = [("s", r.log_id, r.session_id) for r in sessionize(log_of(spark, LOG)).collect()]
+    want += [("t", r.log_id, r.session_id) for r in sessionize(log_of(spark, rows[11:])).collect()]
+    assert got == sorted(want)
+
+
+def test_open_sessions_wait_and_late_rows_are_counted(spark):
+    frames = [log_of(spark, LOG[:5]), log_of(spark, [(50, 2000, 2010, "s")]), log_of(spark, [(60, 5, 6, "s"), (61, 7, 8, "s"), (62, 8, 9, "s"), (63, 2050, 2060, "s")])]
+    path, out = scratch_path(spark, "progress"), scratch_path(spark, "out")
+    with progress.watch(spark, path):
+        stream = state.stream_sessionize(stream_of(spark, *frames), delay="100 seconds")
+        jobs.run_to_files(stream, out, scratch_path(spark, "ckpt"), name="sessions")
+    assert sorted(r.log_id for r in spark.read.parquet(out).collect()) == [1, 2, 3, 4, 5]  # 50 and 63 are not closed yet
+    rates = progress.stream_rates(progress.read_progress(spark, path)).collect()
+    assert [(r["name"], r.input_rows, r.late_rows, r.batches) for r in rates] == [("sessions", 10, 3, 3)]
+    assert rates[0].avg_latency_us > 0 and rates[0].throughput_fps > 0
+
+
+def test_progress_of_a_repeated_batch_counts_once(spark):
+    path = scratch_path(spark, "p")
+    rows = [("q", "r1", "n", 0, "2024-01-01T00:00:00", 5, 10, 1, 0, 0, None), ("q", "r2", "n", 0, "2024-01-01T00:00:09", 5, 30, 1, 0, 0, None), ("q", "r2", "n", 1, "2024-01-01T00:00:10", 0, 0, 0, 0, 0, None)]
+    spark.createDataFrame(rows, progress.SCHEMA).write.parquet(path)
+    r = progress.stream_rates(progress.read_progress(spark, path)).first()
+    assert (r.input_rows, r.late_rows, r.busy_ms, r.batches) == (5, 1, 30, 1)
+    assert (r.avg_latency_us, r.throughput_fps) == (6000.0, 166.67)
+
+
 def test_ids_stream(spark):
     lines = spark.createDataFrame([('{"event_type":"flow","src_ip":"7.7.7.7","timestamp":"x"}',), ("{bad",), ('{"event_type":"dns"}',)], "value string")
     path = scratch_path(spark, "lines")
