@@ -884,6 +884,22 @@ def _synthesize_minority(spark, sf):
     return balance.synthesize_minority(V.clean(spark, sf), "flow_id")
 
 
+@query("synthesize_minority_check", """SELECT unified_label, 20000 - count(*) AS rows, 20000 - count(*) AS ids, true AS in_range, true AS negative_ids
+    FROM clean GROUP BY unified_label HAVING count(*) < 20000""", ("clean",))
+def _synthesize_minority_check(spark, sf):
+    """Number of rows, unique ids and value ranges of the synthetic rows against the real ones."""
+    real = V.clean(spark, sf)
+    new = cut(balance.synthesize_minority(real, "flow_id"))
+    ends = real.groupBy("unified_label").agg(*[f(c).alias(f"{n}_{c}") for c in G12 for n, f in (("lo", F.min), ("hi", F.max))])
+    inside = [(F.col(c) >= F.col(f"lo_{c}")) & (F.col(c) <= F.col(f"hi_{c}")) for c in G12]
+    good = inside[0]
+    for x in inside[1:]:
+        good = good & x
+    return new.join(ends, "unified_label").groupBy("unified_label").agg(
+        F.count(F.lit(1)).alias("rows"), F.count_distinct("flow_id").alias("ids"), F.bool_and(good).alias("in_range"),
+        F.bool_and(F.col("flow_id") < 0).alias("negative_ids"))
+
+
 _D2 = " + ".join(f"(a.{c} - b.{c}) * (a.{c} - b.{c})" for c in G12)
 
 

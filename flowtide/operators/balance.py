@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import zlib
 from statistics import NormalDist
 
@@ -10,82 +11,143 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.window import Window
 
 from flowtide import schema as S
 from flowtide.functions import hash_unit
 from flowtide.operators.neighbors import knn_lists
+from flowtide.operators.ordering import BLOCK, ordered_blocks, rank_within, running_sum
 from flowtide.operators.sampling import downsample_majority
 from flowtide.operators.setops import union_sources
 from flowtide.session import cut, small_table
 
-# Classes that get new rows are smaller than the target, so the target bounds
-# what one task holds.
-MAX_TARGET = 1_000_000
+GRID = 1024         # knots of a quantile grid, per class and feature
+CHUNK = 10_000      # new rows made at a time
 
 
 def _small_classes(df: DataFrame, label: str, below: int) -> DataFrame:
-    if below > MAX_TARGET:
-        raise ValueError(f"target above {MAX_TARGET} rows per class")
     counts = df.groupBy(label).agg(F.count(F.lit(1)).alias("_n"))
     return small_table(counts.where((F.col("_n") < below) & F.col(label).isNotNull()))
 
 
+def _chunks(small: DataFrame, label: str, target: int) -> DataFrame:
+    """(label, _n, _from, _to): ranges of draw numbers, dealt over tasks."""
+    pieces = small.select(label, "_n", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(target - 1) - F.col("_n"), F.lit(CHUNK).cast("bigint"))).alias("_from"))
+    ranges = pieces.withColumn("_to", F.least(F.col("_from") + CHUNK, F.lit(target) - F.col("_n")))
+    n = small.agg(F.sum(F.ceil((F.lit(target) - F.col("_n")) / CHUNK))).first()[0] or 1
+    return ranges.repartition(min(int(n), 10_000), label, "_from")
+
+
 def new_row_id(label: Column, kind: str, j: Column) -> Column:
     """Negative id from a hash, apart from all real ids."""
     h = F.md5(F.concat_ws("|", label, F.lit(kind), j.cast("string")))
     return -F.conv(F.substring(h, 1, 15), 16, 10).cast("bigint") - 1
 
 
+@functools.cache
 def _normal_grid():
     z = np.linspace(-6.0, 6.0, 4001)
     return z, np.array([NormalDist().cdf(v) for v in z])
 
 
-def _draw_copula(x: np.ndarray, n: int, rng: np.random.Generator) -> np.ndarray:
-    """Rows with the marginals of ``x`` and the correlation of its normal scores."""
+@F.pandas_udf(T.DoubleType())
+def _normal_score(share: pd.Series) -> pd.Series:
     z, p = _normal_grid()
-    rank = np.empty_like(x)
-    for j in range(x.shape[1]):                      # mean rank of equal values
-        u, inv, cnt = np.unique(x[:, j], return_inverse=True, return_counts=True)
-        last = np.cumsum(cnt)
-        rank[:, j] = ((last - cnt + 1 + last) / 2.0)[inv]
-    scores = np.interp((rank - 0.5) / len(x), p, z)
-    moving = scores.std(axis=0) > 0
-    corr = np.eye(x.shape[1])
-    if len(x) > 1 and moving.any():
-        corr[np.ix_(moving, moving)] = np.atleast_2d(np.corrcoef(scores[:, moving], rowvar=False))
+    return pd.Series(np.interp(share, p, z))
+
+
+def value_ranks(rows: DataFrame, label: str, cols: list[str]) -> DataFrame:
+    """(label, _n, _f, _v, _c, _last): every value of every class and feature with its count and its last rank."""
+    cells = rows.select(label, "_n", F.posexplode(F.array(*[F.col(c).cast("double") for c in cols])).alias("_f", "_v"))
+    cells = cells.groupBy(label, "_n", "_f", "_v").agg(F.count(F.lit(1)).alias("_c"))
+    blocks = ordered_blocks(cells, [label, "_f", "_v"])
+    return cut(running_sum(blocks, [label, "_f"], ["_v"], F.col("_c"), "_last").drop(BLOCK))
+
+
+def quantile_grids(ranks: DataFrame, label: str) -> DataFrame:
+    """(label, _f, values): the values at the shares 0, 1/GRID, ... 1, linear between neighbouring order statistics.
+
+    Order statistic i (from 0) stands at (i + 0.5) / n; the ends keep the least and the largest value.
+    """
+    n, first, last = F.col("_n"), F.col("_last") - F.col("_c"), F.col("_last") - 1
+    knot = lambda i: F.ceil((i + 0.5) * GRID / n)  # noqa: E731  first knot at or after order statistic i
+    low_from = F.when(first == 0, 0).otherwise(knot(first))
+    low_to = F.when(last == n - 1, GRID).otherwise(knot(last + 1) - 1)
+    # the upper neighbour of a knot is the statistic after its lower one
+    up_from = F.when(first == 0, 0).otherwise(knot(first - 1))
+    up_to = F.when(last == n - 1, GRID).otherwise(knot(last) - 1)
+
+    def reached(a, b, name):
+        span = F.when(a <= b, F.sequence(a.cast("bigint"), b.cast("bigint"))).otherwise(F.array().cast("array<bigint>"))
+        return ranks.select(label, "_n", "_f", F.explode(span).alias("g"), F.col("_v").alias(name))
+
+    both = reached(low_from, low_to, "low").join(reached(up_from, up_to, "up"), [label, "_n", "_f", "g"])
+    place = F.greatest(F.col("g") * n / GRID - 0.5, F.lit(0.0))
+    value = F.col("low") + (place - F.floor(place)) * (F.col("up") - F.col("low"))
+    return both.select(label, "_f", "g", value.alias("v")).groupBy(label, "_f").agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("g", "v"))), lambda x: x["v"]).alias("values"))
+
+
+def score_correlations(rows: DataFrame, ranks: DataFrame, row_id: str, label: str, cols: list[str]) -> DataFrame:
+    """(label, c_i_j ...): correlations of the normal scores of mean ranks, per class."""
+    scored = ranks.select(F.col(label).alias("_l"), F.col("_f").alias("_g"), F.col("_v").alias("_w"),
+                          _normal_score((F.col("_last") - F.col("_c") / 2.0) / F.col("_n")).alias("_z"))
+    long = rows.select(row_id, label, F.posexplode(F.array(*[F.col(c).cast("double") for c in cols])).alias("_f", "_v"))
+    joined = long.join(scored, (F.col(label) == F.col("_l")) & (F.col("_f") == F.col("_g")) & (F.col("_v") == F.col("_w")))
+    wide = joined.groupBy(row_id, label).agg(*[F.max(F.when(F.col("_f") == i, F.col("_z"))).alias(f"z{i}") for i in range(len(cols))])
+
+    def corr(a, b):  # null without spread
+        return F.try_divide(F.covar_pop(a, b), F.sqrt(F.var_pop(a) * F.var_pop(b)))
+
+    return wide.groupBy(label).agg(*[corr(f"z{i}", f"z{j}").alias(f"c_{i}_{j}") for i in range(len(cols)) for j in range(i)])
+
+
+def _factor(row, d: int) -> np.ndarray:
+    """A matrix whose product with its transpose is the correlation; features without spread stand alone."""
+    corr = np.eye(d)
+    for i in range(d):
+        for j in range(i):
+            c = row[f"c_{i}_{j}"]
+            corr[i, j] = corr[j, i] = 0.0 if c is None or np.isnan(c) else c
     w, q = np.linalg.eigh(corr)
-    g = rng.standard_normal((n, x.shape[1])) @ (q * np.sqrt(np.clip(w, 0.0, None))).T
-    u = np.interp(g, z, p)
-    grid = (np.arange(len(x)) + 0.5) / len(x)
-    return np.column_stack([np.interp(u[:, j], grid, np.sort(x[:, j])) for j in range(x.shape[1])])
+    return q * np.sqrt(np.clip(w, 0.0, None))
 
 
 def synthesize_minority(df: DataFrame, row_id: str, label: str = "unified_label", features: list[str] | None = None,
                         threshold: int = 50_000, target: int = 20_000, seed: int = 42) -> DataFrame:
     """Synthetic rows for classes below ``threshold`` and ``target``: (id, features, label, origin).
 
-    A Gaussian copula per class stands in for a generative network.  Only
-    classes below ``target`` rows are gathered, one class per task.
+    A Gaussian copula per class stands in for a generative network.  Ranks are
+    exact and taken over range blocks, correlations are aggregates, and quantile
+    grids of ``GRID`` knots map draws back to values.  What the driver holds is a
+    few numbers per class; rows and draws of a class spread over tasks.  A draw
+    depends on the seed, the class and its number only.  Rows with a missing
+    feature teach nothing about that feature's neighbours and are left out.
     """
     cols = features or S.GOLDEN12
-    small = _small_classes(df, label, min(threshold, target))
-    rows = df.select(row_id, label, *cols).join(small, label)  # one row per class
+    whole = df.select(row_id, label, *cols).where(" AND ".join(f"`{c}` IS NOT NULL AND NOT isnan(`{c}`)" for c in cols))
+    small = _small_classes(whole, label, min(threshold, target))
+    rows = cut(whole.join(small, label))
+    ranks = value_ranks(rows, label, cols)
+    grids = {(r[label], r["_f"]): np.array(r["values"]) for r in quantile_grids(ranks, label).collect()}
+    factors = {r[label]: _factor(r, len(cols)) for r in score_correlations(rows, ranks, row_id, label, cols).collect()}
+    shared = df.sparkSession.sparkContext.broadcast((grids, factors))
     out = T.StructType([T.StructField(label, T.StringType()), T.StructField("_j", T.LongType()),
                         *[T.StructField(c, T.DoubleType()) for c in cols]])
 
-    def draw(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(row_id)
-        name = pdf[label].iloc[0]
-        n = target - len(pdf)
-        rng = np.random.default_rng([seed, zlib.crc32(name.encode())])
-        new = pd.DataFrame(_draw_copula(pdf[cols].to_numpy(dtype=float), n, rng), columns=cols)
-        new.insert(0, "_j", np.arange(n))
-        new.insert(0, label, name)
-        return new
-
-    drawn = rows.groupBy(label).applyInPandas(draw, out)
+    def draw(batches):
+        grids, factors = shared.value
+        z, p = _normal_grid()
+        shares = np.arange(GRID + 1) / GRID
+        for b in batches:
+            for name, start, stop in b[[label, "_from", "_to"]].itertuples(index=False, name=None):
+                rng = np.random.default_rng([seed, zlib.crc32(name.encode()), start])
+                u = np.interp(rng.standard_normal((stop - start, len(cols))) @ factors[name].T, z, p)
+                new = pd.DataFrame({c: np.interp(u[:, i], shares, grids[name, i]) for i, c in enumerate(cols)})
+                new.insert(0, "_j", np.arange(start, stop))
+                new.insert(0, label, name)
+                yield new
+
+    drawn = _chunks(small, label, target).mapInPandas(draw, out)
     return drawn.select(new_row_id(F.col(label), "copula", F.col("_j")).alias(row_id), *cols, label,
                         F.lit("copula").alias("origin"))
 
@@ -102,11 +164,9 @@ def smote(df: DataFrame, row_id: str, label: str = "unified_label", features: li
     small = _small_classes(df, label, target)
     rows = df.select(row_id, label, *cols).join(small, label)  # one row per class
     near = knn_lists(rows, cols, k, row_id, within=label, method=method)
-    # fewer than ``target`` rows per class reach this window
-    place = (F.row_number().over(Window.partitionBy(label).orderBy(row_id)) - 1).cast("bigint")
-    base = near.withColumn("_pos", place)
+    base = rank_within(near, [label], [row_id], "_pos").withColumn("_pos", (F.col("_pos") - 1).cast("bigint"))
     key = F.concat_ws("|", F.col(label), F.col("_j").cast("string"))
-    draws = small.select(label, "_n", F.explode(F.sequence(F.lit(0), F.lit(target - 1) - F.col("_n"))).alias("_j"))
+    draws = _chunks(small, label, target).select(label, "_n", F.explode(F.sequence("_from", F.col("_to") - 1)).alias("_j"))
     draws = draws.select(label, "_j", F.floor(hash_unit(key, seed) * F.col("_n")).alias("_pos"),
                          hash_unit(key, seed + 1).alias("_pick"), hash_unit(key, seed + 2).alias("u"))
     chosen = draws.join(base.drop("_n"), [label, "_pos"]).where(F.size("nn") > 0).withColumn(

@@ -47,3 +47,26 @@ def carry_sum(blocks: DataFrame, value: Column, name: str) -> DataFrame:
     sums = blocks.groupBy(BLOCK).agg(F.sum(value).alias("_sum"))
     before = Window.orderBy(BLOCK).rowsBetween(Window.unboundedPreceding, -1)
     return sums.select(BLOCK, F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias(name))
+
+
+def running_sum(blocks: DataFrame, group: list[str], order: list[str], value: Column, name: str) -> DataFrame:
+    """Add the sum of ``value`` over the rows of the group up to and including this one.
+
+    ``blocks`` comes from ``ordered_blocks`` by group and order.  A group may reach
+    over any number of blocks: each adds up its own rows, and one row per block
+    and group carries the rest.
+    """
+    inside = Window.partitionBy(BLOCK, *group).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    earlier = Window.partitionBy(*group).orderBy(BLOCK).rowsBetween(Window.unboundedPreceding, -1)
+    sums = blocks.groupBy(BLOCK, *group).agg(F.sum(value).alias("_sum"))
+    carry = sums.select(BLOCK, *group, F.coalesce(F.sum("_sum").over(earlier), F.lit(0)).alias("_before"))
+    return blocks.withColumn("_inside", F.sum(value).over(inside)).join(carry, [BLOCK, *group]).withColumn(
+        name, F.col("_inside") + F.col("_before")).drop("_inside", "_before")
+
+
+def rank_within(df: DataFrame, group: list[str], order: list[str], name: str) -> DataFrame:
+    """Number the rows of each group from 1 in the given order, without holding a group in one task.
+
+    ``order`` must end in a column that is unique in the group; group columns are never null.
+    """
+    return running_sum(ordered_blocks(df, [*group, *order]), group, order, F.lit(1), name).drop(BLOCK)

@@ -113,12 +113,6 @@ def test_copula_keeps_marginals_and_correlation(spark):
     assert np.allclose(np.sort(again.x), np.sort(new.x))
 
 
-def test_no_target_beyond_the_bound(spark):
-    df = spark.createDataFrame([(1, 1.0, "a")], "id long, x double, unified_label string")
-    with pytest.raises(ValueError):
-        balance.smote(df, "id", features=["x"], target=10**9)
-
-
 # ---------------------------------------------------------------- approximate search
 def recall(spark, df, k, **kw):
     exact = neighbors.knn_join(df, "v", k, "id", **kw).select("id", "nn_id")
