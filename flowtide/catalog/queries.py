@@ -18,7 +18,7 @@ from flowtide.functions import decide, predict_class
 from flowtide.operators import attribution, balance, cascade, evaluate, features, intervals, models, neighbors
 from flowtide.operators import packets as P
 from flowtide.operators import quality, sampling, setops, windows
-from flowtide.operators.labels import drop_header_rows, drop_unmapped
+from flowtide.operators.labels import clean_labels, drop_header_rows, drop_unmapped
 from flowtide.plans import live
 from flowtide.session import cut, keep, scratch_path
 from flowtide.sources import events as E
@@ -26,7 +26,7 @@ from flowtide.sources import flows as FL
 from flowtide.sources import packets as PK
 from flowtide.sources import sinks
 from flowtide.sources.dimension import label_dimension, write_label_dimension
-from flowtide.streaming import jobs, progress, state
+from flowtide.streaming import counts, jobs, progress, state
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -553,6 +553,16 @@ def _class_counts(spark, sf):
     return evaluate.class_counts(V.labelled(spark, sf), by=["source_year"])
 
 
+@query("class_counts_live", "SELECT source_year, unified_label, count(*) AS rows FROM labelled GROUP BY ALL", ("labelled",))
+def _class_counts_live(spark, sf):
+    """The same counts, added up file by file."""
+    out = scratch_path(spark, "counts")
+    raw = V.flow_stream(spark, sf).withColumn("file_name", F.col("_metadata.file_name"))
+    rows = clean_labels(raw, label_dimension(spark)).select("file_name", "source_year", "unified_label")
+    counts.add_rows(rows, out, scratch_path(spark, "ckpt"))
+    return counts.class_totals(counts.read_counts(spark, out))
+
+
 @query("class_shares", """SELECT unified_label, count(*) AS rows, round(count(*) * 100e0 / sum(count(*)) OVER (), 3) AS pct
     FROM labelled GROUP BY unified_label""", ("labelled",))
 def _class_shares(spark, sf):
@@ -1015,3 +1025,9 @@ def _score_cascade_models(spark, sf):
 @query("feature_attribution")
 def _feature_attribution(spark, sf):
     return attribution.feature_attribution(_m1(spark, sf), V.clean(spark, sf))
+
+
+@query("attribution_check", "SELECT count(*) AS rows, true AS additive FROM clean", ("clean",))
+def _attribution_check(spark, sf):
+    """Attributions plus bias against the margin of every row."""
+    return attribution.additivity_error(_m1(spark, sf), V.clean(spark, sf)).select("rows", (F.col("error") < 1e-9).alias("additive"))

@@ -4,8 +4,9 @@ For one leaf with value v and the distinct features F on its path, let o_i be
 1 if the row meets every split on feature i (else 0) and r_i the product of
 the cover ratios of those splits.  The path-dependent game of the leaf is
 v * prod(o_i, i in S) * prod(r_i, i not in S), so its Shapley values depend on
-the row only through the 0/1 pattern o: at most 2^depth patterns per leaf.
-Summing over leaves and trees gives the attributions of the model margin.
+the row only through the 0/1 pattern o and are found in time quadratic in the
+depth (``leaf_values``).  Summing over leaves and trees gives the attributions of
+the model margin.
 
 The trees live in the driver anyway (a fitted model is local); their leaf list
 is broadcast and the rows are scored where they are.
@@ -14,19 +15,20 @@ is broadcast and the rows are scored where they are.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from math import factorial
+from functools import reduce
 
 import numpy as np
 import pandas as pd
+from pyspark.ml.classification import OneVsRestModel
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from flowtide import schema as S
+from flowtide.functions import class_name
+from flowtide.operators.features import assemble_features
 from flowtide.session import scratch_path
 
-MAX_LEAVES = 500_000
-MAX_TABLE_BYTES = 256 * 1024 * 1024  # pattern tables a task keeps over all its batches
-
 
 def model_leaves(model, spark, path: str | None = None) -> list[tuple]:
     """(value, [(feature, low, high, ratio)]) per leaf, read from the saved form of the model."""
@@ -36,8 +38,6 @@ def model_leaves(model, spark, path: str | None = None) -> list[tuple]:
         "treeID", "nodeData.id", "nodeData.prediction", "nodeData.rawCount", "nodeData.leftChild",
         "nodeData.rightChild", F.col("nodeData.split.featureIndex").alias("feature"),
         F.get("nodeData.split.leftCategoriesOrThreshold", F.lit(0)).alias("threshold"))
-    if node.count() > 2 * MAX_LEAVES:
-        raise ValueError("model too large to hand to every task")
     weights = list(model.treeWeights)
     trees: dict[int, dict[int, tuple]] = {}
     for r in node.collect():
@@ -65,59 +65,85 @@ def attribution_bias(leaves: list[tuple]) -> float:
     return float(sum(v * np.prod([p[3] for p in path]) for v, path in leaves))
 
 
-def _pattern_values(value: float, ratios: np.ndarray) -> np.ndarray:
-    """Shapley values per 0/1 pattern (row = pattern, bit i = feature i)."""
+def leaf_values(value: float, o: np.ndarray, ratios: np.ndarray) -> np.ndarray:
+    """Shapley values of one leaf, a row per 0/1 pattern ``o`` and a column per feature of its path.
+
+    With the multilinear extension of the game, feature i gets
+    value * (o_i - r_i) * integral over t of prod(t o_j + (1 - t) r_j, j other than i).
+    The integrand has degree m - 1, so ceil(m / 2) Gauss-Legendre points are
+    exact: m * m / 2 products per pattern instead of one per subset.
+    """
     m = len(ratios)
-    codes = np.arange(1 << m)
-    o = ((codes[:, None] >> np.arange(m)) & 1).astype(float)
-    table = np.zeros((1 << m, m))
-    weight = np.array([factorial(s) * factorial(m - s - 1) / factorial(m) for s in range(m)])
-    for i in range(m):
-        # by_size[:, s]: sum over all subsets of s other features
-        by_size = np.zeros((1 << m, m))
-        by_size[:, 0] = 1.0
-        for j in range(m):
-            if j != i:
-                grown = by_size * ratios[j]
-                grown[:, 1:] += by_size[:, :-1] * o[:, j, None]
-                by_size = grown
-        table[:, i] = value * (o[:, i] - ratios[i]) * (by_size @ weight)
-    return table
-
-
-def _tables(leaves: list[tuple]):
-    return [(path, _pattern_values(value, np.array([p[3] for p in path]))) for value, path in leaves if path]
-
-
-def _attribute(x: np.ndarray, tables) -> np.ndarray:
+    nodes, weights = np.polynomial.legendre.leggauss((m + 1) // 2)
+    t = ((nodes + 1) / 2)[:, None, None]
+    terms = t * o + (1 - t) * ratios                     # points x patterns x features
+    before, after = np.ones_like(terms), np.ones_like(terms)
+    np.cumprod(terms[..., :-1], axis=2, out=before[..., 1:])
+    after[..., :-1] = np.cumprod(terms[..., :0:-1], axis=2)[..., ::-1]
+    return value * (o - ratios) * np.tensordot(weights / 2, before * after, axes=1)
+
+
+def _attribute(x: np.ndarray, leaves: list[tuple]) -> np.ndarray:
+    """Attributions of the rows of ``x``; a leaf is worked out for the patterns that occur only."""
     phi = np.zeros_like(x)
-    for path, table in tables:
+    for value, path in leaves:
+        if not path:
+            continue
+        m = len(path)
         code = np.zeros(len(x), dtype=np.int64)
         for i, (f, low, high, _) in enumerate(path):
             code |= ((x[:, f] > low) & (x[:, f] <= high)).astype(np.int64) << i
-        phi[:, [p[0] for p in path]] += table[code]
+        if m <= 12:
+            seen = np.flatnonzero(np.bincount(code, minlength=1 << m))
+            place = np.zeros(1 << m, dtype=np.int64)
+            place[seen] = np.arange(len(seen))
+            where = place[code]
+        else:
+            seen, where = np.unique(code, return_inverse=True)
+        o = ((seen[:, None] >> np.arange(m)) & 1).astype(float)
+        phi[:, [p[0] for p in path]] += leaf_values(value, o, np.array([p[3] for p in path]))[where]
     return phi
 
 
 def feature_attribution(model, df: DataFrame, row_id: str = "flow_id", features: list[str] | None = None,
                         leaves: list[tuple] | None = None) -> DataFrame:
-    """(id, feature, phi) per row and feature; the bias term is left out."""
+    """(id, feature, phi) per row and feature of a boosted model; the bias term is left out.
+
+    A one-vs-rest model gives (id, class, feature, phi), for the margin of every class.
+    """
     cols = features or S.GOLDEN12
     spark = df.sparkSession
-    leaves = leaves or model_leaves(model, spark)
-    shared = spark.sparkContext.broadcast(leaves)
-    fits = sum(len(p) << len(p) for _, p in leaves) * 8 <= MAX_TABLE_BYTES
+    many = isinstance(model, OneVsRestModel)
+    parts = [model_leaves(m, spark) for m in model.models] if many else [leaves or model_leaves(model, spark)]
+    shared = spark.sparkContext.broadcast(parts)
     id_type = dict(df.dtypes)[row_id]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held = _tables(shared.value) if fits else None
         for b in batches:
-            phi = _attribute(b[cols].to_numpy(dtype=float), held or _tables(shared.value))
-            out = pd.DataFrame(phi, columns=[f"phi_{c}" for c in cols])
-            out.insert(0, row_id, b[row_id].to_numpy())
-            yield out
+            x = b[cols].to_numpy(dtype=float)
+            for code, part in enumerate(shared.value):
+                out = pd.DataFrame(_attribute(x, part), columns=[f"phi_{c}" for c in cols])
+                out.insert(0, "code", code)
+                out.insert(0, row_id, b[row_id].to_numpy())
+                yield out
 
     wide = df.select(row_id, *cols).mapInPandas(
-        run, ", ".join([f"{row_id} {id_type}"] + [f"phi_{c} double" for c in cols]))
+        run, ", ".join([f"{row_id} {id_type}", "code int"] + [f"phi_{c} double" for c in cols]))
     pairs = F.array(*[F.struct(F.lit(c).alias("feature"), F.col(f"phi_{c}").alias("phi")) for c in cols])
-    return wide.select(row_id, F.inline(pairs))
+    keys = [F.col(row_id), class_name(F.col("code")).alias("class")] if many else [F.col(row_id)]
+    return wide.select(*keys, F.inline(pairs))
+
+
+def attribute_models(models: dict, df: DataFrame, row_id: str = "flow_id", features: list[str] | None = None) -> DataFrame:
+    """(model, id, [class,] feature, phi) of several models, as ``mean_abs_attribution`` and ``attribution_shift`` take them."""
+    rows = [feature_attribution(m, df, row_id, features).select(F.lit(name).alias("model"), "*") for name, m in models.items()]
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), rows)
+
+
+def additivity_error(model, df: DataFrame, row_id: str = "flow_id", features: list[str] | None = None) -> DataFrame:
+    """(rows, error): largest difference between a row's margin and its attributions plus the bias."""
+    leaves = model_leaves(model, df.sparkSession)
+    sums = feature_attribution(model, df, row_id, features, leaves).groupBy(row_id).agg(F.sum("phi").alias("s"))
+    margins = model.transform(assemble_features(df)).select(row_id, vector_to_array("rawPrediction")[1].alias("m"))
+    gap = F.abs(F.col("s") + attribution_bias(leaves) - F.col("m"))
+    return sums.join(margins, row_id).agg(F.count(F.lit(1)).alias("rows"), F.max(gap).alias("error"))

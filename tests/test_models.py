@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from flowtide import schema as S
 from flowtide.operators import artefact, attribution, cascade, features, models, rounds
-from flowtide.operators.attribution import _pattern_values
+from flowtide.operators.evaluate import attribution_shift
 from flowtide.plans import live
 from flowtide.session import scratch_path
 from flowtide.streaming import jobs
@@ -75,9 +75,9 @@ def test_attributions_sum_to_margin(spark, data, tier1):
 def test_leaf_values_are_shapley_values():
     """Closed form against the definition: average marginal gain over all orders."""
     rng = np.random.default_rng(2)
-    for m in (1, 2, 4):
+    for m in (1, 2, 4, 5):
         r, v = rng.random(m), 1.7
-        table = _pattern_values(v, r)
+        table = attribution.leaf_values(v, np.array([[(code >> i) & 1 for i in range(m)] for code in range(1 << m)], dtype=float), r)
         for code in range(1 << m):
             o = np.array([(code >> i) & 1 for i in range(m)], dtype=float)
 
@@ -184,3 +184,26 @@ def test_cascade_versions_and_orders_are_checked(spark, tier1, tier3):
     assert len(artefact.load_cascade(spark, path, version=1)) == 2
     with pytest.raises(FileNotFoundError):
         artefact.load_cascade(spark, path, version=7)
+
+
+def test_attributions_of_every_class_and_of_a_deep_model(spark, data, tier3):
+    rows = data.limit(150).cache()
+    phi = attribution.feature_attribution(tier3["boosted"], rows)
+    assert phi.count() == 150 * 6 * 12
+    for code, (name, m) in enumerate(zip(S.CLASSES, tier3["boosted"].models)):
+        bias = attribution.attribution_bias(attribution.model_leaves(m, spark))
+        margin = m.transform(features.assemble_features(rows)).select("flow_id", vector_to_array("rawPrediction")[1].alias("m"))
+        sums = phi.where(F.col("class") == name).groupBy("flow_id").agg(F.sum("phi").alias("s"))
+        assert sums.join(margin, "flow_id").agg(F.max(F.abs(F.col("s") + bias - F.col("m")))).first()[0] < 1e-9
+    deep = models.train_binary(data.drop("is_val"), rounds=2, depth=9)
+    assert attribution.additivity_error(deep, rows).first().error < 1e-9
+
+
+def test_attribution_shift_of_two_real_models(spark, data, tier1):
+    """The label moves from two features to two others: so do the attributions."""
+    moved = data.withColumn("unified_label", F.when(F.col(S.GOLDEN12[1]) * F.col(S.GOLDEN12[9]) > 2, S.DOS).otherwise(S.BENIGN)).drop("is_val")
+    phi = attribution.attribute_models({"baseline": tier1, "adapted": models.train_binary(moved, rounds=8, depth=4)}, data.limit(400))
+    shift = attribution_shift(phi.where("model = 'baseline'"), phi.where("model = 'adapted'"))
+    delta = {r["feature"]: r["shift_delta"] for r in shift.collect()}
+    assert len(delta) == 12
+    assert set(sorted(delta, key=delta.get)[-2:]) == {S.GOLDEN12[1], S.GOLDEN12[9]} and set(sorted(delta, key=delta.get)[:2]) == {S.GOLDEN12[6], S.GOLDEN12[7]}

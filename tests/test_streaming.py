@@ -7,7 +7,7 @@ from flowtide.operators.cascade import alerts, block_requests, cascade_decide
 from flowtide.operators.intervals import sessionize
 from flowtide.operators.windows import tier2_windows
 from flowtide.session import scratch_path
-from flowtide.streaming import jobs, progress, state
+from flowtide.streaming import counts, jobs, progress, state
 
 T0 = datetime(2024, 1, 1)
 
@@ -194,3 +194,33 @@ def test_ids_stream(spark):
     got = drain(spark, jobs.stream_ids_events(ev)).collect()
     assert [(r["src_ip"], r["dst_ip"], r["severity"]) for r in got] == [("7.7.7.7", "0.0.0.0", "CRITICAL")]
     assert read_ids_events(spark, path).count() == 2
+
+
+def test_counts_grow_by_files(spark):
+    """A new file is read alone; totals equal the batch count; a lost checkpoint changes nothing."""
+    path, out, ckpt, log = (scratch_path(spark, n) for n in ("in", "out", "ckpt", "log"))
+    schema = "source_year int, unified_label string, x double"
+
+    def add(rows):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(path)
+
+    def run(checkpoint):
+        with progress.watch(spark, log):
+            counts.add_files(spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(path), out, checkpoint)
+        return sorted(map(tuple, counts.class_totals(counts.read_counts(spark, out)).collect()), key=repr)
+
+    def want():
+        return sorted(map(tuple, spark.read.schema(schema).parquet(path).groupBy("source_year", "unified_label").count().collect()), key=repr)
+
+    add([(2017, "BENIGN", 1.0)] * 50 + [(2018, "BOTNET", 1.0)] * 7)
+    assert run(ckpt) == want()
+    add([(2018, "BENIGN", 1.0)] * 5 + [(None, None, 1.0)] * 2)
+    assert run(ckpt) == want()
+    sizes = sorted(r.input_rows for r in progress.read_progress(spark, log).where("input_rows > 0").collect())
+    assert sizes == [7, 57]  # the second run read its own file only
+    assert run(ckpt) == want()
+    assert run(scratch_path(spark, "ckpt2")) == want()  # all files again under the same batch numbers
+    assert counts.read_counts(spark, out).select("file_name").distinct().count() == 2
+    merged = scratch_path(spark, "merged")
+    counts.compact(spark, out, merged)
+    assert sorted(map(tuple, counts.class_totals(counts.read_counts(spark, merged)).collect()), key=repr) == want()
