@@ -2,17 +2,22 @@
 
 Every ``LENGTH``-byte string of a text has an anchor: the leftmost smallest hash
 among its ``K``-byte strings.  Equal strings have equal anchors, so only texts
-that share an anchor hash can share a string.  Hashes that occur once, in all
-documents, are dropped by a count that is combined inside the tasks.  For the
-others, each text sends the bytes around its anchors, once per anchor, to the
-hash.  There the strings are sorted as suffixes: a multikey sort over the first
-``SHALLOW`` words of eight bytes, then blind tries over the groups that remain,
-whose nodes look only at the first word in which their members differ.  Members
-of one leaf are equal; all but the earliest are covered.
-
-Copies of a whole text never enter: only the smallest doc_id of a text does, all
-others are covered whole.  A hash met in very many texts is split: each part
-passes on only its different contexts to a second round.
+that share an anchor hash can share a string.  The bytes of all strings of one
+anchor are its context.  Each text sends one short row per anchor to the hash:
+digests of the context and of the anchor with ``SIDE`` bytes to its left and to
+its right.  Rows of equal contexts stand side by side there, and all but the
+earliest are covered whole.  A string that two different contexts share holds
+``SIDE`` bytes on one side of the anchor at least, so only contexts that agree
+on a side go on; few do.  They alone fetch their bytes and meet per side.  There
+the strings are sorted as suffixes: a multikey sort over the first ``SHALLOW``
+words of eight bytes, then blind tries over the groups that remain, whose nodes
+look only at the first word in which their members differ.  Members of one leaf
+are equal; all but the earliest are covered.
+
+A hash's rows pass through a task in order and are not held.  Hashes that a
+sample of the texts shows to be frequent are dealt over ``PARTS`` tasks by
+context; their contexts all go on, which changes no result.  Strings of a large
+group are sorted one anchor offset at a time.
 
 Defined results: a null text counts as empty; texts below ``LENGTH`` bytes keep
 all; a row without doc_id has no place in the order, keeps all its bytes and
@@ -38,8 +43,12 @@ LENGTH = 100
 K = 16
 SHALLOW = 3
 WORDS = -(-LENGTH // 8)
-PART_TEXTS = 20_000     # texts per part of a split hash
-EXPAND = 1 << 18        # strings sorted at a time; a group is never divided
+SIDE = (LENGTH - K) // 2
+EXPAND = 1 << 18        # strings sorted at a time; a larger group goes one offset at a time
+HELD = 1 << 17          # rows of one hash that are filtered together; of more, all contexts go on
+SAMPLE_TEXTS = 2_000    # texts looked at for frequent hashes
+FREQUENT = 0.01         # share of the sample that makes a hash frequent
+PARTS = 64
 SEGMENT = 1 << 22
 
 
@@ -48,9 +57,14 @@ def _key(data: bytes) -> tuple[int, int]:
     return int.from_bytes(d[:8], "little", signed=True), int.from_bytes(d[8:], "little", signed=True)
 
 
-def anchors(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(place, first start, last start, hash) of each anchor and of the strings that it stands for."""
-    found = [(np.zeros(0, np.int64),) * 3 + (np.zeros(0, np.uint64),)]
+def anchors(data: bytes) -> tuple[np.ndarray, ...]:
+    """(place, first start, last start, hash, context digest, second digest and sides) of each anchor.
+
+    First and last start are those of the strings that the anchor stands for.
+    The last value holds 32 bits of a second digest and 16 each of the left and
+    the right side, 0 where the context does not reach that far.
+    """
+    found = [(np.zeros(0, np.int64),) * 3 + (np.zeros(0, np.uint64),) * 3]
     for base in range(0, max(len(data) - LENGTH + 1, 0), SEGMENT):
         arr = np.frombuffer(data, dtype=np.uint8)[base : base + SEGMENT + LENGTH - 1]
         sums, inverse = prefix_hash(arr, 2)
@@ -65,27 +79,123 @@ def anchors(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray
         at = (low & np.uint64((1 << 24) - 1)).astype(np.int64)
         first = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
         last = np.r_[first[1:], len(at)] - 1
-        place = at[first]
-        found.append((place + base, first + base, last + base, h[place]))
+        place, end = at[first], last + LENGTH
+        one, two = prefix_hash(arr, 3)[0], prefix_hash(arr, 4)[0]
+
+        def digest(sums, s, e):
+            return mix((sums[e] - sums[s]) * inverse[s])
+
+        shape = ((place - first) * 256 + last - first).astype(np.uint64)
+        context = mix(digest(one, first, end) + shape * np.uint64(0x9E3779B97F4A7C15))
+        left, right = place - SIDE, place + K + SIDE
+        sides = [np.where(fits, (digest(sums, s, e) >> np.uint64(48)) | np.uint64(1), np.uint64(0))
+                 for fits, s, e in ((left >= first, np.maximum(left, first), place + K), (right <= end, place, np.minimum(right, end)))]
+        more = (digest(two, first, end) >> np.uint64(32) << np.uint64(32)) | (sides[0] << np.uint64(16)) | sides[1]
+        found.append((place + base, first + base, last + base, h[place], context, more))
     return tuple(np.concatenate(x) for x in zip(*found))
 
 
+PLACES = "h long, part int, c1 long, c2 long, doc_id long, k1 long, packed long"
+
+
+def _packed(place, first, last):
+    """Place, bytes of the context before it and number of strings but one, in one integer."""
+    return (place << 16) | ((place - first) << 8) | (last - first)
+
+
+class _Places:
+    """One short row per anchor of each text; frequent hashes are dealt by context."""
+
+    def __init__(self, frequent):
+        self.frequent = np.array(sorted(frequent), dtype=np.int64)
+
+    def __call__(self, batches):
+        names = [x.split()[0] for x in PLACES.split(", ")]
+        for b in batches:
+            out = []
+            for doc_id, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                data = (text or "").encode()
+                place, first, last, h, c1, c2 = anchors(data)
+                if len(place):
+                    out.append((h.view(np.int64), c1.view(np.int64), c2.view(np.int64), np.full(len(h), doc_id, np.int64), np.full(len(h), _key(data)[0], np.int64), _packed(place, first, last)))
+            if not out:
+                continue
+            h, c1, c2, doc, k1, packed = map(np.concatenate, zip(*out))
+            part = np.where(np.isin(h, self.frequent), c1 & (PARTS - 1), 0).astype(np.int32)
+            for at in range(0, len(h), 1 << 16):
+                yield pa.RecordBatch.from_arrays([pa.array(c[at : at + (1 << 16)]) for c in (h, part, c1, c2, doc, k1, packed)], names=names)
+
+
 def _hashes(batches):
-    """h, k1, again: the different anchor hashes of each text, and whether the text has one twice."""
+    """h: the different anchor hashes of each text."""
     for b in batches:
-        out_h, out_k, out_r = [], [], []
         for text in b.column(0).to_pylist():
-            data = (text or "").encode()
-            h, n = np.unique(anchors(data)[3], return_counts=True)
-            if len(h):
-                out_h.append(h.view(np.int64))
-                out_k.append(np.full(len(h), _key(data)[0]))
-                out_r.append(n > 1)
-        if out_h:
-            h, k, r = map(np.concatenate, (out_h, out_k, out_r))
-            for at in range(0, len(h), 1 << 16):
-                part = slice(at, at + (1 << 16))
-                yield pa.RecordBatch.from_arrays([pa.array(h[part]), pa.array(k[part]), pa.array(r[part])], names=["h", "k1", "again"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.unique(anchors((text or "").encode())[3]).view(np.int64))], names=["h"])
+
+
+def frequent_hashes(docs: DataFrame) -> list[int]:
+    """Hashes that stand in a hundredth of the texts of a bounded sample: fewer than a hundred texts have anchors."""
+    sample = pick(docs, "text").filter("text IS NOT NULL").limit(SAMPLE_TEXTS)
+    counts = sample.mapInArrow(_hashes, "h long").groupBy("h").agg(F.count("*").alias("n"))
+    return [r.h for r in counts.filter(F.col("n") >= max(20, int(FREQUENT * SAMPLE_TEXTS))).collect()]
+
+
+SHARED = "kind int, h long, c2 long, doc_id long, k1 long, packed long"
+
+
+class _Shared:
+    """What rows sorted by hash, part, context and place say.
+
+    kind 0: an equal context stands earlier, so this one is covered whole; 1, 2 or
+    3: a different context of the hash agrees on the left, the right or both sides.
+    """
+
+    def __init__(self, frequent):
+        self.frequent = np.array(sorted(frequent), dtype=np.int64)
+
+    def __call__(self, batches):
+        held, self.before, self.open = None, None, None
+        for b in batches:
+            cols = [b.column(k).to_numpy(zero_copy_only=False) for k in (0, 2, 3, 4, 5, 6)]
+            if held is not None:
+                cols = [np.concatenate(c) for c in zip(held, cols)]
+            change = np.flatnonzero(cols[0][1:] != cols[0][:-1])
+            end = change[-1] + 1 if len(change) else 0
+            if not end and len(cols[0]) >= HELD:
+                end = len(cols[0])  # one hash only: pass on what is there
+                whole = False
+            else:
+                whole = True
+            held = [c[end:] for c in cols]
+            if end:
+                yield self._out([c[:end] for c in cols], whole)
+        if held is not None and len(held[0]):
+            yield self._out(held, True)
+
+    def _out(self, cols, whole):
+        h, c1, c2, doc, k1, packed = cols
+        new = np.ones(len(h), dtype=bool)
+        new[1:] = (h[1:] != h[:-1]) | (c1[1:] != c1[:-1]) | (c2[1:] != c2[:-1])
+        again = np.zeros(len(h), dtype=bool)  # a repeated row is no earlier place
+        again[1:] = ~new[1:] & (doc[1:] == doc[:-1]) & (k1[1:] == k1[:-1]) & (packed[1:] == packed[:-1])
+        if self.before is not None and self.before[:3] == (h[0], c1[0], c2[0]):
+            new[0] = False
+            again[0] = self.before[3:] == (doc[0], k1[0], packed[0])
+        kind = np.zeros(len(h), dtype=np.int32)
+        at = np.flatnonzero(new)
+        if len(at):
+            run = np.cumsum(np.r_[True, h[at][1:] != h[at][:-1]]).astype(np.int64)
+            all_on = np.isin(h[at], self.frequent) | (h[at] == self.open if self.open is not None else False)
+            if not whole:
+                all_on |= h[at] == h[-1]
+            for bit, shift in ((1, 16), (2, 0)):
+                side = (c2[at] >> shift) & 0xFFFF
+                _, where, n = np.unique((run << 16) | side, return_inverse=True, return_counts=True)
+                kind[at] |= np.where((side != 0) & ((n[where] > 1) | all_on), bit, 0).astype(np.int32)
+        self.before = (h[-1], c1[-1], c2[-1], doc[-1], k1[-1], packed[-1])
+        self.open = None if whole else h[-1]
+        keep = np.flatnonzero(~again & (~new | (kind > 0)))
+        return pa.RecordBatch.from_arrays([pa.array(c[keep]) for c in (kind, h, c2, doc, k1, packed)], names=["kind", "h", "c2", "doc_id", "k1", "packed"])
 
 
 class _Base:
@@ -103,21 +213,25 @@ class _Compressed:
             yield doc_id, _key(data)[0], press.compress(data)
 
 
-CONTEXT = "h long, part int, parts int, doc_id long, k1 long, place long, before int, strings int, bytes binary"
+CONTEXT = "meet long, doc_id long, k1 long, start long, before int, strings int, bytes binary"
 
 
 class _Contexts:
-    """For each anchor whose hash is shared: the bytes of all strings that it stands for."""
+    """The bytes of the contexts that agree with another on a side, once for each such side."""
 
     def __call__(self, rows):
         open_ = zstandard.ZstdDecompressor()
-        for doc_id, k1, z, shared in rows:
+        for doc_id, k1, z, wanted in rows:
             data = open_.decompress(z)
-            parts = {x["h"]: x["parts"] for x in shared}
-            place, first, last, h = anchors(data)
-            for p, a, b, x in zip(place.tolist(), first.tolist(), last.tolist(), h.view(np.int64).tolist()):
-                if x in parts:
-                    yield x, k1 % parts[x], parts[x], doc_id, k1, p, p - a, b - a + 1, data[a : b + LENGTH]
+            for x in wanted:
+                place, before, strings = x["packed"] >> 16, (x["packed"] >> 8) & 255, (x["packed"] & 255) + 1
+                start = place - before
+                for bit, shift in ((1, 16), (2, 0)):
+                    if x["kind"] & bit:
+                        # the side's digest is mixed with the hash, the last bit names the side
+                        side = (x["c2"] >> shift) & 0xFFFF
+                        meet = ((x["h"] ^ (side * 0x9E3779B97F4A7C15)) & ((1 << 63) - 1)) >> 1 << 1 | (bit - 1)
+                        yield meet, doc_id, k1, start, before, strings, data[start : start + strings - 1 + LENGTH]
 
 
 def sort_strings(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -156,79 +270,63 @@ def sort_strings(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 class _Repeats:
-    """Covered spans of contexts sorted by hash and part; with ``forward`` also the earliest different contexts of split hashes.
-
-    Rows: the context's fields; a span has null bytes, its place as start and ``before`` as length.
-    """
-
-    def __init__(self, forward):
-        self.forward = forward
+    """Covered spans (doc_id, k1, s, e) of different contexts sorted by where they meet."""
 
     def __call__(self, rows):
-        held, strings, key = [], 0, None
-        group: dict = {}
+        held, strings, group, key = [], 0, [], None
         for row in rows:
-            if row[:2] != key:
+            if row[0] != key:
                 if len(group) > 1:
-                    held.append(list(group.values()))
-                    strings += sum(r[7] for r in held[-1])
-                    if strings >= EXPAND:
-                        yield from self._covered(held)
-                        held, strings = [], 0
-                if self.forward and group:
-                    yield from (r for r in group.values() if r[2] > 1)
-                group, key = {}, row[:2]
-            same = (row[6], row[8])
-            first = group.get(same)
-            if first is None:
-                group[same] = row
-                continue
-            # Equal contexts: all strings of the later one are covered.
-            early, late = (row, first) if (row[3], row[4], row[5]) < (first[3], first[4], first[5]) else (first, row)
-            group[same] = early
-            yield self._span(late, 0, late[7] - 1)
-        if len(group) > 1:
-            held.append(list(group.values()))
-        if self.forward and group:
-            yield from (r for r in group.values() if r[2] > 1)
-        yield from self._covered(held)
+                    held += group
+                    strings += sum(r[5] for r in group)
+                if strings >= EXPAND:
+                    yield from self._covered(held)
+                    held, strings = [], 0
+                group, key = [], row[0]
+            group.append(row)
+        yield from self._covered(held + group if len(group) > 1 else held)
 
     @staticmethod
-    def _span(row, first, last):
-        start = row[5] - row[6] + first
-        return row[0], row[1], row[2], row[3], row[4], start, last - first + LENGTH, 0, None
-
-    def _covered(self, held):
-        rows = sorted((r for g in held for r in g), key=lambda r: (r[3], r[4], r[5]))
+    def _covered(rows):
         if not rows:
             return
-        counts = np.array([r[7] for r in rows])
-        ends = np.cumsum([len(r[8]) for r in rows])
-        base = ends - [len(r[8]) for r in rows]
-        data = np.frombuffer(b"".join(r[8] for r in rows) + bytes(8), dtype=np.uint8)
+        rows = sorted(rows, key=lambda r: r[1:4])
+        counts, before = np.array([r[5] for r in rows]), np.array([r[4] for r in rows])
+        ends = np.cumsum([len(r[6]) for r in rows])
+        base = ends - [len(r[6]) for r in rows]
+        data = np.frombuffer(b"".join(r[6] for r in rows) + bytes(8), dtype=np.uint8)
+        meets = np.array([r[0] for r in rows], dtype=np.int64).view(np.uint64)
         owner = np.repeat(np.arange(len(rows)), counts)
         inside = np.arange(len(owner)) - np.repeat(np.cumsum(counts) - counts, counts)
-        start = base[owner] + inside
         eight = np.zeros(len(data) - 7, dtype=np.uint64)
         for k in range(8):
             eight = (eight << np.uint64(8)) | data[k : len(data) - 7 + k]
-        words = np.empty((len(start), WORDS + 1), dtype=np.uint64)
-        for c in range(WORDS - 1):
-            words[:, c] = eight[start + 8 * c]
-        words[:, WORDS - 1] = eight[start + LENGTH - 8]
-        words[:, WORDS] = np.array([r[0] for r in rows], dtype=np.int64).view(np.uint64)[owner]  # one hash at a time
-        order, cls = sort_strings(words)
-        # Rows stand in order of document and place, so the smallest owner of a class is its earliest.
-        earliest = np.full(cls[-1] + 1, len(rows), dtype=np.int64)
-        np.minimum.at(earliest, cls, owner[order])
-        hit = np.zeros(len(start), dtype=bool)
-        hit[order] = owner[order] > earliest[cls]
+        hit = np.zeros(len(owner), dtype=bool)
+        if len(owner) <= 2 * EXPAND:
+            turns = [np.arange(len(owner))]
+        else:  # equal strings have the anchor at the same place
+            offset = before[owner] - inside
+            by_offset = np.argsort(offset, kind="stable")
+            turns = np.split(by_offset, np.flatnonzero(np.diff(offset[by_offset])) + 1)
+        for at in turns:
+            own, start = owner[at], base[owner[at]] + inside[at]
+            words = np.empty((len(at), WORDS + 1), dtype=np.uint64)
+            for c in range(WORDS - 1):
+                words[:, c] = eight[start + 8 * c]
+            words[:, WORDS - 1] = eight[start + LENGTH - 8]
+            words[:, WORDS] = meets[own]  # one meeting at a time
+            order, cls = sort_strings(words)
+            # Rows stand in order of document and place, so the smallest owner of a class is its earliest.
+            earliest = np.full(cls[-1] + 1, len(rows), dtype=np.int64)
+            np.minimum.at(earliest, cls, own[order])
+            hit[at[order]] = own[order] > earliest[cls]
         at = np.flatnonzero(hit)
         if not len(at):
             return
         cuts = np.flatnonzero((np.diff(at) != 1) | (np.diff(owner[at]) != 0)) + 1
         for run in np.split(at, cuts):
-            yield self._span(rows[owner[run[0]]], int(inside[run[0]]), int(inside[run[-1]]))
+            row = rows[owner[run[0]]]
+            yield row[1], row[2], row[3] + int(inside[run[0]]), row[3] + int(inside[run[-1]]) + LENGTH
 
 
 class _Rest:
@@ -254,23 +352,21 @@ class _Rest:
             yield (doc_id, k1, len(data), removed, n, rest.decode("utf-8", "ignore") if self.texts else hashlib.sha256(rest).hexdigest())
 
 
-def covered_spans(docs: DataFrame, base: DataFrame) -> DataFrame:
-    """doc_id, k1, s, e: covered byte spans, which may overlap, of the first document of each text."""
-    owners = base.filter("doc_id IS NOT NULL").groupBy("k1", "k2").agg(F.min("doc_id").alias("owner"))
-    found = pick(docs.filter("doc_id IS NOT NULL"), "text").mapInArrow(_hashes, "h long, k1 long, again boolean")
-    shared = (
-        found.groupBy("h").agg(F.min("k1").alias("lo"), F.max("k1").alias("hi"), F.max("again").alias("again"), F.count("*").alias("n"))
-        .filter("lo <> hi OR again").select("h", F.ceil(F.col("n") / PART_TEXTS).cast("int").alias("parts"))
-    )
-    lists = found.select("h", "k1").join(shared, "h").groupBy("k1").agg(F.collect_set(F.struct("h", "parts")).alias("shared"))
-    wanted = lists.join(owners.select("k1", F.col("owner").alias("doc_id")), "k1")
-    packed = map_rows(pick(docs, "doc_id", "text").filter("doc_id IS NOT NULL"), "doc_id long, k1 long, z binary", _Compressed())
-    texts = packed.join(wanted, ["doc_id", "k1"]).dropDuplicates(["doc_id", "k1"]).select("doc_id", "k1", "z", "shared")
+def covered_spans(docs: DataFrame) -> DataFrame:
+    """doc_id, k1, s, e: covered byte spans, which may overlap, of every document with an id."""
+    known = docs.filter("doc_id IS NOT NULL")
+    frequent = frequent_hashes(known)
+    places = pick(known, "doc_id", "text").mapInArrow(_Places(frequent), PLACES)
+    dealt = places.repartition("h", "part").sortWithinPartitions("h", "part", "c1", "c2", "doc_id", "k1", "packed")
+    shared = cut(dealt.mapInArrow(_Shared(frequent), SHARED))
+    start = F.shiftright("packed", 16) - F.shiftright("packed", 8).bitwiseAND(F.lit(255))
+    whole = shared.filter("kind = 0").select("doc_id", "k1", start.alias("s"), (start + F.col("packed").bitwiseAND(F.lit(255)) + LENGTH).alias("e"))
+    lists = shared.filter("kind > 0").groupBy("doc_id", "k1").agg(F.collect_set(F.struct("kind", "h", "c2", "packed")).alias("wanted"))
+    packed = map_rows(pick(known, "doc_id", "text"), "doc_id long, k1 long, z binary", _Compressed())
+    texts = packed.join(lists, ["doc_id", "k1"]).dropDuplicates(["doc_id", "k1"]).select("doc_id", "k1", "z", "wanted")
     contexts = map_rows(texts, CONTEXT, _Contexts())
-    first = cut(map_rows(contexts.repartition("h", "part").sortWithinPartitions("h", "part"), CONTEXT, _Repeats(True)))
-    passed = first.filter("bytes IS NOT NULL").withColumn("part", F.lit(0)).repartition("h").sortWithinPartitions("h", "part")
-    second = map_rows(passed, CONTEXT, _Repeats(False))
-    return first.filter("bytes IS NULL").unionByName(second).select("doc_id", "k1", F.col("place").alias("s"), (F.col("place") + F.col("before")).alias("e"))
+    near = map_rows(contexts.repartition("meet").sortWithinPartitions("meet"), "doc_id long, k1 long, s long, e long", _Repeats())
+    return whole.unionByName(near)
 
 
 def deduplicate(docs: DataFrame, texts: bool = False) -> DataFrame:
@@ -279,7 +375,7 @@ def deduplicate(docs: DataFrame, texts: bool = False) -> DataFrame:
     Bytes of a character of which a part is removed do not appear in the text.
     """
     base = cut(map_rows(pick(docs, "doc_id", "text"), "doc_id long, k1 long, k2 long, n_bytes long, sha string", _Base()))
-    spans = cut(covered_spans(docs, base).groupBy("doc_id", "k1").agg(F.collect_set(F.struct("s", "e")).alias("spans")))
+    spans = cut(covered_spans(docs).groupBy("doc_id", "k1").agg(F.collect_set(F.struct("s", "e")).alias("spans")))
     packed = map_rows(pick(docs, "doc_id", "text").filter("doc_id IS NOT NULL"), "doc_id long, k1 long, z binary", _Compressed())
     changed = packed.join(spans, ["doc_id", "k1"]).dropDuplicates(["doc_id", "k1"]).select("doc_id", "k1", "z", "spans")
     rest = map_rows(changed, "r_id long, r_k1 long, r_bytes long, n_removed long, n_spans long, rest string", _Rest(texts))

@@ -4,6 +4,7 @@ import hashlib
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -124,10 +125,64 @@ def test_repeated_strings_match_brute_force(spark, texts, odd_docs):
             assert rest[i] == (kept.decode("utf-8", "ignore") if removed else texts[i])
 
 
-def test_split_hashes_give_the_same(spark, texts, odd_docs, monkeypatch):
-    whole = sorted(map(tuple, suffix_dedup.deduplicate(odd_docs.filter("doc_id IS NOT NULL")).collect()))
-    monkeypatch.setattr(suffix_dedup, "PART_TEXTS", 2)
-    assert sorted(map(tuple, suffix_dedup.deduplicate(odd_docs.filter("doc_id IS NOT NULL")).collect())) == whole
+def local_spans(texts, frequent=()):
+    """The steps of covered_spans without Spark, so that their constants can be changed."""
+    import zstandard
+
+    batch = pa.RecordBatch.from_pydict({"doc_id": pa.array(list(range(len(texts))), pa.int64()), "text": pa.array(texts, pa.string())})
+    rows = [tuple(r.values()) for out in suffix_dedup._Places(frequent)([batch]) for r in out.to_pylist()]
+    by_task = {}
+    for r in rows:
+        by_task.setdefault((hash((r[0], r[1])) % 3), []).append(r)
+    names, shared = [x.split()[0] for x in suffix_dedup.PLACES.split(", ")], []
+    for task in by_task.values():
+        task.sort()
+        parts = [pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*task[i : i + 7])], names=names) for i in range(0, len(task), 7)]
+        shared += [r for out in suffix_dedup._Shared(frequent)(parts) for r in out.to_pylist()]
+    covered = {i: set() for i in range(len(texts))}
+
+    def cover(doc, s, e):
+        covered[doc].update(range(s, e))
+
+    press, wanted = zstandard.ZstdCompressor(), {}
+    for r in shared:
+        start = (r["packed"] >> 16) - (r["packed"] >> 8 & 255)
+        if r["kind"]:
+            wanted.setdefault((r["doc_id"], r["k1"]), []).append(r)
+        else:
+            cover(r["doc_id"], start, start + (r["packed"] & 255) + 100)
+    contexts = sorted(suffix_dedup._Contexts()([(d, k, press.compress(texts[d].encode()), w) for (d, k), w in wanted.items()]))
+    for doc, _, s, e in suffix_dedup._Repeats()(contexts):
+        cover(doc, s, e)
+    return covered, len(contexts)
+
+
+@pytest.mark.parametrize("held, expand, frequent", [(1 << 17, 1 << 18, False), (4, 1 << 18, False), (1 << 17, 3, False), (4, 3, True)])
+def test_frequent_hashes_and_large_groups_give_the_same(texts, monkeypatch, held, expand, frequent):
+    monkeypatch.setattr(suffix_dedup, "HELD", held)
+    monkeypatch.setattr(suffix_dedup, "EXPAND", expand)
+    rng = np.random.default_rng(8)
+    phrase = "the very same sixty bytes long phrase stands in every one here "
+    some = [t for t in texts[:60] if t] + [" ".join(rng.choice(["alpha", "beta", "gamma", "delta"], 30)) + phrase + " ".join(rng.choice(["one", "two", "three"], 30)) for _ in range(40)]
+    some += [some[0], "ab" * 400, "ab" * 90, "x" + "ab" * 100]
+    hot = {int(h) for t in some for h in suffix_dedup.anchors(t.encode())[3].view(np.int64)} if frequent else ()
+    got, _ = local_spans(some, hot)
+    seen = set()
+    for i, t in enumerate(some):
+        d, want = t.encode(), set()
+        for s in range(len(d) - 99):
+            if d[s : s + 100] in seen:
+                want.update(range(s, s + 100))
+            seen.add(d[s : s + 100])
+        assert got[i] == want, i
+
+
+def test_few_contexts_go_on(texts):
+    """Contexts that share an anchor but no side stay behind."""
+    rng = np.random.default_rng(9)
+    some = [" ".join(rng.choice(["alpha", "beta", "gamma", "delta", "epsilon"], 40)) + " sixteen bytes!! " + " ".join(rng.choice(["one", "two", "three", "four", "five"], 40)) for _ in range(50)]
+    places = sum(len(suffix_dedup.anchors(t.encode())[0]) for t in some)
+    assert local_spans(some)[1] < places / 10
 
 
 def test_sort_strings():
