@@ -14,7 +14,8 @@ words of eight bytes, then blind tries over the groups that remain, whose nodes
 look only at the first word in which their members differ.  Members of one leaf
 are equal; all but the earliest are covered.
 
-A hash's rows pass through a task in order and are not held.  Hashes that a
+A hash's rows pass through a task in order and are not held.  A context that a
+batch of texts holds twice goes there once.  Hashes that a
 sample of the texts shows to be frequent are dealt over ``PARTS`` tasks by
 context; their contexts all go on, which changes no result.  Strings of a large
 group are sorted one anchor offset at a time.
@@ -103,8 +104,33 @@ def _packed(place, first, last):
     return (place << 16) | ((place - first) << 8) | (last - first)
 
 
+LATER = -1
+
+
+def later_rows(h, c1, c2, doc, k1, packed) -> np.ndarray:
+    """Rows whose context stands at an earlier place among these rows."""
+    if len(c1) < 2:
+        return np.zeros(0, np.int64)
+    order = np.argsort(c1, kind="stable")
+    same = c1[order[1:]] == c1[order[:-1]]
+    some = order[np.r_[same, False] | np.r_[False, same]]
+    some = some[np.lexsort([c[some] for c in (packed, k1, doc, c2, h, c1)])]
+    a, b = some[1:], some[:-1]
+    equal = (c1[a] == c1[b]) & (h[a] == h[b]) & (c2[a] == c2[b])
+    other = (doc[a] != doc[b]) | (k1[a] != k1[b]) | (packed[a] != packed[b])
+    # A repeated row is no earlier place; behind the first of its context it is covered with its twin.
+    begin = np.flatnonzero(np.r_[True, ~equal]) if len(some) else np.zeros(0, np.int64)
+    first = np.repeat(begin, np.diff(np.append(begin, len(some))))
+    moved = np.maximum.accumulate(np.where(np.r_[False, equal & other], np.arange(len(some)), 0)) if len(some) else first
+    return some[moved > first]
+
+
 class _Places:
-    """One short row per anchor of each text; frequent hashes are dealt by context."""
+    """One short row per anchor of each text; frequent hashes are dealt by context.
+
+    A context that stands earlier among the rows of the same batch is known to be
+    covered: its row goes to any task, so copies do not crowd at their hash.
+    """
 
     def __init__(self, frequent):
         self.frequent = np.array(sorted(frequent), dtype=np.int64)
@@ -122,6 +148,9 @@ class _Places:
                 continue
             h, c1, c2, doc, k1, packed = map(np.concatenate, zip(*out))
             part = np.where(np.isin(h, self.frequent), c1 & (PARTS - 1), 0).astype(np.int32)
+            later = later_rows(h, c1, c2, doc, k1, packed)
+            part[later] = LATER
+            h[later] = mix((k1[later] + packed[later]).view(np.uint64)).view(np.int64)  # to any task
             for at in range(0, len(h), 1 << 16):
                 yield pa.RecordBatch.from_arrays([pa.array(c[at : at + (1 << 16)]) for c in (h, part, c1, c2, doc, k1, packed)], names=names)
 
@@ -157,6 +186,10 @@ class _Shared:
         held, self.before, self.open = None, None, None
         for b in batches:
             cols = [b.column(k).to_numpy(zero_copy_only=False) for k in (0, 2, 3, 4, 5, 6)]
+            later = b.column(1).to_numpy(zero_copy_only=False) == LATER
+            if later.any():
+                yield self._rows(np.zeros(later.sum(), dtype=np.int32), [c[later] for c in cols])
+                cols = [c[~later] for c in cols]
             if held is not None:
                 cols = [np.concatenate(c) for c in zip(held, cols)]
             change = np.flatnonzero(cols[0][1:] != cols[0][:-1])
@@ -195,7 +228,12 @@ class _Shared:
         self.before = (h[-1], c1[-1], c2[-1], doc[-1], k1[-1], packed[-1])
         self.open = None if whole else h[-1]
         keep = np.flatnonzero(~again & (~new | (kind > 0)))
-        return pa.RecordBatch.from_arrays([pa.array(c[keep]) for c in (kind, h, c2, doc, k1, packed)], names=["kind", "h", "c2", "doc_id", "k1", "packed"])
+        return self._rows(kind[keep], [c[keep] for c in cols])
+
+    @staticmethod
+    def _rows(kind, cols):
+        h, _, c2, doc, k1, packed = cols
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in (kind, h, c2, doc, k1, packed)], names=["kind", "h", "c2", "doc_id", "k1", "packed"])
 
 
 class _Base:

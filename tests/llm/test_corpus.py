@@ -177,6 +177,17 @@ def test_frequent_hashes_and_large_groups_give_the_same(texts, monkeypatch, held
         assert got[i] == want, i
 
 
+def test_later_rows_against_brute_force():
+    rng = np.random.default_rng(3)
+    for _ in range(200):
+        cols = [rng.integers(0, 3, rng.integers(0, 12)) for _ in range(1)]
+        n = len(cols[0])
+        h, c2, doc, k1, packed = (rng.integers(0, 2, n) for _ in range(5))
+        rows = list(zip(cols[0].tolist(), h.tolist(), c2.tolist(), doc.tolist(), k1.tolist(), packed.tolist()))
+        want = {i for i, r in enumerate(rows) if any(x[:3] == r[:3] and x[3:] < r[3:] for x in rows)}
+        assert set(suffix_dedup.later_rows(h, cols[0], c2, doc, k1, packed).tolist()) == want
+
+
 def test_few_contexts_go_on(texts):
     """Contexts that share an anchor but no side stay behind."""
     rng = np.random.default_rng(9)
