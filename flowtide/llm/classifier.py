@@ -70,25 +70,22 @@ class Model:
         return (self.vectors @ (self.weights[1] - self.weights[0])).astype(np.float32), float(self.bias[1] - self.bias[0])
 
 
-def train(bags: list[tuple[np.ndarray, int]]) -> Model:
-    """Stochastic gradient descent over (bucket numbers, label) pairs, in a fixed random order."""
+def train(bags: list[tuple[np.ndarray, np.ndarray, int, int]]) -> Model:
+    """Stochastic gradient descent over (buckets, counts, all counts, label), in a fixed random order."""
     rng = np.random.default_rng(17)
     vectors = rng.uniform(-1 / DIMENSIONS, 1 / DIMENSIONS, (1 << BUCKET_BITS, DIMENSIONS))
     weights, bias = np.zeros((2, DIMENSIONS)), np.zeros(2)
-    share = np.mean([y for _, y in bags]) if bags else 0.5
-    if len({y for _, y in bags}) < 2:
+    share = np.mean([b[3] for b in bags]) if bags else 0.5
+    if len({b[3] for b in bags}) < 2:
         share = min(max(share, 1e-6), 1 - 1e-6)
         return Model(vectors * 0, weights, np.log(np.array([1 - share, share])))
     weights += rng.normal(0, 0.1, weights.shape)
     bias += np.log(np.array([1 - share, share]))
-    packed = []
-    for idx, y in bags:
-        at, counts = np.unique(idx, return_counts=True)
-        packed.append((at, counts / max(len(idx), 1), y))
     for epoch in range(EPOCHS):
         rate = RATE * (1 - epoch / EPOCHS)
-        for i in rng.permutation(len(packed)):
-            at, w, y = packed[i]
+        for i in rng.permutation(len(bags)):
+            at, counts, size, y = bags[i]
+            w = counts / max(size, 1)
             rows = vectors[at]
             hidden = w @ rows
             logits = weights @ hidden + bias
@@ -115,10 +112,25 @@ def training_rows(docs: DataFrame, labels: DataFrame, rows: int = LABELLED_ROWS)
     return pick(docs, "doc_id", "text").join(F.broadcast(chosen), "doc_id")  # at most `rows` rows go out
 
 
+class _Bags:
+    """Buckets and counts of a labelled text, as bytes: at most 8 for each of the buckets, however long the text."""
+
+    def __call__(self, rows):
+        for doc_id, text, quality in rows:
+            idx = buckets_of(text)
+            at, counts = np.unique(idx, return_counts=True)
+            yield doc_id, int(quality), len(idx), at.astype("<u4").tobytes(), counts.astype("<u4").tobytes()
+
+
 def fit(docs: DataFrame, labels: DataFrame, rows: int = LABELLED_ROWS) -> Model:
-    bags = [(r.doc_id, r.quality, buckets_of(r.text)) for r in training_rows(docs, labels, rows).toLocalIterator()]
-    bags.sort(key=lambda b: (b[0], b[1], len(b[2])))
-    return train([(idx, int(y)) for _, y, idx in bags])
+    """The model of the labelled rows; texts stay in the tasks, the driver gets their bucket counts."""
+    bags = map_rows(training_rows(docs, labels, rows).select("doc_id", "text", "quality"), "doc_id long, quality int, size long, at binary, counts binary", _Bags())
+    held = sorted((tuple(r) for r in bags.toLocalIterator()), key=lambda b: b[:3])
+    ends = np.cumsum([len(b[3]) // 4 for b in held])[:-1] if held else []
+    at, counts = (np.split(np.frombuffer(b"".join(b[k] for b in held), dtype="<u4"), ends) if held else [] for k in (3, 4))
+    sizes = [b[1:3] for b in held]
+    del held
+    return train([(a, c, size, y) for a, c, (y, size) in zip(at, counts, sizes)])
 
 
 class _Score:
