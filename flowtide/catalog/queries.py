@@ -50,20 +50,40 @@ def rounded(df: DataFrame, digits: int = 6, only: list[str] | None = None) -> Da
     return df.withColumns({c: F.round(c, digits) for c in cols})
 
 
+def exact(columns: list[str]) -> list:
+    """Each column as its finite value beside its kind, so that NaN and infinities compare as plain data."""
+    inf, out = F.lit(float("inf")), []
+    for c in columns:
+        v = F.col(f"`{c}`")
+        kind = F.when(v.isNull(), "null").when(F.isnan(v), "nan").when(v == inf, "inf").when(v == -inf, "-inf").otherwise("finite")
+        out += [F.when(kind == "finite", v).alias(c), kind.alias(f"{c} kind")]
+    return out
+
+
+def exact_sql(columns: dict[str, str]) -> str:
+    """The same in SQL; ``columns`` maps names to expressions."""
+    return ", ".join(
+        f"""CASE WHEN isfinite({e}) THEN {e} END AS "{c}", CASE WHEN {e} IS NULL THEN 'null' WHEN isnan({e}) THEN 'nan'
+        WHEN isinf({e}) THEN CASE WHEN {e} > 0 THEN 'inf' ELSE '-inf' END ELSE 'finite' END AS "{c} kind\"""" for c, e in columns.items())
+
+
 # --- scans, sources, sinks --------------------------------------------------
 
 _CSV_COLS = ["flow_id", "src_ip", "dst_port", "raw_label", *G12, "source_year"]
 
 
-@query("scan_flow_csv", """SELECT source_year, count(*) AS n, CAST(sum(flow_id) AS BIGINT) AS id_sum,
-    round(sum(flow_iat_mean), 1) AS iat_sum FROM flows GROUP BY source_year""", ("flows",))
+@query("scan_flow_csv", f"""SELECT flow_id, src_ip, dst_port, raw_label, source_year,
+    {exact_sql({c: c for c in G12})} FROM flows WHERE flow_id % 7 <> 0""", ("flows",))
 def _scan_flow_csv(spark, sf):
+    """Every row of CSV files in which each seventh row carries surplus fields and drops out."""
     path = scratch_path(spark, "raw_csv")
     df = V.flows(spark, sf).select(*_CSV_COLS)
-    df.write.option("header", True).option("encoding", "ISO-8859-1").csv(path)
-    back = FL.scan_flow_csv(spark, path, df.schema, "ISO-8859-1")
-    return back.groupBy("source_year").agg(F.count(F.lit(1)).alias("n"), F.sum("flow_id").alias("id_sum"),
-                                           F.round(F.sum("flow_iat_mean"), 1).alias("iat_sum"))
+    surplus = F.col("flow_id") % 7 == 0
+    how = {"header": True, "encoding": "ISO-8859-1", "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+    df.where(~surplus).write.options(**how).csv(f"{path}/plain")
+    df.where(surplus).withColumns({"x": F.lit("x"), "y": F.col("flow_id")}).write.options(**how).csv(f"{path}/surplus")
+    back = FL.scan_flow_csv(spark, [f"{path}/plain", f"{path}/surplus"], df.schema, "ISO-8859-1")
+    return back.select("flow_id", "src_ip", "dst_port", "raw_label", "source_year", *exact(G12))
 
 
 @query("scan_columns", "SELECT event_type, value FROM events")
@@ -92,11 +112,19 @@ def _write_flows(spark, sf):
     return back.groupBy("source_year", "unified_label").agg(F.count(F.lit(1)).alias("n"), F.sum("flow_id").alias("id_sum"))
 
 
-@query("write_splits", """SELECT split, unified_label, count(*) AS rows,
-    round(sum(count(*)) OVER (PARTITION BY unified_label) * 100e0 / sum(count(*)) OVER (), 3) AS class_pct_full
-    FROM split GROUP BY split, unified_label""", ("split",))
+@query("write_splits", """SELECT split, unified_label, rows, class_pct_full, '42' AS random_seed, r.ratio,
+    CAST(sum(rows) OVER (PARTITION BY split) AS BIGINT) AS split_rows, CAST(sum(rows) OVER () AS BIGINT) AS total
+    FROM (SELECT split, unified_label, count(*) AS rows,
+        round(sum(count(*)) OVER (PARTITION BY unified_label) * 100e0 / sum(count(*)) OVER (), 3) AS class_pct_full
+        FROM split GROUP BY split, unified_label) JOIN (VALUES ('train', 0.8e0), ('val', 0.1e0), ('test', 0.1e0)) r(split, ratio) USING (split)""", ("split",))
 def _write_splits(spark, sf):
-    return sinks.write_splits(_split(spark, sf), scratch_path(spark, "splits"))
+    path = scratch_path(spark, "splits")
+    rows = sinks.write_splits(_split(spark, sf), path, seed=42, ratios=SPLITS)
+    record = sinks.read_manifest(spark, path)
+    return rows.drop("class_pct_full").crossJoin(record).select(
+        "split", "unified_label", "rows", F.col("class_distribution_full_pct")[F.col("unified_label")].alias("class_pct_full"),
+        "random_seed", F.col("ratios")[F.col("split")].alias("ratio"), F.col("row_counts")[F.col("split")].alias("split_rows"),
+        F.col("row_counts")["total"].alias("total"))
 
 
 @query("write_metrics", """SELECT config, count(*) AS n_rows,
@@ -215,6 +243,24 @@ def _profile_row_counts(spark, sf):
     return quality.profile_row_counts(V.files(spark, sf))
 
 
+@query("profile_files", """SELECT source_year, count(*) AS rows, TRUE AS named, TRUE AS sized FROM flows GROUP BY source_year""", ("flows",))
+def _profile_files(spark, sf):
+    """Rows of stored files by folder; every file has its own name and a size in MB of its bytes."""
+    path = scratch_path(spark, "profiled")
+    df = V.flows(spark, sf).select(*_CSV_COLS)
+    parts = []
+    years = [r[0] for r in df.select("source_year").distinct().collect()]  # one value per year of the data
+    for year in sorted(years):
+        df.where(F.col("source_year") == year).write.option("header", True).csv(f"{path}/{year}")
+        parts.append(quality.profile_files(spark, f"{path}/{year}").withColumn("source_year", F.lit(year)))
+    files = parts[0]
+    for p in parts[1:]:
+        files = files.unionByName(p)
+    return files.groupBy("source_year").agg(
+        F.sum("rows").alias("rows"), (F.count_distinct("file_name") == F.count(F.lit(1))).alias("named"),
+        F.bool_and((F.col("bytes") > 0) & (F.abs(F.col("mb") - F.col("bytes") / 1048576) <= 0.005)).alias("sized"))
+
+
 @query("profile_encoding", """SELECT w.written, v.verdict, CAST(count(*) AS BIGINT) AS lines,
     CAST(count(*) FILTER (w.written = 'latin1' AND flow_id % 3 = 0) AS BIGINT) AS bad_lines
     FROM flows, (VALUES ('latin1'), ('utf8')) w(written), LATERAL (SELECT CASE w.written WHEN 'latin1' THEN 'latin1' ELSE 'utf-8' END AS verdict) v
@@ -230,7 +276,9 @@ def _profile_encoding(spark, sf):
         F.sum("lines").alias("lines"), F.sum("bad_lines").alias("bad_lines"))
 
 
-@query("schema_consistency")
+@query("schema_consistency", """SELECT v.* FROM (VALUES ('a', 5, NULL, NULL, CAST(3 AS BIGINT)), ('b', 5, ' dst_port', 'padded', 3),
+    ('b', 5, 'dst_port', 'missing', 3), ('b', 5, ' dst_port', 'extra', 3), ('c', 5, 'src_ip', 'missing', 3), ('c', 5, 'protocol', 'extra', 3))
+    v(file_name, n_columns, column_name, issue, layouts) WHERE EXISTS (SELECT 1 FROM flows)""", ("flows",))
 def _schema_consistency(spark, sf):
     base = scratch_path(spark, "layouts")
     df = V.flows(spark, sf).select("flow_id", "src_ip", "dst_port", "flow_duration", "raw_label")
@@ -344,16 +392,16 @@ def _drop_unmapped(spark, sf):
     return drop_unmapped(V.mapped(spark, sf)).select("flow_id", "unified_label")
 
 
-@query("canonical_columns", """SELECT flow_duration AS "Flow Duration", flow_bytes_s AS "Flow Bytes/s",
-    fwd_header_length AS "Fwd Header Length", raw_label AS "Label" FROM labelled WHERE NOT isnan(flow_bytes_s)
-    AND NOT isinf(flow_bytes_s)""", ("labelled",))
+@query("canonical_columns", f"""SELECT flow_duration AS "Flow Duration", {exact_sql({"Flow Bytes/s": "flow_bytes_s"})},
+    fwd_header_length AS "Fwd Header Length", raw_label AS "Label" FROM labelled""", ("labelled",))
 def _canonical_columns(spark, sf):
-    raw = V.labelled(spark, sf).where(~F.isnan("flow_bytes_s") & (F.abs("flow_bytes_s") != F.lit(float("inf")))).select(
+    raw = V.labelled(spark, sf).select(
         F.col("ts").alias("Timestamp"), F.col("protocol").alias("Protocol"), F.col("src_ip").alias("Src IP"),
         F.col("flow_duration").alias(" Flow Duration"), F.col("flow_bytes_s").alias("Flow Byts/s"),
         F.col("fwd_header_length").alias(" Fwd Header Len"), F.col("fwd_header_length").alias("Fwd Header Length.1"),
         F.col("raw_label").alias(" Label"))
-    return FL.canonical_columns(raw, short_layout=True)
+    named = FL.canonical_columns(raw, short_layout=True)
+    return named.select(*[c for c in named.columns if c != "Flow Bytes/s"], *exact(["Flow Bytes/s"]))
 
 
 @query("add_lineage", "SELECT flow_id, CAST(2018 AS INT) AS source_year, 'real' AS origin FROM flows", ("flows",))
@@ -361,19 +409,16 @@ def _add_lineage(spark, sf):
     return FL.add_lineage(V.flows(spark, sf).select("flow_id"), 2018, "real")
 
 
-@query("select_golden12", f"""SELECT flow_id, {', '.join(c for c in G12 if c not in S.RATE_COLUMNS)},
-    coalesce(nullif(CAST(flow_packets_s AS VARCHAR), 'inf'), '-') <> '-' AS rate_ok, unified_label, source_year FROM labelled""", ("labelled",))
+@query("select_golden12", f"""SELECT flow_id, {exact_sql({c: c for c in G12})}, unified_label, source_year FROM labelled""", ("labelled",))
 def _select_golden12(spark, sf):
     g = features.select_golden12(V.labelled(spark, sf), ["flow_id"])
-    return g.select("flow_id", *[c for c in G12 if c not in S.RATE_COLUMNS],
-                    (F.abs("flow_packets_s") != F.lit(float("inf"))).alias("rate_ok"), "unified_label", "source_year")
+    return g.select("flow_id", *exact(G12), "unified_label", "source_year")
 
 
-@query("inf_to_null", """SELECT flow_id, CASE WHEN isinf(flow_packets_s) THEN NULL ELSE flow_packets_s END AS flow_packets_s,
-    isinf(flow_bytes_s) AS bytes_nulled FROM flows""", ("flows",))
+@query("inf_to_null", f"""SELECT flow_id, {exact_sql({c: f"(CASE WHEN isinf({c}) THEN NULL ELSE {c} END)" for c in S.RATE_COLUMNS})}
+    FROM flows""", ("flows",))
 def _inf_to_null(spark, sf):
-    return features.rates_inf_to_null(V.flows(spark, sf)).select(
-        "flow_id", "flow_packets_s", F.col("flow_bytes_s").isNull().alias("bytes_nulled"))
+    return features.rates_inf_to_null(V.flows(spark, sf)).select("flow_id", *exact(S.RATE_COLUMNS))
 
 
 @query("drop_incomplete", f"SELECT flow_id, {G12_SQL} FROM clean", ("clean",))
@@ -400,6 +445,12 @@ def _parse_timestamps(spark, sf):
     return FL.parse_timestamps(raw, "ts").select("flow_id", F.col("ts").cast("timestamp_ntz").alias("ts"))
 
 
+@query("unparsed_timestamps", """SELECT count(*) AS rows_in, count(*) FILTER (flow_id % 50 = 0) AS rows_unparsed FROM flows""", ("flows",))
+def _unparsed_timestamps(spark, sf):
+    text = F.when(F.col("flow_id") % 50 == 0, "not a time").otherwise(F.date_format("ts", "dd/MM/yyyy HH:mm:ss"))
+    return FL.unparsed_timestamps(V.flows(spark, sf).select(text.alias("ts")), "ts")
+
+
 @query("encode_class", """SELECT flow_id, unified_label, CAST(CASE unified_label WHEN 'DoS_DDoS' THEN 1 WHEN 'BRUTE_FORCE' THEN 2
     WHEN 'INFILTRATION' THEN 3 WHEN 'BOTNET' THEN 4 WHEN 'WEB_ATTACK' THEN 5 ELSE 0 END AS INT) AS class_code FROM labelled""", ("labelled",))
 def _encode_class(spark, sf):
@@ -715,9 +766,12 @@ def _last_write_wins(spark, sf):
         "point", "icmp_id", "icmp_seq", "ts", "event_id")
 
 
+SPLITS = {"train": 0.8, "val": 0.1, "test": 0.1}
+
+
 def _split(spark, sf):
     df = V.clean(spark, sf).select("flow_id", "unified_label")
-    return sampling.stratified_split(df, "unified_label", "flow_id", {"train": 0.8, "val": 0.1, "test": 0.1})
+    return sampling.stratified_split(df, "unified_label", "flow_id", SPLITS)
 
 
 @query("stratified_split", "SELECT flow_id, unified_label, split FROM split", ("split",))

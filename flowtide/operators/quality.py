@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import csv
+import io
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -34,12 +37,16 @@ def profile_row_counts(df: DataFrame, file: str = "file_name") -> DataFrame:
 
 
 def profile_files(spark: SparkSession, path: str, glob: str = "*.csv") -> DataFrame:
-    """Rows (less the header line) and size of every file of a folder."""
+    """Rows (less the header line) and size of every file of a folder.
+
+    Rows are counted by one scan of lines; names and sizes come from the listing,
+    so a file without a line is listed too.
+    """
     lines = spark.read.option("pathGlobFilter", glob).text(path)
-    return lines.groupBy(F.col("_metadata.file_name").alias("file_name"),
-                         F.col("_metadata.file_size").alias("_size")).agg(
-        (F.count(F.lit(1)) - 1).alias("rows")
-    ).select("file_name", "rows", F.round(F.col("_size") / 1048576, 2).alias("mb"))
+    counted = lines.groupBy(F.col("_metadata.file_path").alias("path")).agg(F.count(F.lit(1)).alias("lines"))
+    return _listing(spark, path, glob).join(counted, "path", "left").select(
+        "file_name", F.greatest(F.coalesce("lines", F.lit(0)) - 1, F.lit(0)).alias("rows"),
+        F.round(F.col("bytes") / 1048576, 2).alias("mb"), "bytes")
 
 
 def profile_encoding(spark: SparkSession, path: str, glob: str = "*.csv") -> DataFrame:
@@ -51,17 +58,68 @@ def profile_encoding(spark: SparkSession, path: str, glob: str = "*.csv") -> Dat
     ).withColumn("verdict", F.when(F.col("bad_lines") == 0, "utf-8").otherwise("latin1"))
 
 
+def _listing(spark: SparkSession, path: str, glob: str) -> DataFrame:
+    """path, file_name and bytes of every file of a folder, and its partition columns; no content is read."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", glob).load(path)
+    parts = [c for c in files.columns if c not in ("path", "modificationTime", "length", "content")]
+    return files.select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_name").alias("file_name"),
+                        F.col("_metadata.file_size").alias("bytes"), *parts)
+
+
+HEAD_BYTES = 65536
+
+
+def first_record(read) -> list[str]:
+    """Fields of the first CSV record; ``read(n)`` gives up to n further bytes, none at the end.
+
+    A record ends at the first line end outside quotes, so a name may hold commas
+    and line breaks.  An empty file has one empty name.
+    """
+    data, quoted, at = b"", False, 0
+    while True:
+        more = read(HEAD_BYTES)
+        data += more
+        for at in range(at, len(data)):
+            if data[at] == 34:
+                quoted = not quoted
+            elif data[at] in (10, 13) and not quoted:
+                break
+        else:
+            at = len(data)
+            if more:
+                continue
+        line = data[:at].removeprefix(b"\xef\xbb\xbf")
+        try:
+            text = line.decode()
+        except UnicodeDecodeError:
+            text = line.decode("latin1")
+        return next(csv.reader(io.StringIO(text, newline="")), None) or [""]
+
+
+def _first_records(batches):
+    from pyarrow import fs
+
+    for batch in batches:
+        columns = []
+        for path in batch["path"]:
+            files, at = fs.FileSystem.from_uri(path)
+            with files.open_input_stream(at) as stream:
+                columns.append(first_record(stream.read))
+        yield batch.assign(columns=columns)
+
+
 def file_headers(spark: SparkSession, path: str, glob: str = "*.csv", name: Column | None = None) -> DataFrame:
-    """(file_name, columns): first line of every file, split at commas.
+    """(file_name, columns): names in the first record of every file.
 
-    ``name`` may group files that share one layout, by a partition folder say.
+    Files are listed, spread over the tasks, and of each only the first block is
+    read, so the work does not grow with the files' length.  ``name`` may group
+    files that share one layout, by a partition folder say; the group's first
+    file in path order speaks for it.
     """
-    lines = spark.read.option("pathGlobFilter", glob).text(path)
-    file = F.col("_metadata.file_name") if name is None else name
-    head = lines.where(F.col("_metadata.file_block_start") == 0).select(
-        file.alias("file_name"), "value", F.monotonically_increasing_id().alias("_pos"),
-    ).groupBy("file_name").agg(F.min_by("value", "_pos").alias("line"))
-    return head.select("file_name", F.split("line", ",", -1).alias("columns"))
+    listed = _listing(spark, path, glob)
+    listed = listed.select((F.col("file_name") if name is None else name.cast("string")).alias("file_name"), "path").repartition("path")
+    heads = listed.mapInPandas(_first_records, "file_name string, path string, columns array<string>")
+    return heads.groupBy("file_name").agg(F.min_by("columns", "path").alias("columns"))
 
 
 def schema_consistency(headers: DataFrame) -> DataFrame:
@@ -87,13 +145,14 @@ def schema_consistency(headers: DataFrame) -> DataFrame:
 
 
 def label_census(df: DataFrame, dim: DataFrame, file: str = "file_name", raw: str = "raw_label") -> DataFrame:
-    """Per file and raw label: key, class (or DROP / UNMAPPED) and rows."""
+    """Per file and raw label: key, class (or DROP / UNMAPPED) and rows, most rows of a file first."""
     counts = df.groupBy(file, "source_year", raw).agg(F.count(F.lit(1)).alias("rows"))
     keyed = counts.withColumn("label_key", normalize_label(raw))
     joined = keyed.join(bounded_dimension(dim), ["source_year", "label_key"], "left")
     verdict = (F.when(F.col("label_key") == S.HEADER_KEY, "DROP")
                .otherwise(F.coalesce("unified_label", F.lit("UNMAPPED"))))
-    return joined.select(file, "source_year", raw, "label_key", verdict.alias("verdict"), "rows")
+    census = joined.select(file, "source_year", raw, "label_key", verdict.alias("verdict"), "rows")
+    return census.orderBy(file, "source_year", F.desc("rows"), raw)
 
 
 def unmapped_labels(df: DataFrame, dim: DataFrame, raw: str = "raw_label") -> DataFrame:

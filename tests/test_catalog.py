@@ -9,7 +9,7 @@ from flowtide.catalog.views import SQL_VIEWS
 SF = "/root/testdata/sf0.001"
 TABLES = ["events", "lineitem", "embeddings"]
 # the inventory keys that have no SQL twin
-ROWS_ONLY = {"schema_consistency", "synthesize_minority", "balance_dataset", "train_binary", "train_multiclass", "evaluate_model",
+ROWS_ONLY = {"synthesize_minority", "balance_dataset", "train_binary", "train_multiclass", "evaluate_model",
              "zero_shot_eval", "domain_adapt", "realtime_table_live", "score_cascade_models", "feature_attribution"}
 
 

@@ -1,3 +1,5 @@
+import io
+
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -5,6 +7,7 @@ from pyspark.sql import types as T
 from flowtide import schema as S
 from flowtide.operators import evaluate, features, quality, setops
 from flowtide.sources import flows as FL
+from flowtide.sources.dimension import label_dimension
 from flowtide.sources.sinks import split_manifest
 
 
@@ -100,6 +103,37 @@ def test_files_encoding_and_headers(spark, tmp_path):
                    ("b.csv", " y", "extra", 2), ("b.csv", "w", "extra", 2)}
 
 
+def test_header_reads_take_the_first_record_only(spark, tmp_path):
+    long = b'id,"a, b","line\nbreak", c\n' + b"1,2,3,4\n" * 200000
+    (tmp_path / "long file.csv").write_bytes(long)
+    (tmp_path / "empty.csv").write_bytes(b"")
+    (tmp_path / "mark%20.csv").write_bytes(b"\xef\xbb\xbfid\r\n1\r\n")
+    got = {r["file_name"]: r["columns"] for r in quality.file_headers(spark, str(tmp_path)).collect()}
+    assert got == {"long file.csv": ["id", "a, b", "line\nbreak", " c"], "empty.csv": [""], "mark%20.csv": ["id"]}
+    files = {r["file_name"]: tuple(r)[1:] for r in quality.profile_files(spark, str(tmp_path)).collect()}
+    assert files["empty.csv"] == (0, 0.0, 0) and files["long file.csv"] == (200001, 1.53, len(long))
+
+    class Counting(io.BytesIO):
+        taken = 0
+
+        def read(self, n=-1):
+            self.taken += n
+            return super().read(n)
+
+    for size in (10**5, 10**6):
+        f = Counting(b"x,y\n" + b"1,2\n" * size)
+        assert quality.first_record(f.read) == ["x", "y"] and f.taken == quality.HEAD_BYTES
+    wide = ",".join(f"c{i}" for i in range(40000)).encode()
+    assert len(quality.first_record(io.BytesIO(wide + b"\n1").read)) == 40000 == len(quality.first_record(io.BytesIO(wide).read))
+
+
+def test_label_census_lists_most_rows_first(spark):
+    df = spark.createDataFrame([("f", 2018, "Benign")] * 2 + [("f", 2018, "Bot")] * 3 + [("f", 2018, "?")] + [("e", 2018, "Benign")],
+                               "file_name string, source_year int, raw_label string")
+    census = quality.label_census(df, label_dimension(spark)).collect()
+    assert [(r["file_name"], r["raw_label"], r["rows"]) for r in census] == [("e", "Benign", 1), ("f", "Bot", 3), ("f", "Benign", 2), ("f", "?", 1)]
+
+
 def test_canonical_columns_both_layouts(spark):
     short = spark.createDataFrame([(1, 2, 3, "t", "id", "Benign")], ["Tot Fwd Pkts", "Dst Port", "Protocol", "Timestamp", "Flow ID", "Label"])
     assert FL.canonical_columns(short, True).columns == ["Total Fwd Packets", "Destination Port", "Label"]

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from flowtide.operators import sampling
-from flowtide.sources.sinks import write_splits
+from flowtide.sources.sinks import read_manifest, write_splits
 from flowtide.session import scratch_path
 
 RATIOS = {"train": 0.8, "val": 0.1, "test": 0.1}
@@ -58,5 +58,13 @@ def test_downsample_keeps_all_others(spark):
 
 def test_write_splits(spark):
     df = spark.range(100).withColumn("unified_label", F.lit("A"))
-    m = write_splits(sampling.stratified_split(df, "unified_label", "id", RATIOS), scratch_path(spark, "s"))
+    path = scratch_path(spark, "s")
+    m = write_splits(sampling.stratified_split(df, "unified_label", "id", RATIOS), path, seed=42, ratios=RATIOS)
     assert {r["split"]: r["rows"] for r in m.collect()} == {"train": 80, "val": 10, "test": 10}
+    record = read_manifest(spark, path).first()
+    assert record["random_seed"] == "42" and record["ratios"] == RATIOS
+    assert record["row_counts"] == {"total": 100, "train": 80, "val": 10, "test": 10}
+    assert record["class_distribution_full_pct"] == {"A": 100.0}
+    assert {k: spark.read.parquet(v).count() for k, v in record["output_files"].items()} == {"train": 80, "val": 10, "test": 10}
+    assert spark.read.parquet(path).count() == 100
+    assert write_splits(df.withColumn("split", F.lit("x")).where("id < 0"), scratch_path(spark, "e")).count() == 0
