@@ -39,8 +39,7 @@ def profile_row_counts(df: DataFrame, file: str = "file_name") -> DataFrame:
 def profile_files(spark: SparkSession, path: str, glob: str = "*.csv") -> DataFrame:
     """Rows (less the header line) and size of every file of a folder.
 
-    Rows are counted by one scan of lines; names and sizes come from the listing,
-    so a file without a line is listed too.
+    Rows are counted by one scan of lines; names and sizes come from the listing.
     """
     lines = spark.read.option("pathGlobFilter", glob).text(path)
     counted = lines.groupBy(F.col("_metadata.file_path").alias("path")).agg(F.count(F.lit(1)).alias("lines"))
@@ -59,10 +58,15 @@ def profile_encoding(spark: SparkSession, path: str, glob: str = "*.csv") -> Dat
 
 
 def _listing(spark: SparkSession, path: str, glob: str) -> DataFrame:
-    """path, file_name and bytes of every file of a folder, and its partition columns; no content is read."""
+    """path, file_name and bytes of every file of a folder, and its partition columns.
+
+    No content is read.  Spark lists no file of zero bytes.
+    """
     files = spark.read.format("binaryFile").option("pathGlobFilter", glob).load(path)
     parts = [c for c in files.columns if c not in ("path", "modificationTime", "length", "content")]
-    return files.select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_name").alias("file_name"),
+    # names come URL-encoded, but for the plus sign
+    name = F.url_decode(F.replace(F.col("_metadata.file_name"), F.lit("+"), F.lit("%2B")))
+    return files.select(F.col("_metadata.file_path").alias("path"), name.alias("file_name"),
                         F.col("_metadata.file_size").alias("bytes"), *parts)
 
 
@@ -73,7 +77,7 @@ def first_record(read) -> list[str]:
     """Fields of the first CSV record; ``read(n)`` gives up to n further bytes, none at the end.
 
     A record ends at the first line end outside quotes, so a name may hold commas
-    and line breaks.  An empty file has one empty name.
+    and line breaks.  Without any byte there is one empty name.
     """
     data, quoted, at = b"", False, 0
     while True:

@@ -106,12 +106,12 @@ def test_files_encoding_and_headers(spark, tmp_path):
 def test_header_reads_take_the_first_record_only(spark, tmp_path):
     long = b'id,"a, b","line\nbreak", c\n' + b"1,2,3,4\n" * 200000
     (tmp_path / "long file.csv").write_bytes(long)
-    (tmp_path / "empty.csv").write_bytes(b"")
+    (tmp_path / "bare + line.csv").write_bytes(b"\n")
     (tmp_path / "mark%20.csv").write_bytes(b"\xef\xbb\xbfid\r\n1\r\n")
     got = {r["file_name"]: r["columns"] for r in quality.file_headers(spark, str(tmp_path)).collect()}
-    assert got == {"long file.csv": ["id", "a, b", "line\nbreak", " c"], "empty.csv": [""], "mark%20.csv": ["id"]}
+    assert got == {"long file.csv": ["id", "a, b", "line\nbreak", " c"], "bare + line.csv": [""], "mark%20.csv": ["id"]}
     files = {r["file_name"]: tuple(r)[1:] for r in quality.profile_files(spark, str(tmp_path)).collect()}
-    assert files["empty.csv"] == (0, 0.0, 0) and files["long file.csv"] == (200001, 1.53, len(long))
+    assert files["bare + line.csv"] == (0, 0.0, 1) and files["long file.csv"] == (200001, 1.53, len(long))
 
     class Counting(io.BytesIO):
         taken = 0
