@@ -6,6 +6,13 @@ element, frame parts such as menus or comments, heading).  A decision tree
 grown on ``LABELLED``, a small table of described blocks, decides which blocks
 are article text.  Blocks are kept whole and in page order.
 
+A frame mark belongs to the element that carries it.  A main element ends the
+marks of all its wrappers; an article outside of it ends those of forms and of
+wrappers whose names do not hold articles themselves.  An inline frame part
+(a share link, an advert inside a paragraph) is a block of its own.  A name on a
+paragraph, list item or heading that says little (``social``, ``notice``) is half
+a mark: words, links and neighbours decide.  Parsing takes time linear in the page.
+
 Defined results: a null or empty page, and a page without article text, gives
 an empty string; character references are decoded; white space in a block
 becomes one space; repeated rows each keep their row; an empty table gives none.
@@ -36,6 +43,17 @@ FRAME_NAMES = frozenset(
 _NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 
+# A name with such a word says what is missing or how the page is laid out.
+NO_MARK = frozenset("has have no non not with without free less".split())
+# Frame parts that hold articles of their own (teasers, comments), even without a main element.
+HARD_TAGS = frozenset(("nav", "footer", "aside", "dialog", "menu"))
+HARD_NAMES = frozenset(
+    "ad ads advert adverts advertisement advertising comment comments commentlist discussion disqus promo promoted recommended related replies reply "
+    "respond sidebar sponsor sponsored widget".split())
+# Names that article text carries too.
+SOFT_NAMES = frozenset("banner byline disclaimer footer header login menu modal nav notice notices popup respond share sharing skip social".split())
+TEXT_TAGS = frozenset(("p", "li", "blockquote", "dd", "pre", *HEADINGS))
+
 FEATURES = ("words", "link_density", "words_before", "links_before", "words_after", "links_after", "in_main", "in_frame", "heading", "page_has_main")
 # Labelled blocks: the features in this order, then 1 for article text.
 LABELLED = [
@@ -64,69 +82,118 @@ LABELLED = [
     (40, 0.7, 30, 0.6, 20, 0.8, 0, 0, 0, 0, 0), (4, 0.0, 3, 1.0, 2, 1.0, 0, 0, 0, 0, 0), (3, 0.0, 2, 0.0, 4, 0.5, 0, 0, 0, 0, 0), (5, 0.0, 60, 0.0, 0, 0.0, 0, 0, 0, 0, 0),
     (2, 0.5, 20, 0.0, 3, 1.0, 0, 0, 0, 0, 0), (3, 0.0, 1, 1.0, 1, 1.0, 0, 0, 1, 0, 0), (8, 0.0, 40, 0.0, 3, 1.0, 0, 1, 0, 0, 0), (70, 0.0, 30, 0.0, 40, 0.0, 0, 1, 0, 0, 0),
     (20, 0.0, 1, 1.0, 60, 0.0, 0, 1, 0, 0, 0), (4, 0.0, 5, 0.0, 60, 0.0, 0, 1, 1, 0, 0), (1, 0.0, 0, 0.0, 50, 0.0, 0, 1, 0, 0, 0),
+    # equal blocks without marks: between prose they are text, between link lists teasers
+    (14, 0.1, 14, 0.0, 14, 0.0, 0, 0, 0, 0, 1), (14, 0.1, 14, 1.0, 14, 1.0, 0, 0, 0, 0, 0), (30, 0.0, 16, 0.0, 16, 0.1, 0, 0, 0, 0, 1), (30, 0.0, 16, 1.0, 16, 1.0, 0, 0, 0, 0, 0),
+    (22, 0.0, 25, 0.0, 28, 0.0, 0, 0, 0, 0, 1), (22, 0.0, 25, 1.0, 28, 0.9, 0, 0, 0, 0, 0), (18, 0.0, 40, 0.0, 12, 0.9, 0, 0, 0, 0, 1), (18, 0.0, 12, 0.9, 40, 0.0, 0, 0, 0, 0, 1),
+    (20, 0.0, 25, 0.0, 3, 1.0, 0, 0, 0, 0, 1), (15, 0.0, 18, 0.0, 4, 1.0, 0, 0, 0, 0, 1), (28, 0.0, 20, 0.0, 1, 1.0, 0, 0, 0, 0, 1), (20, 0.0, 25, 1.0, 3, 1.0, 0, 0, 0, 0, 0),
+    # the same blocks inside a main element are text, and outside of an existing one are not, whatever their neighbours
+    (14, 0.1, 14, 1.0, 14, 1.0, 1, 0, 0, 1, 1), (30, 0.0, 16, 1.0, 16, 1.0, 1, 0, 0, 1, 1), (22, 0.0, 25, 1.0, 28, 0.9, 1, 0, 0, 1, 1), (2, 0.0, 4, 1.0, 5, 1.0, 1, 0, 0, 1, 1),
+    (4, 0.8, 40, 0.0, 6, 0.9, 1, 0, 0, 1, 1), (60, 0.0, 2, 1.0, 1, 1.0, 1, 0, 0, 1, 1), (1, 0.0, 60, 0.0, 1, 1.0, 1, 0, 0, 1, 1), (9, 0.0, 20, 0.9, 0, 0.0, 1, 0, 0, 1, 1),
+    (14, 0.1, 14, 0.0, 14, 0.0, 0, 0, 0, 1, 0), (30, 0.0, 16, 0.0, 16, 0.1, 0, 0, 0, 1, 0), (22, 0.0, 25, 0.0, 28, 0.0, 0, 0, 0, 1, 0), (9, 0.0, 70, 0.0, 30, 0.0, 0, 0, 0, 1, 0),
+    # half marks: prose between prose is text, short or linked lines and lines between links are not
+    (40, 0.0, 50, 0.0, 60, 0.0, 1, 0.5, 0, 1, 1), (18, 0.1, 30, 0.0, 20, 0.0, 1, 0.5, 0, 1, 1), (70, 0.0, 12, 0.1, 45, 0.0, 0, 0.5, 0, 0, 1), (25, 0.0, 40, 0.0, 9, 0.2, 1, 0.5, 0, 1, 1),
+    (3, 0.0, 50, 0.0, 40, 0.0, 1, 0.5, 0, 1, 0), (4, 1.0, 60, 0.0, 40, 0.0, 1, 0.5, 0, 1, 0), (20, 0.6, 60, 0.0, 40, 0.0, 1, 0.5, 0, 1, 0), (6, 0.0, 2, 1.0, 1, 1.0, 1, 0.5, 0, 1, 0),
+    (20, 0.0, 2, 1.0, 1, 1.0, 1, 0.5, 0, 1, 0), (16, 0.0, 3, 1.0, 4, 1.0, 0, 0.5, 0, 0, 0), (30, 0.0, 4, 1.0, 2, 1.0, 1, 0.5, 0, 1, 0), (2, 0.0, 1, 0.0, 3, 0.0, 1, 0.5, 0, 1, 0),
 ]
 
 
+def frame_mark(tag: str, role: str | None, names: str) -> tuple[float, bool]:
+    """(mark, hard) of an element by itself: 0, 0.5 or 1, and whether articles below it stay marked."""
+    if tag in FRAME_TAGS or role in FRAME_ROLES:
+        return 1.0, tag in HARD_TAGS or role in ("navigation", "contentinfo", "complementary", "dialog", "alertdialog")
+    found: set[str] = set()
+    if names and tag not in ("html", "body", "article", "main"):
+        for name in names.split():
+            words = [x.lower() for x in _NAME.findall(name)]
+            if NO_MARK.isdisjoint(words):
+                found |= FRAME_NAMES.intersection(words)
+    if not found:
+        return 0.0, False
+    return 0.5 if tag in TEXT_TAGS and found <= SOFT_NAMES else 1.0, not HARD_NAMES.isdisjoint(found)
+
+
+class _Open:
+    """Places of open tags on the stack, so that finding one takes constant time."""
+
+    def __init__(self):
+        self.places: dict[str, list[int]] = {}
+
+    def last(self, tag: str) -> int:
+        held = self.places.get(tag)
+        return held[-1] if held else -1
+
+
 class _Blocks(HTMLParser):
-    """Flat blocks of one page: [text parts, words, linked words, in_main, in_frame, heading]."""
+    """Flat blocks of one page: (text, words, linked words, in_main, in_frame, heading)."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.stack: list[list] = []  # tag, silent, main, frame, link, heading, header
+        # tag, silent, main, frame mark, hard mark, link, heading, header
+        self.stack: list[tuple] = [("", False, False, 0.0, False, False, False, False)]
+        self.open = _Open()
+        self.block_at: list[int] = [0]  # stack places of block tags
+        self.other_at: list[int] = [0]  # those of block tags other than p
         self.blocks: list[tuple] = []
-        self.parts: list[str] = []
-        self.linked: list[str] = []
+        self.runs: dict[bool, tuple[list[str], list[str]]] = {False: ([], []), True: ([], [])}
+        self.at: dict[bool, tuple] = {}
         self.has_main = False
-        self.at = (False, False, False)
 
     def _flush(self):
-        text = " ".join("".join(self.parts).split())
-        if text:
-            self.blocks.append((text, text.count(" ") + 1, len(" ".join(self.linked).split()), *self.at))
-        self.parts, self.linked = [], []
+        for framed, (parts, linked) in self.runs.items():
+            if framed in self.at:
+                text = " ".join("".join(parts).split())
+                self.blocks.append((text, text.count(" ") + 1, len(" ".join(linked).split()), *self.at[framed]))
+            parts.clear()
+            linked.clear()
+        self.at.clear()
 
     def _pop_to(self, at):
-        del self.stack[at:]
-
-    def _find(self, tags, stop):
-        for i in range(len(self.stack) - 1, -1, -1):
-            if self.stack[i][0] in tags:
-                return i
-            if self.stack[i][0] in stop:
-                return None
-        return None
+        for i in range(len(self.stack) - 1, at - 1, -1):
+            tag = self.stack.pop()[0]
+            self.open.places[tag].pop()
+            for held in (self.block_at, self.other_at):
+                if held[-1] == i:
+                    held.pop()
 
     def handle_starttag(self, tag, attrs):
         if tag in BLOCK_TAGS:
             self._flush()
-            head = self._find(("head",), ())
-            if head is not None and tag != "html":
+            if (head := self.open.last("head")) > 0 and tag != "html":
                 self._pop_to(head)
-            if (p := self._find(("p",), BLOCK_TAGS - {"p"})) is not None:
+            if (p := self.open.last("p")) > self.other_at[-1]:
                 self._pop_to(p)
-            if tag == "li" and (li := self._find(("li",), ("ul", "ol", "menu", "dir"))) is not None:
+            if tag == "li" and (li := self.open.last("li")) > max(self.open.last(x) for x in ("ul", "ol", "menu", "dir")):
                 self._pop_to(li)
         elif tag == "br":
-            self.parts.append(" ")
+            for parts, _ in self.runs.values():
+                parts.append(" ")
         if tag in VOID:
             return
-        _, silent, main, frame, link, heading, header = self.stack[-1] if self.stack else (None, False, False, False, False, False, False)
+        _, silent, main, mark, hard, link, heading, header = self.stack[-1]
         a = {k: v or "" for k, v in attrs}
-        if tag in ("article", "main") or a.get("role") in ("main", "article"):
+        own, own_hard = frame_mark(tag, a.get("role"), f"{a.get('class', '')} {a.get('id', '')}".strip())
+        whole, part = tag == "main" or a.get("role") == "main", tag == "article" or a.get("role") == "article"
+        if whole or (part and not main and not hard):
+            mark, hard, header = 0.0, False, False
+        if whole or part:
             main = self.has_main = True
-        names = f"{a.get('class', '')} {a.get('id', '')}"
-        named = names.strip() and tag not in ("html", "body", "article", "main") and not FRAME_NAMES.isdisjoint(x.lower() for x in _NAME.findall(names))
-        frame = frame or tag in FRAME_TAGS or a.get("role") in FRAME_ROLES or bool(named)
+        mark, hard = max(mark, own), hard or own_hard
         silent = silent or tag in SILENT or "hidden" in a or bool(_HIDDEN.search(a.get("style", "")))
-        self.stack.append([tag, silent, main, frame, link or tag == "a", heading or tag in HEADINGS, header or tag == "header"])
+        at = len(self.stack)
+        self.open.places.setdefault(tag, []).append(at)
+        if tag in BLOCK_TAGS:
+            self.block_at.append(at)
+            if tag != "p":
+                self.other_at.append(at)
+        self.stack.append((tag, silent, main, mark, hard, link or tag == "a", heading or tag in HEADINGS, header or tag == "header"))
 
     def handle_endtag(self, tag):
+        at = self.open.last(tag)
         if tag in BLOCK_TAGS:
             self._flush()
-            at = self._find((tag,), ())
-        else:
-            at = self._find((tag,), BLOCK_TAGS if tag not in SILENT else ())
-        if at is not None:
+        elif tag not in SILENT and at < self.block_at[-1]:
+            return
+        if at > 0:
             self._pop_to(at)
 
     def handle_startendtag(self, tag, attrs):
@@ -135,15 +202,19 @@ class _Blocks(HTMLParser):
             self.handle_endtag(tag)
 
     def handle_data(self, data):
-        _, silent, main, frame, link, heading, header = self.stack[-1] if self.stack else (None, False, False, False, False, False, False)
+        _, silent, main, mark, _, link, heading, header = self.stack[-1]
         if silent:
             return
+        # A header belongs to the frame; the heading of an article's own header is part of the article.
+        mark = 1.0 if header and not (main and heading) else mark
+        parts, linked = self.runs[mark == 1.0]
         if not data.isspace():
-            # A header belongs to the frame; the heading of an article's own header is part of the article.
-            self.at = (main, frame or (header and not (main and heading)), heading)
+            # The strongest half mark of a run counts, and its heading if all of it is one.
+            before = self.at.get(mark == 1.0)
+            self.at[mark == 1.0] = (main, mark, heading) if before is None else (before[0], max(before[1], mark), before[2] and heading)
             if link:
-                self.linked.append(data)
-        self.parts.append(data)
+                linked.append(data)
+        parts.append(data)
 
 
 def blocks_of(html: str | None) -> tuple[list[tuple], bool]:

@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+import time
 
 import numpy as np
 import pyarrow as pa
@@ -343,6 +344,39 @@ def test_pages(spark):
     assert all(r.n_chars == len(r.text) for r in got)
 
 
+def used(tree):
+    return set() if len(tree) == 1 else {html_text.FEATURES[tree[0]]} | used(tree[2]) | used(tree[3])
+
+
+def test_html_frames_mark_their_own_content_only():
+    tree, prose = html_text.trained_tree(), "Plain words of an article. " * 8
+    prose = prose.strip()
+    assert {"links_after", "words_before"} <= used(tree) or {"links_before", "words_before"} <= used(tree)
+    whole = {
+        "<div class='layout has-sidebar'><main><p>{}</p></main></div>", "<form action=x><main><p>{}</p></main></form>", "<form><article><p>{}</p></article></form>",
+        "<div class='no-header with-nav'><p>{}</p></div>", "<div class='sidebar-layout'><main><p>{}</p></main></div>", "<main><p class='notice-free'>{}</p></main>",
+        "<main><p>{} <span class='share'>Tweet</span></p></main>", "<main><p><span class='ad'>Buy now</span> {}</p></main>", "<div id='header'><article><p>{}</p></article></div>",
+        "<main><p>{}</p><p class='social'><a href='x'>Tweet</a></p></main>", "<main><p>{}</p><p class='advert'>" + prose + "</p></main>",
+        "<article><p>{}</p><div class='comments'><article><p>" + prose + "</p></article></div></article>", "<main><p>{}</p></main><aside><article><p>" + prose + "</p></article></aside>",
+    }
+    for page in whole:
+        assert html_text.main_text(page.format(prose), tree) == prose, page
+    three = "<main><p>{0}</p><p class='notice-free social'>{0}</p><p>{0}</p></main>".format(prose)
+    assert html_text.main_text(three, tree) == " ".join([prose] * 3)
+    assert html_text.main_text("<aside><article><p>" + prose + "</p></article></aside>", tree) == ""
+
+
+def test_html_of_several_megabytes_takes_linear_time():
+    tree, spent = html_text.trained_tree(), []
+    for k in (50_000, 400_000):
+        start = time.process_time()
+        html_text.main_text("<b><article>" + "<i>a</b>" * k, tree)
+        spent.append(time.process_time() - start)
+    assert spent[1] < 30 * max(spent[0], 0.05)
+    big = "<article>" + ("<p>" + "word " * 100 + "</p>") * 10_000 + "</article>"
+    assert len(html_text.main_text(big, tree).split()) == 1_000_000
+
+
 def test_empty_tables(spark):
     docs = spark.createDataFrame([], SCHEMA)
     for out in (near_dedup.components(docs), suffix_dedup.deduplicate(docs), license_scan.scan(docs), robust_outliers.judge(docs), suffix_dedup.rewritten(docs), near_dedup.deduplicated(docs), robust_outliers.accepted(docs)):
