@@ -215,17 +215,60 @@ def test_license_scan_matches_brute_force(spark, texts, odd_docs):
         words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", low)
         base = [(k, lab) for p, lab in license_scan.PHRASES for k in range(len(words)) if words[k : k + len(p.split())] == p.split()]
         labels, score = {x for _, x in base}, 1.0 if base else 0.0
-        for line in low.split("\n"):
-            block = {w.encode() for w in re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", line)}
-            for lab, s in license_scan.template_sets():
-                if 10 * len(block & s) >= 9 * len(s):
+        coded = [w.encode() for w in words]
+        for lab, s, window in license_scan.template_sets():
+            if 10 * len(s.intersection(coded)) >= 9 * len(s):  # no block holds more than the text
+                common = max(len(s.intersection(coded[a : a + window])) for a in range(max(len(coded) - window, 0) + 1))
+                if 10 * common >= 9 * len(s):
                     labels.add(lab)
-                    score = max(score, len(block & s) / len(s))
+                    score = max(score, common / len(s))
         r = got[i if i != 20 else None]
         starts = [k for k, _ in base]
         assert tuple(r)[1:] == (len(words), len(base), min(starts, default=None), max(starts, default=None), ",".join(sorted({x for _, x in base})), ",".join(sorted(labels)), score)
 
 
+def test_license_blocks_cross_lines_and_stay_together():
+    import random
+    import textwrap
+
+    sets = license_scan.template_sets()
+    scan = license_scan._Scan(license_scan.Index(sets, {}))
+    whole = {label: t for label, t in license_scan.TEMPLATES}  # the last of a label is its longest
+    for label in ("mit", "isc", "bsd", "apache", "gpl", "zlib"):
+        text = " ".join(whole[label].split())
+        for form in (text, "\n".join(textwrap.wrap(text, 78)), "\n".join(" * " + x for x in textwrap.wrap(text, 40)), "before " * 500 + text + " after" * 500):
+            (row,) = scan([(1, form)])
+            assert label in row[6].split(",") and row[7] == 1.0, (label, row)
+    for sentence in ("Redistribution and use in source and binary forms, with or without modification,\nare permitted provided that the following conditions\nare met",
+                     "Permission to use, copy, modify, and distribute\nthis software for any purpose with or without fee is hereby granted"):
+        assert next(scan([(1, sentence)]))[6] in ("bsd", "isc")
+    rng = random.Random(7)
+    scattered = whole["mit"].split() + [f"w{i}" for i in range(30000)]
+    rng.shuffle(scattered)
+    row = next(scan([(1, " ".join(scattered))]))
+    assert row[6] == row[5] and row[7] == (1.0 if row[2] else 0.0)
+    start = time.process_time()
+    next(scan([(1, "mit license noninfringement merchantability gnu " * 200_000)]))
+    assert time.process_time() - start < 60
+
+
+def test_license_sliding_blocks_match_brute_force():
+    import random
+
+    rng = random.Random(3)
+    templates = [("x", "a b c d e f g h i j"), ("y", "a a b k l"), ("z", "m")]
+    sets = license_scan.template_sets(templates)
+    index = license_scan.Index(sets, {c: rng.randrange(9) for c in "abcdefghijklm"})
+    for _ in range(400):
+        words = [rng.choice("abcdefghijklmnopq").encode() for _ in range(rng.randrange(60))]
+        want = {}
+        for lab, s, window in sets:
+            common = max(len(s.intersection(words[a : a + window])) for a in range(max(len(words) - window, 0) + 1))
+            if 10 * common >= 9 * len(s):
+                want[lab] = common / len(s)
+        assert dict(index.matches(words)) == want
+
+
 def test_statistics_and_rules(spark, texts, odd_docs):
     rows = robust_outliers.judge(odd_docs).collect()
     assert len(rows) == len(texts) + 1
