@@ -1,10 +1,13 @@
 """Quality rules: robust multivariate outliers, all in DataFrame functions.
 
 Five transformed statistics of a text form a vector.  Each group (language and
-source) gets a minimum-covariance-determinant estimate: a start from medians and
-median absolute deviations, concentration steps on the three quarters of the
-rows that lie nearest, and one reweighting.  A document is rejected if its
-squared Mahalanobis distance to its group exceeds ``CUTOFF``.
+source) gets a minimum-covariance-determinant estimate: three deterministic starts
+(lower quartiles, medians, upper quartiles, with median absolute deviations), two
+concentration steps each on the half of the rows that lies nearest, then from the
+start with the least determinant on until the determinant no longer falls, and one
+reweighting.  Up to half of a group may be junk; a group that is junk throughout is
+its own measure.  A document is rejected if its squared Mahalanobis distance to its
+group exceeds ``CUTOFF``.
 
 Each language as a whole and all rows together get such an estimate too.  The
 moments of a group are drawn towards those of its language, and these towards
@@ -12,7 +15,10 @@ those of all rows, with weight n / (n + ``PRIOR_ROWS``) for the own ones, so
 every document is judged and nothing switches at a size.  Medians, ranks and
 moments are counts and sums, combined inside the tasks before the shuffle, so a
 source that holds a third of all rows costs no more than others.  Quantiles come
-from counts over a fine fixed grid and do not depend on the order of rows.
+from counts over a fine fixed grid and do not depend on the order of rows; those of
+languages and of all rows are summed from the groups' counts.  A row meets its
+estimates of all levels in one join by its group, broadcast where the stored table
+has at most ``BROADCAST_GROUPS`` rows; estimates that settled leave the passes.
 
 Defined results: a null text has no words; null language and source form a group
 of their own with the empty name; repeated rows each keep their row; an empty
@@ -35,8 +41,13 @@ PAIRS = [(i, j) for i in range(P) for j in range(i + 1)]
 MOMENTS = [*MEANS, *[f"c{i}{j}" for i, j in PAIRS]]
 # Least standard deviations.  Each statistic alone can pass the cutoff within what the base rules let through.
 FLOOR = (0.25, 0.05, 0.03, 0.1, 0.1)
-SHARE = 0.75
-STEPS = 3
+# Share of a group that an estimate rests on, steps that every start takes, and the fall of log determinants that counts.
+SHARE = 0.5
+FIRST_STEPS = 2
+FALL = 0.01
+# Quantiles the starts are centred on.
+STARTS = (0.5, 0.25, 0.75)
+BROADCAST_GROUPS = 10_000
 # Rows at which a group's own moments weigh as much as those of the level above.
 PRIOR_ROWS = 100
 WHITE = " \t\n\x0b\x0c\r"
@@ -130,24 +141,24 @@ def _keys(level: int, lang: str | None, source: str | None) -> list[Column]:
     return [F.lit(level).alias("e_level"), (F.col(lang) if lang else F.lit("")).alias("e_lang"), (F.col(source) if source else F.lit("")).alias("e_source")]
 
 
-def _quantile(values: DataFrame, keys: list[str], share: float) -> DataFrame:
-    """keys, q: upper edge of the grid cell in which the share of the rows is reached; ``bin`` holds cells."""
-    counts = values.groupBy(*keys, "bin").agg(F.count("*").alias("c"))
+def _quantiles(counts: DataFrame, keys: list[str], shares: tuple) -> DataFrame:
+    """keys, q0, q1, ...: upper edges of the cells in which the shares of the rows are reached; ``c`` counts per ``bin``."""
     run = Window.partitionBy(*keys).orderBy("bin")
-    all_rows = Window.partitionBy(*keys)
-    return counts.withColumn("run", F.sum("c").over(run)).withColumn("n", F.sum("c").over(all_rows)).filter(F.col("run") >= F.ceil(F.col("n") * share)).groupBy(*keys).agg(F.min("bin").alias("q"))
+    placed = counts.withColumn("run", F.sum("c").over(run)).withColumn("all", F.sum("c").over(Window.partitionBy(*keys)))
+    edges = [F.min(F.when(F.col("run") >= F.ceil(F.col("all") * share), F.col("bin"))).alias(f"q{i}") for i, share in enumerate(shares)]
+    return placed.groupBy(*keys).agg(*edges)
 
 
 def _log_cell(d: Column) -> Column:
     return F.floor(F.log2(d + 1e-9) * 64)
 
 
-def _raw_moments(rows: DataFrame) -> DataFrame:
-    """Rows n, means m_i and covariances c_ij of the rows as they are, per estimate key."""
+def _raw_moments(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows n, means m_i and covariances c_ij of the rows as they are, per estimate."""
     means = [F.avg(z).alias(f"m{i}") for i, z in enumerate(VECTOR)]
     seconds = [F.avg(F.col(VECTOR[i]) * F.col(VECTOR[j])).alias(f"s{i}{j}") for i, j in PAIRS]
-    e = rows.groupBy(*KEYS).agg(F.count("*").alias("n"), *means, *seconds)
-    return e.select(*KEYS, "n", *MEANS, *[(F.col(f"s{i}{j}") - F.col(f"m{i}") * F.col(f"m{j}")).alias(f"c{i}{j}") for i, j in PAIRS])
+    e = rows.groupBy(*keys).agg(F.count("*").alias("n"), *means, *seconds)
+    return e.select(*keys, "n", *MEANS, *[(F.col(f"s{i}{j}") - F.col(f"m{i}") * F.col(f"m{j}")).alias(f"c{i}{j}") for i, j in PAIRS])
 
 
 def _factored(e: DataFrame, keys: list[str], factor: float = 1.0) -> DataFrame:
@@ -182,38 +193,87 @@ def _distance(rows: DataFrame) -> DataFrame:
     return rows.withColumn("d", d)
 
 
-def _on(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
-    return left.join(right, keys, "left")
+FACTORS = [f"l{i}{j}" for i, j in PAIRS]
+STARTED = [*KEYS, "s"]
+
+
+def _with_keys(groups: DataFrame) -> DataFrame:
+    """``groups`` (g_lang, g_source, ...) once per level, with the keys of that level."""
+    e = F.explode(F.array(*[F.struct(*_keys(*level)) for level in LEVELS])).alias("e")
+    return groups.select("*", e).select(*groups.columns, "e.*")
+
+
+def _meet(stats: DataFrame, groups: DataFrame, est: DataFrame) -> DataFrame:
+    """Every row once per estimate in ``est`` that its group takes part in, with that estimate's columns."""
+    entry = F.collect_list(F.struct(*est.columns)).alias("est")
+    wide = cut(_with_keys(groups).join(est, KEYS).groupBy("g_lang", "g_source").agg(entry))
+    if wide.count() <= BROADCAST_GROUPS:  # an entry has at most levels x starts estimates
+        wide = F.broadcast(wide)
+    met = stats.select("g_lang", "g_source", *VECTOR).join(wide, ["g_lang", "g_source"])
+    return met.select(F.explode("est").alias("e"), *VECTOR).select("e.*", *VECTOR)
+
+
+def _starts(stats: DataFrame) -> DataFrame:
+    """Estimates s = 0, 1, ... of every key: quantiles as centres, median absolute deviations as scales."""
+    cells = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.floor(F.col(z) * GRID).alias("bin")) for i, z in enumerate(VECTOR)])).alias("x")
+    by_group = stats.select("g_lang", "g_source", cells).groupBy("g_lang", "g_source", "x.i", "x.bin").agg(F.count("*").alias("c"))
+    counts = cut(_with_keys(by_group).groupBy(*KEYS, "i", "bin").agg(F.sum("c").alias("c")))
+    centres = cut(_quantiles(counts, [*KEYS, "i"], STARTS))
+    away = counts.join(centres, [*KEYS, "i"]).groupBy(*KEYS, "i", F.abs(F.col("bin") - F.col("q0")).alias("bin")).agg(F.sum("c").alias("c"))
+    scales = _quantiles(away, [*KEYS, "i"], (0.5,)).withColumnRenamed("q0", "mad")
+    at = lambda i, x: F.max(F.when(F.col("i") == i, x))
+    grid = lambda x: (F.col(x) + 0.5) / GRID
+    both = centres.join(scales, [*KEYS, "i"]).groupBy(*KEYS).agg(
+        *[at(i, grid(f"q{s}")).alias(f"m{i}_{s}") for i in range(P) for s in range(len(STARTS))],
+        *[at(i, F.greatest(grid("mad") * 1.4826, F.lit(FLOOR[i]))).alias(f"a{i}") for i in range(P)])
+    scale = [(F.col(f"a{i}") if i == j else F.lit(0.0)).alias(f"l{i}{j}") for i, j in PAIRS]
+    each = [F.struct(F.lit(s).alias("s"), *[F.col(f"m{i}_{s}").alias(f"m{i}") for i in range(P)]) for s in range(len(STARTS))]
+    spread = both.select(*KEYS, F.explode(F.array(*each)).alias("x"), *scale)
+    return cut(spread.select(*KEYS, "x.*", *FACTORS, F.lit(math.inf).alias("ld")))
+
+
+def _step(stats: DataFrame, groups: DataFrame, now: DataFrame) -> DataFrame:
+    """One concentration step of each estimate, with the log determinant ``ld`` of what it comes to."""
+    near = _distance(_meet(stats, groups, now.drop("ld"))).groupBy(*STARTED, _log_cell(F.col("d")).alias("bin")).agg(F.count("*").alias("c"))
+    edged = cut(now.drop("ld").join(_quantiles(near, STARTED, (SHARE,)), STARTED))
+    inner = _distance(_meet(stats, groups, edged)).filter(_log_cell(F.col("d")) <= F.col("q0"))
+    new = _factored(_raw_moments(inner, STARTED), STARTED, consistency(SHARE))
+    ld = sum((2 * F.log(f"l{i}{i}") for i in range(1, P)), 2 * F.log("l00"))
+    return cut(new.select(*STARTED, *MEANS, *FACTORS, ld.alias("ld")))
+
+
+def concentrated(stats: DataFrame, groups: DataFrame) -> DataFrame:
+    """The estimate of least determinant of every key: KEYS, s (its start), means, factors, ld."""
+    now = _starts(stats)
+    for _ in range(FIRST_STEPS):
+        now = _step(stats, groups, now)
+    best = Window.partitionBy(*KEYS).orderBy("ld", "s")  # one row per start
+    now = cut(now.withColumn("r", F.row_number().over(best)).filter("r = 1").drop("r"))
+    settled, whole = None, [*MEANS, *FACTORS, "ld"]
+    # Every round an estimate falls by FALL or leaves; the floors bound determinants from below.
+    while True:
+        new = _step(stats, groups, now)
+        old = now.select(*STARTED, F.struct(*whole).alias("old"))
+        pair = cut(old.join(new.select(*STARTED, F.struct(*whole).alias("new")), STARTED).withColumn("falls", F.col("new.ld") < F.col("old.ld") - FALL))
+        kept = pair.filter(~F.col("falls")).select(*STARTED, F.when(F.col("new.ld") < F.col("old.ld"), F.col("new")).otherwise(F.col("old")).alias("x"))
+        kept = kept.select(*STARTED, "x.*")
+        settled = kept if settled is None else settled.unionByName(kept)
+        now = pair.filter("falls").select(*STARTED, "new.*")
+        if now.isEmpty():
+            return cut(settled)
 
 
 def estimates(stats: DataFrame) -> DataFrame:
     """Means and Cholesky factor for each g_lang, g_source of a stored table with the vector."""
-    rows = stats.select(F.explode(F.array(*[F.struct(*_keys(*level)) for level in LEVELS])).alias("e"), *VECTOR).select("e.*", *VECTOR)
-
-    def unpivoted(cells):
-        return rows_now.select(*KEYS, F.explode(F.array(*[F.struct(F.lit(i).alias("i"), c.alias("bin")) for i, c in enumerate(cells)])).alias("x")).select(*KEYS, "x.i", "x.bin")
-
-    rows_now = rows
-    med = _quantile(unpivoted([F.floor(F.col(z) * GRID) for z in VECTOR]), [*KEYS, "i"], 0.5)
-    med = cut(med.groupBy(*KEYS).agg(*[F.max(F.when(F.col("i") == i, (F.col("q") + 0.5) / GRID)).alias(f"m{i}") for i in range(P)]))
-    rows_now = _on(rows, med, KEYS)
-    mad = _quantile(unpivoted([F.floor(F.abs(F.col(z) - F.col(f"m{i}")) * GRID) for i, z in enumerate(VECTOR)]), [*KEYS, "i"], 0.5)
-    mad = mad.groupBy(*KEYS).agg(*[F.max(F.when(F.col("i") == i, F.greatest((F.col("q") + 0.5) / GRID * 1.4826, F.lit(FLOOR[i])))).alias(f"a{i}") for i in range(P)])
-    none = [F.lit(0.0).alias(f"l{i}{j}") if i != j else F.col(f"a{i}").alias(f"l{i}{i}") for i in range(P) for j in range(i + 1)]
-    now = cut(_on(med, mad, KEYS).select(*KEYS, *[f"m{i}" for i in range(P)], *none))
-    for _ in range(STEPS):
-        near = _distance(_on(rows, now, KEYS)).withColumn("bin", _log_cell(F.col("d")))
-        edge = _quantile(near, KEYS, SHARE)
-        now = cut(_factored(_raw_moments(_on(near, edge, KEYS).filter(F.col("bin") <= F.col("q"))), KEYS, consistency(SHARE)))
-    inner = _distance(_on(rows, now, KEYS)).filter(F.col("d") <= chi2_at(REWEIGHT, P))
-    fitted = cut(_raw_moments(inner).select(*KEYS, "n", *MEANS, *[(consistency(REWEIGHT) * F.col(f"c{i}{j}")).alias(f"c{i}{j}") for i, j in PAIRS]))
+    groups = cut(stats.select("g_lang", "g_source").distinct())
+    inner = _distance(_meet(stats, groups, concentrated(stats, groups).drop("s", "ld"))).filter(F.col("d") <= chi2_at(REWEIGHT, P))
+    fitted = cut(_raw_moments(inner, KEYS).select(*KEYS, "n", *MEANS, *[(consistency(REWEIGHT) * F.col(f"c{i}{j}")).alias(f"c{i}{j}") for i, j in PAIRS]))
     # A group without an inner row has weight 0 and takes the level above as it is.
-    groups = rows.filter("e_level = 2").select(*KEYS).distinct()
-    langs = groups.select(F.lit(1).alias("e_level"), "e_lang", F.lit("").alias("e_source")).distinct()
-    filled = lambda keys: _on(keys, fitted, KEYS).fillna(0, ["n", *MOMENTS])
+    filled = lambda keys: keys.join(fitted, KEYS, "left").fillna(0, ["n", *MOMENTS])
+    langs = groups.select("g_lang").distinct()
     top = fitted.filter("e_level = 0")
-    by_lang = _shrunk(filled(langs), top, [])
-    by_group = _shrunk(filled(groups), by_lang, ["e_lang"])
+    by_lang = _shrunk(filled(langs.select(*_keys(*LEVELS[1]))), top, [])
+    by_group = _shrunk(filled(groups.select(*_keys(*LEVELS[0]))), by_lang, ["e_lang"])
     return cut(_factored(by_group.withColumnsRenamed({"e_lang": "k_lang", "e_source": "k_source"}), ["k_lang", "k_source"]))
 
 

@@ -323,6 +323,56 @@ def test_each_statistic_alone_rejects(spark):
     assert sum(not rows[i].kept for i in range(400)) <= 4
 
 
+def test_junk_below_half_of_a_group_is_rejected(spark):
+    for share, seed in ((0.3, 5), (0.4, 6)):
+        text, clean = _plain_texts(400, seed)
+        n = int(400 * share)
+        docs = docs_of(spark, [" ".join(w + "##" for w in x.split()) for x in clean[:n]] + clean[n:]).withColumn("lang", F.lit("en")).withColumn("source", F.lit("s"))
+        kept = {r.doc_id: r.kept for r in robust_outliers.judge(docs).collect()}
+        assert not any(kept[i] for i in range(n)) and sum(not kept[i] for i in range(n, 400)) <= 4
+
+
+def _least_determinant(x, starts, rng):
+    """Least log determinant (floored pivots, consistent scale) by concentration from random starts, and its mean."""
+    h, best = -(-len(x) // 2), (np.inf, None)
+    factor = robust_outliers.consistency(robust_outliers.SHARE)
+
+    def estimate(rows):
+        m, c = rows.mean(0), factor * np.cov(rows.T, bias=True)
+        low = np.zeros_like(c)
+        for j in range(5):
+            for i in range(j, 5):
+                v = c[i, j] - low[i, :j] @ low[j, :j]
+                low[i, j] = np.sqrt(max(v, robust_outliers.FLOOR[i] ** 2)) if i == j else v / low[j, j]
+        return m, low, 2 * np.log(np.diag(low)).sum()
+
+    for _ in range(starts):
+        m, low, ld = estimate(x[rng.choice(len(x), 6, replace=False)])
+        while True:
+            d = (np.linalg.solve(low, (x - m).T) ** 2).sum(0)
+            m2, low2, new = estimate(x[np.argsort(d, kind="stable")[:h]])
+            m, low = m2, low2
+            if not new < ld - 1e-9 and np.isfinite(ld):
+                break
+            ld = new
+        best = min(best, (new, tuple(m)))
+    return best
+
+
+def test_least_determinant_matches_brute_force(spark):
+    rng = np.random.default_rng(11)
+    mix = rng.normal(size=(5, 5))
+    data = {"clean": rng.normal(size=(300, 5)) @ mix, "junk": np.vstack([rng.normal(size=(180, 5)) @ mix, rng.normal(size=(120, 5)) * 0.7 + 25.0])}
+    rows = [("en", k, *map(float, v)) for k, x in data.items() for v in x]
+    stats = spark.createDataFrame(rows, "g_lang string, g_source string, " + ", ".join(f"{z} double" for z in robust_outliers.VECTOR))
+    got = {(r.e_level, r.e_source): r for r in robust_outliers.concentrated(stats, stats.select("g_lang", "g_source").distinct()).collect()}
+    assert set(got) == {(2, "clean"), (2, "junk"), (1, ""), (0, "")}
+    for k, x in data.items():
+        ld, mean = _least_determinant(x, 200, rng)
+        assert got[2, k].ld <= ld + 0.25, (k, got[2, k].ld, ld)
+        assert np.abs(np.array([got[2, k][f"m{i}"] for i in range(5)]) - mean).max() < 0.6 * np.abs(mix).sum(0).max() ** 0.5
+
+
 def test_small_groups_are_judged_too(spark):
     text, clean = _plain_texts(400, 3)
     junk = " ".join(w + "##" for w in text(150).split())
