@@ -108,12 +108,13 @@ def with_statistics(docs: DataFrame) -> DataFrame:
     text with a repeated window sorts its windows.
     """
     s = docs.select("*", *statistics(F.col("text")))
+    s = s.withColumn("_hashes", F.transform("_words", lambda w: F.xxhash64(w)))
     s = s.select(
         "*", F.size("_words").cast("long").alias("n_words"), F.size("_lines").cast("long").alias("_n_lines"),
         (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long").alias("n_dup_lines"),
-        F.when(F.size("_words") >= 9, F.transform(F.sequence(F.lit(1), F.size("_words") - 7), lambda i: F.xxhash64(F.slice("_words", i, 8))))
+        F.when(F.size("_words") >= 9, F.transform(F.sequence(F.lit(1), F.size("_words") - 7), lambda i: F.xxhash64(F.slice("_hashes", i, 8))))
         .otherwise(F.array().cast("array<bigint>")).alias("_windows"),
-    ).drop("_text", "_words", "_lines")
+    ).drop("_text", "_words", "_hashes", "_lines")
     repeats = F.size(F.array_distinct("_windows")) < F.size("_windows")
     empty = F.array().cast("array<struct<h:bigint,at:bigint>>")
     s = s.withColumn("_sorted", F.when(repeats, F.sort_array(F.transform("_windows", lambda h, i: F.struct(h.alias("h"), i.cast("long").alias("at"))))).otherwise(empty)).drop("_windows")
@@ -155,10 +156,11 @@ def _log_cell(d: Column) -> Column:
 
 def _raw_moments(rows: DataFrame, keys: list[str]) -> DataFrame:
     """Rows n, means m_i and covariances c_ij of the rows as they are, per estimate."""
-    means = [F.avg(z).alias(f"m{i}") for i, z in enumerate(VECTOR)]
-    seconds = [F.avg(F.col(VECTOR[i]) * F.col(VECTOR[j])).alias(f"s{i}{j}") for i, j in PAIRS]
-    e = rows.groupBy(*keys).agg(F.count("*").alias("n"), *means, *seconds)
-    return e.select(*keys, "n", *MEANS, *[(F.col(f"s{i}{j}") - F.col(f"m{i}") * F.col(f"m{j}")).alias(f"c{i}{j}") for i, j in PAIRS])
+    firsts = [F.sum(z).alias(f"t{i}") for i, z in enumerate(VECTOR)]
+    seconds = [F.sum(F.col(VECTOR[i]) * F.col(VECTOR[j])).alias(f"s{i}{j}") for i, j in PAIRS]
+    e = rows.groupBy(*keys).agg(F.count("*").alias("n"), *firsts, *seconds)
+    e = e.select(*keys, "n", *[(F.col(f"t{i}") / F.col("n")).alias(f"m{i}") for i in range(P)], *[f"s{i}{j}" for i, j in PAIRS])
+    return e.select(*keys, "n", *MEANS, *[(F.col(f"s{i}{j}") / F.col("n") - F.col(f"m{i}") * F.col(f"m{j}")).alias(f"c{i}{j}") for i, j in PAIRS])
 
 
 def _factored(e: DataFrame, keys: list[str], factor: float = 1.0) -> DataFrame:
