@@ -81,18 +81,21 @@ REWEIGHT = 0.975
 
 
 def statistics(text: Column) -> list[Column]:
-    """n_words, word_chars, n_symbols, n_dup_lines, n_lines of a text column."""
+    """Words, n_symbols and lines with a word of a text column, by functions that scan the text without a table per character."""
     t = F.coalesce(text, F.lit(""))
-    solid = F.translate(t, WHITE, "")
     return [
-        t.alias("_text"),
-        F.filter(F.split(t, "[\\x20\\x09-\\x0D]+"), lambda w: w != "").alias("_words"),
-        F.length(solid).cast("long").alias("word_chars"),
-        (F.length(t) - F.length(F.translate(t, "#*$%&|<>", ""))).cast("long").alias("n_symbols"),
-        F.filter(F.split(t, "\n"), lambda x: F.length(F.translate(x, WHITE, "")) > 0).alias("_lines"),
+        F.array_remove(F.split(t, "[\\x20\\x09-\\x0D]+"), "").alias("_words"),
+        F.length(F.regexp_replace(t, "[^#*$%&|<>]+", "")).cast("long").alias("n_symbols"),
+        F.filter(F.split(t, "\n"), lambda x: F.ltrim(x, F.lit(WHITE)) != "").alias("_lines"),
     ]
 
 
+def _windows(hashes: str) -> Column:
+    """Hash of every eight neighbouring word hashes; the shifted lists are zipped, so no list is sliced per window."""
+    shifted = [F.slice(hashes, k + 1, F.size(hashes) - 7) for k in range(8)]
+    return F.when(F.size(hashes) >= 9, F.transform(F.arrays_zip(*shifted), lambda w: F.xxhash64(w))).otherwise(F.array().cast("array<bigint>"))
+
+
 def _covered(windows: Column) -> Column:
     """Words covered by the windows at the given sorted starts."""
     gaps = F.aggregate(
@@ -104,16 +107,16 @@ def _covered(windows: Column) -> Column:
 def with_statistics(docs: DataFrame) -> DataFrame:
     """The input with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed and the vector.
 
-    Windows of eight words are compared by 64-bit hashes of their words.  Only a
-    text with a repeated window sorts its windows.
+    Words are hashed once, and windows of eight words are compared by 64-bit hashes
+    of these.  Only a text with a repeated window sorts its windows.
     """
     s = docs.select("*", *statistics(F.col("text")))
     s = s.select(
-        "*", F.size("_words").cast("long").alias("n_words"), F.size("_lines").cast("long").alias("_n_lines"),
-        (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long").alias("n_dup_lines"),
-        F.when(F.size("_words") >= 9, F.transform(F.sequence(F.lit(1), F.size("_words") - 7), lambda i: F.xxhash64(F.slice("_words", i, 8))))
-        .otherwise(F.array().cast("array<bigint>")).alias("_windows"),
-    ).drop("_text", "_words", "_lines")
+        "*", F.size("_words").cast("long").alias("n_words"), F.length(F.array_join("_words", "")).cast("long").alias("word_chars"),
+        F.size("_lines").cast("long").alias("_n_lines"), (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long").alias("n_dup_lines"),
+        F.transform("_words", lambda w: F.xxhash64(w)).alias("_hashes"),
+    ).drop("_words", "_lines")
+    s = s.withColumn("_windows", _windows("_hashes")).drop("_hashes")
     repeats = F.size(F.array_distinct("_windows")) < F.size("_windows")
     empty = F.array().cast("array<struct<h:bigint,at:bigint>>")
     s = s.withColumn("_sorted", F.when(repeats, F.sort_array(F.transform("_windows", lambda h, i: F.struct(h.alias("h"), i.cast("long").alias("at"))))).otherwise(empty)).drop("_windows")
