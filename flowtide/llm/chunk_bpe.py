@@ -2,12 +2,12 @@
 
 Texts are cut where a rolling hash of the last 16 bytes hits a pattern, so equal
 passages get equal chunks wherever they stand.  A chunk's body runs from its
-first to its last ASCII white space; the tokenizer never joins across white
-space, so a body's ids do not depend on its neighbours.  Bodies that occur in
-two or more different texts are encoded once in the whole corpus and shared by
-a join; all others are encoded where they stand.  Each join between chunks is
-repaired by re-encoding from the last white space before it to the first one
-after it, over as many chunks as that takes, which makes the result exact.
+first to its last ASCII white space.  Bodies that occur in two or more different
+texts are encoded once in the whole corpus and shared by a join; all others are
+encoded where they stand, with the joins around them.  At each end of a shared
+body the words on both sides are encoded together and apart: if the ids differ,
+the re-encoded stretch is extended over that body, and so on up to the next body
+whose ends agree or the end of the text.
 
 Defined results: a null text counts as empty; an empty text has no ids and
 decodes to the empty string; equal texts, repeated rows and null ids each keep
@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import functools
 import hashlib
+import json
 import re
 
 import numpy as np
@@ -30,7 +31,11 @@ from flowtide.llm.common import SPACE, map_rows, mix, pick, prefix_hash
 WINDOW = 16
 CUT_BITS = 10           # a cut every 1,024 bytes on average
 CACHED_WORDS = 300_000  # words kept per task; more only cost time
+CACHED_CHARS = 64       # longer words are not kept
+CACHED_BODIES = 4_000   # shared bodies kept per task
 KEYS = "k1 long not null, k2 long not null"  # nullable keys would give inner joins a filter of their own, and so a second exchange of the texts
+SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"  # fixed value: the known split pattern
+_BLANK = re.compile(r"[\t-\r ]+")
 _PLAIN = re.compile(r"[\t-\r -~¡¿«»À-įı-ňŊ-ſ]*")
 
 
@@ -40,43 +45,103 @@ def default_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
-@functools.lru_cache(maxsize=2)
-def codec(path: str):
-    """(encode, decode, narrowest unsigned type that holds every id) of one tokenizer file.
+class _Known(dict):
+    """Values by key, made on first use; long keys are not kept and a full table starts anew."""
 
-    Texts of plain Latin letters are split by the tokenizer's own pattern and
-    encoded word by word through a bounded table; words are encoded by the
-    tokenizer.  Every other text goes to the tokenizer as a whole.
-    """
-    import regex
-    from tokenizers import Tokenizer
+    def __init__(self, make):
+        super().__init__()
+        self.make = make
 
-    exact = Tokenizer.from_file(path)
-    exact.no_truncation()
-    exact.no_padding()
-    words = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")  # fixed value: the file's split pattern
-    known: dict[str, list[int]] = {}
+    def __missing__(self, key):
+        value = self.make(key)
+        if len(key) <= CACHED_CHARS:
+            if len(self) >= CACHED_WORDS:
+                self.clear()
+            self[key] = value
+        return value
 
-    def encode(text: str) -> list[int]:
-        if not _PLAIN.fullmatch(text) or "<|" in text:
-            return exact.encode(text, add_special_tokens=False).ids
-        out: list[int] = []
-        for w in words.findall(text.lower()):
-            ids = known.get(w)
-            if ids is None:
-                if len(known) >= CACHED_WORDS:
-                    known.clear()
-                ids = known[w] = exact.encode(w, add_special_tokens=False).ids
-            out += ids
-        return out
 
-    names = {i: t for t, i in exact.get_vocab(with_added_tokens=True).items()}
+class Codec:
+    """One tokenizer file: ids as little-endian unsigned 32-bit bytes, and their decoded text.
 
-    def decode(ids) -> str:
-        """Without a decoder in the file, tokens are joined by blanks."""
-        return " ".join(map(names.__getitem__, ids))
+    A file with the known split pattern, which never joins across white space, is
+    applied word by word through bounded tables of ids and of decoded texts: plain
+    Latin words are split by that pattern, all others go to the tokenizer.  With any
+    other file every text goes to the tokenizer as a whole.
+    """
 
-    return encode, decode, "<u2" if max(names, default=0) < 1 << 16 else "<u4"
+    def __init__(self, path: str):
+        import regex
+        from tokenizers import Tokenizer
+
+        self.exact = Tokenizer.from_file(path)
+        self.exact.no_truncation()
+        self.exact.no_padding()
+        names = {i: t for t, i in self.exact.get_vocab(with_added_tokens=True).items()}
+        self.names = names.__getitem__
+        self.width = "<u2" if max(names, default=0) < 1 << 16 else "<u4"  # narrowest type that holds every id
+        self.joins_names = self.exact.decoder is None  # without a decoder, tokens are joined by blanks
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        steps = [n.get("type") for n in (spec["normalizer"] or {}).get("normalizers", ())]
+        splits = [n.get("pattern", {}).get("Regex") for n in (spec["pre_tokenizer"] or {}).get("pretokenizers", ())]
+        self.by_word = self.joins_names and steps == ["NFC", "Replace", "Lowercase"] and splits[:1] == [SPLIT]
+        self.split = regex.compile(SPLIT).findall
+        self.units = _Known(self._ids)
+        self.word_ids = _Known(lambda w: _bytes(self._word(w)))
+        self.word_texts = _Known(lambda w: " ".join(map(self.names, self._word(w))))
+        self.joins = _Known(lambda sides: self._ids(sides[0] + sides[1]) == self._ids(sides[0]) + self._ids(sides[1]))
+
+    def _ids(self, text: str) -> list[int]:
+        return self.exact.encode(text, add_special_tokens=False).ids
+
+    def _word(self, w: str) -> list[int]:
+        if not _plain(w):
+            return self._ids(w)
+        return [i for unit in self.split(w.lower()) for i in self.units[unit]]
+
+    def encode(self, text: str) -> tuple[bytes, str]:
+        if not self.by_word:
+            ids = self._ids(text)
+            return _bytes(ids), self._names(ids)
+        words = text.lower().split() if _plain(text) else list(filter(None, _BLANK.split(text)))
+        return b"".join(map(self.word_ids.__getitem__, words)), " ".join(filter(None, map(self.word_texts.__getitem__, words)))
+
+    def stored(self, ids: bytes) -> tuple[bytes, str]:
+        """The same for ids kept in the narrow type."""
+        found = np.frombuffer(ids, dtype=self.width)
+        return found.astype("<u4").tobytes(), self._names(found.tolist())
+
+    def _names(self, ids: list[int]) -> str:
+        return " ".join(map(self.names, ids)) if self.joins_names else ""
+
+    def whole(self, parts: list[tuple[bytes, str]]) -> tuple[bytes, str]:
+        """Ids and decoded text of neighbouring parts."""
+        raw = b"".join([ids for ids, _ in parts])
+        if self.joins_names:
+            return raw, " ".join([text for _, text in parts if text])
+        return raw, self.exact.decode(np.frombuffer(raw, dtype="<u4").tolist(), skip_special_tokens=False)
+
+    def agrees(self, data: bytes, at: int) -> bool:
+        """Whether the words on both sides of a place get the same ids together as apart."""
+        lo = hi = at
+        for blank in (True, False):
+            while lo > 0 and SPACE[data[lo - 1]] == blank:
+                lo -= 1
+            while hi < len(data) and SPACE[data[hi]] == blank:
+                hi += 1
+        return self.joins[data[lo:at].decode(), data[at:hi].decode()]
+
+
+def _bytes(ids: list[int]) -> bytes:
+    return np.array(ids, dtype="<u4").tobytes()
+
+
+def _plain(text: str) -> bool:
+    return _PLAIN.fullmatch(text) is not None and "<|" not in text
+
+
+codec = functools.lru_cache(maxsize=2)(Codec)
 
 
 def chunk_parts(data: bytes) -> list[tuple[int, int, int, int]]:
@@ -140,14 +205,15 @@ class _Owned:
         self.path = path
 
     def __call__(self, rows):
-        open_, (encode, _, width) = zstandard.ZstdDecompressor(), codec(self.path)
+        open_, tool = zstandard.ZstdDecompressor(), codec(self.path)
         for z, owned in rows:
             data, todo = open_.decompress(z), {(o["h1"], o["h2"]) for o in owned}
             for _, b, c, _ in chunk_parts(data):
                 h = _two_longs(data[b:c]) if c > b else None
                 if h in todo:
                     todo.discard(h)
-                    yield *h, np.array(encode(data[b:c].decode()), dtype=width).tobytes()
+                    ids, _ = tool.encode(data[b:c].decode())
+                    yield *h, np.frombuffer(ids, dtype="<u4").astype(tool.width).tobytes()
 
 
 class _Assemble:
@@ -157,23 +223,26 @@ class _Assemble:
         self.path, self.digests = path, digests
 
     def __call__(self, rows):
-        open_, (encode, decode, width) = zstandard.ZstdDecompressor(), codec(self.path)
+        open_, tool = zstandard.ZstdDecompressor(), codec(self.path)
+        bodies: dict[tuple[int, int], tuple[bytes, str]] = {}
         for k1, k2, z, shared in rows:
             data = open_.decompress(z)
             have = {(x["h1"], x["h2"]): x["ids"] for x in shared or ()}
-            ids: list[int] = []
+            parts = []
             open_from = 0
-            for _, b, c, _ in chunk_parts(data):
-                if c == b:
-                    continue
-                ids += encode(data[open_from:b].decode())
-                got = have.get(_two_longs(data[b:c])) if have else None
-                ids += encode(data[b:c].decode()) if got is None else np.frombuffer(got, dtype=width).tolist()
+            for _, b, c, _ in chunk_parts(data) if have else ():
+                h = _two_longs(data[b:c]) if c > b else None
+                if h not in have or not (tool.agrees(data, b) and tool.agrees(data, c)):
+                    continue  # encoded with its neighbours
+                if h not in bodies:
+                    if len(bodies) >= CACHED_BODIES:
+                        bodies.clear()
+                    bodies[h] = tool.stored(have[h])
+                parts += [tool.encode(data[open_from:b].decode()), bodies[h]]
                 open_from = c
-            ids += encode(data[open_from:].decode())
-            raw, text = np.array(ids, dtype="<u4").tobytes(), decode(ids)
+            raw, text = tool.whole([*parts, tool.encode(data[open_from:].decode())])
             if self.digests:
-                yield k1, k2, len(ids), hashlib.sha256(raw).hexdigest(), hashlib.sha256(text.encode()).hexdigest()
+                yield k1, k2, len(raw) // 4, hashlib.sha256(raw).hexdigest(), hashlib.sha256(text.encode()).hexdigest()
             else:
                 yield k1, k2, raw, text
 

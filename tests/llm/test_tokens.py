@@ -128,3 +128,29 @@ def test_shared_passages_give_equal_chunks():
     for d in (a, b):
         parts = chunk_bpe.chunk_parts(d)
         assert parts[0][0] == 0 and parts[-1][3] == len(d) and all(x[3] == y[0] for x, y in zip(parts, parts[1:]))
+
+
+def test_joins_that_disagree_are_extended(spark):
+    """A tokenizer that joins blanks to the words after them: no body's ends agree where a word follows."""
+    path = token_counts.tokens.default_paths()[0]
+    t = Tokenizer.from_file(path)
+    passage = " ".join(f"word{i * 7919 % 1000}" for i in range(1500))
+    texts = [*ODD, "start " + passage, "another beginning here " + passage + " end", passage + "\n\n" + passage]
+    docs = docs_of(spark, texts)
+    rows = chunk_bpe.by_document(docs, chunk_bpe.encoded_texts(docs, path)).collect()
+    want = [t.encode(x or "", add_special_tokens=False).ids for x in texts]
+    pairs = [(None if i == 3 else i, np.array(ids, dtype="<u4").tobytes(), t.decode(ids, skip_special_tokens=False)) for i, ids in enumerate(want)]
+    assert sorted(map(repr, pairs)) == sorted(repr((r.doc_id, bytes(r.ids), r.decoded)) for r in rows)
+    tool = chunk_bpe.codec(path)
+    assert not tool.agrees(b"one two", 4) and tool.agrees(b"one two", 3)
+
+
+def test_shared_bodies_stand_among_own_ones(spark):
+    path = chunk_bpe.default_path()
+    t = Tokenizer.from_file(path)
+    passage = " ".join(f"word{i * 7919 % 1000}" for i in range(1500))
+    texts = ["start " + passage, "\u65e5\u672c \u03a3\u0391\u03a3 \u00a0x\x1cy <|endoftext|> " + passage + " \u0308e" + passage, passage + "\t" * 3000 + "\u00c9" * 200]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for r in chunk_bpe.by_document(docs, chunk_bpe.encoded_texts(docs)).collect():
+        ids = t.encode(texts[r.doc_id], add_special_tokens=False).ids
+        assert np.frombuffer(r.ids, dtype="<u4").tolist() == ids and r.decoded == t.decode(ids, skip_special_tokens=False)
