@@ -30,12 +30,12 @@ from flowtide.llm.common import SPACE, map_rows, mix, pick, prefix_hash
 
 WINDOW = 16
 CUT_BITS = 10           # a cut every 1,024 bytes on average
-CACHED_WORDS = 300_000  # words kept per task; more only cost time
-CACHED_CHARS = 64       # longer words are not kept
+CACHED_WORDS = 300_000  # units kept per task besides those of the text at hand; more only cost time
 CACHED_BODIES = 4_000   # shared bodies kept per task
 KEYS = "k1 long not null, k2 long not null"  # nullable keys would give inner joins a filter of their own, and so a second exchange of the texts
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"  # fixed value: the known split pattern
-_BLANK = re.compile(r"[\t-\r ]+")
+# The same pattern within lower-cased plain Latin letters, digits and signs.
+_UNITS = re.compile(r"[a-zÀ-ÖØ-öø-ſ]+|'(?:s|t|re|ve|m|ll|d)|[0-9]|[^\sa-zÀ-ÖØ-öø-ſ0-9]+")
 _PLAIN = re.compile(r"[\t-\r -~¡¿«»À-įı-ňŊ-ſ]*")
 
 
@@ -45,33 +45,15 @@ def default_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
-class _Known(dict):
-    """Values by key, made on first use; long keys are not kept and a full table starts anew."""
-
-    def __init__(self, make):
-        super().__init__()
-        self.make = make
-
-    def __missing__(self, key):
-        value = self.make(key)
-        if len(key) <= CACHED_CHARS:
-            if len(self) >= CACHED_WORDS:
-                self.clear()
-            self[key] = value
-        return value
-
-
 class Codec:
     """One tokenizer file: ids as little-endian unsigned 32-bit bytes, and their decoded text.
 
-    A file with the known split pattern, which never joins across white space, is
-    applied word by word through bounded tables of ids and of decoded texts: plain
-    Latin words are split by that pattern, all others go to the tokenizer.  With any
-    other file every text goes to the tokenizer as a whole.
+    With the known split pattern plain Latin texts are split here; units that the
+    bounded table lacks are encoded by the tokenizer, all of a text's in one call.
+    Every other text, or file, goes to the tokenizer as a whole.
     """
 
     def __init__(self, path: str):
-        import regex
         from tokenizers import Tokenizer
 
         self.exact = Tokenizer.from_file(path)
@@ -86,26 +68,38 @@ class Codec:
         steps = [n.get("type") for n in (spec["normalizer"] or {}).get("normalizers", ())]
         splits = [n.get("pattern", {}).get("Regex") for n in (spec["pre_tokenizer"] or {}).get("pretokenizers", ())]
         self.by_word = self.joins_names and steps == ["NFC", "Replace", "Lowercase"] and splits[:1] == [SPLIT]
-        self.split = regex.compile(SPLIT).findall
-        self.units = _Known(self._ids)
-        self.word_ids = _Known(lambda w: _bytes(self._word(w)))
-        self.word_texts = _Known(lambda w: " ".join(map(self.names, self._word(w))))
-        self.joins = _Known(lambda sides: self._ids(sides[0] + sides[1]) == self._ids(sides[0]) + self._ids(sides[1]))
+        self.ends = np.zeros(max(names, default=0) + 1, dtype=bool)
+        self.ends[[i for i, t in names.items() if t.endswith("</w>")]] = True  # fixed value: the file's mark of a unit's last token
+        self.unit_ids: dict[str, bytes] = {}
+        self.unit_texts: dict[str, str] = {}
 
     def _ids(self, text: str) -> list[int]:
         return self.exact.encode(text, add_special_tokens=False).ids
 
-    def _word(self, w: str) -> list[int]:
-        if not _plain(w):
-            return self._ids(w)
-        return [i for unit in self.split(w.lower()) for i in self.units[unit]]
+    def _learn(self, units: set[str]) -> None:
+        """The tables hold all ``units`` afterwards."""
+        new = list(units.difference(self.unit_ids))
+        if len(self.unit_ids) + len(new) > CACHED_WORDS:
+            self.unit_ids.clear()
+            self.unit_texts.clear()
+            new = list(units)
+        found = self._ids(" ".join(new))
+        stops = (np.flatnonzero(self.ends[found]) + 1).tolist() if found else []
+        if len(stops) != len(new):
+            each = [self._ids(u) for u in new]
+            found, stops = [i for ids in each for i in ids], np.cumsum([len(ids) for ids in each]).tolist()
+        raw, names, start = _bytes(found), list(map(self.names, found)), 0
+        for unit, stop in zip(new, stops):
+            self.unit_ids[unit], self.unit_texts[unit] = raw[4 * start:4 * stop], " ".join(names[start:stop])
+            start = stop
 
     def encode(self, text: str) -> tuple[bytes, str]:
-        if not self.by_word:
+        if not (self.by_word and _plain(text)):
             ids = self._ids(text)
             return _bytes(ids), self._names(ids)
-        words = text.lower().split() if _plain(text) else list(filter(None, _BLANK.split(text)))
-        return b"".join(map(self.word_ids.__getitem__, words)), " ".join(filter(None, map(self.word_texts.__getitem__, words)))
+        units = _UNITS.findall(text.lower())
+        self._learn(set(units))
+        return b"".join(map(self.unit_ids.__getitem__, units)), " ".join(filter(None, map(self.unit_texts.__getitem__, units)))
 
     def stored(self, ids: bytes) -> tuple[bytes, str]:
         """The same for ids kept in the narrow type."""
@@ -130,7 +124,8 @@ class Codec:
                 lo -= 1
             while hi < len(data) and SPACE[data[hi]] == blank:
                 hi += 1
-        return self.joins[data[lo:at].decode(), data[at:hi].decode()]
+        left, right = data[lo:at].decode(), data[at:hi].decode()
+        return self._ids(left + right) == self._ids(left) + self._ids(right)
 
 
 def _bytes(ids: list[int]) -> bytes:
