@@ -53,6 +53,58 @@ def test_exact_with_copies_ties_and_many_blocks(spark, tiny_blocks, lattice):
     assert got(df, 4, cols=cols) == brute(x, ids, 4)
 
 
+def test_box_tree_finds_the_near_boxes_and_visits_few():
+    rng = np.random.default_rng(8)
+    corner = np.sort(rng.uniform(0, 1000, 4096))
+    lo = np.stack([corner, rng.uniform(0, 1, 4096)], axis=1)
+    hi, group = lo + 0.5, np.repeat(["a", "b"], 2048)
+    lo[5], hi[6] = np.nan, np.inf
+    x = np.stack([rng.uniform(0, 1000, 300), rng.uniform(0, 1, 300)], axis=1)
+    x[7] = np.inf
+    bound, g = np.where(rng.random(300) < 0.02, np.inf, 0.3), rng.choice(["a", "b", "c"], 300)
+    want = []
+    for i, v in enumerate(x):
+        with np.errstate(invalid="ignore"):
+            gap = np.maximum(np.maximum(lo - v, v - hi), 0.0)
+        want += [(i, b) for b in np.flatnonzero(((gap * gap).sum(axis=1) <= bound[i]) & (group == g[i]))]
+    boxes = neighbors._Boxes(lo, hi, group)
+    assert sorted(zip(*(a.tolist() for a in boxes.near(x, bound, g)))) == want
+    # a tree of a hundred times the boxes is a few levels deeper, not a hundred times the work
+    assert [len(level[0]) for level in boxes.levels] == [4096, 512, 64, 8]
+
+
+@pytest.mark.parametrize("kind", ["spread", "ties", "outliers", "infinite"])
+def test_region_search_is_exact(kind):
+    rng = np.random.default_rng(9)
+    x = rng.integers(0, 4, (900, 5)).astype(float) if kind == "ties" else rng.lognormal(0, 1, (900, 5)) * 1e4
+    if kind == "outliers":
+        x[::90] *= 1e9
+    if kind == "infinite":
+        x[::90, 2] = np.inf
+    ids, block, q = rng.permutation(10_000)[:900] - 5_000, rng.integers(0, 6, 900), x[:200]
+    asked, blocks = np.repeat(np.arange(200), 3), np.concatenate([rng.permutation(6)[:3] for _ in range(200)])
+    with np.errstate(invalid="ignore"):
+        d = np.zeros((200, 900))
+        for j in range(5):
+            d += (q[:, j, None] - x[None, :, j]) ** 2
+    bound = np.where(np.arange(200) % 3 == 0, np.nanquantile(d, 0.01), np.inf)
+    count, found, dist = neighbors._search_region(q, bound, asked, blocks, ids, x, block, 4)
+    for i in range(200):
+        near = [(d[i, m], ids[m]) for m in range(900) if block[m] in blocks[3 * i:3 * i + 3] and d[i, m] <= bound[i]]
+        assert list(zip(dist[i, :count[i]], found[i, :count[i]])) == sorted(near)[:4]
+
+
+def test_points_meet_a_region_once(spark, tiny_blocks, monkeypatch):
+    """Wide vectors ask for every block; each goes to a region once and leaves with one list."""
+    rows, probe = [], neighbors._probe
+    monkeypatch.setattr(neighbors, "_probe", lambda asked, *a: rows.append(asked.count()) or probe(asked, *a))
+    x = np.random.default_rng(10).normal(size=(400, 12))
+    ids = np.arange(400)
+    df, cols = frame(spark, x, ids)
+    assert got(df, 3, cols=cols) == brute(x, ids, 3)
+    assert rows == [400, 400]  # 20 blocks, one region
+
+
 def test_within_groups_and_two_tables(spark, tiny_blocks):
     x, ids = points(2, 200)
     g = ["a" if i % 4 else "b" for i in range(len(ids))]
