@@ -3,6 +3,7 @@ from datetime import datetime, timedelta
 from pyspark.sql import functions as F
 
 from flowtide import schema as S
+from flowtide.catalog import views as V
 from flowtide.operators.cascade import alerts, block_requests, cascade_decide
 from flowtide.operators.intervals import sessionize
 from flowtide.operators.windows import tier2_windows
@@ -224,3 +225,20 @@ def test_counts_grow_by_files(spark):
     merged = scratch_path(spark, "merged")
     counts.compact(spark, out, merged)
     assert sorted(map(tuple, counts.class_totals(counts.read_counts(spark, merged)).collect()), key=repr) == want()
+
+
+def test_batches_and_files_grow_with_the_flows(spark, tmp_path, monkeypatch):
+    """Bounded slices of several files each; a slice of few rows still fills its batch, so that no row comes late."""
+    monkeypatch.setattr(V, "SLICE_ROWS", 100, raising=False)
+    monkeypatch.setattr(V, "FILE_ROWS", 15, raising=False)
+    ids = [*range(600), *range(900, 903)]
+    kinds = ["view", "click", "signup", "purchase"]
+    spark.createDataFrame([(i, T0, i % 50, kinds[i % 4], 1.0 + i % 9, f'{{"k": {i % 90}}}') for i in ids],
+                          "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
+                          ).coalesce(1).write.parquet(f"{tmp_path}/events.parquet")
+    path, files = V.stream_folder(spark, str(tmp_path), True)
+    assert files == 6 and len(spark.read.parquet(path).inputFiles()) == 7 * 6 + 1
+    out = drain(spark, jobs.stream_tier2_windows(V.clean_of(V.flow_stream(spark, str(tmp_path), closed=True))))
+    want = tier2_windows(V.clean(spark, str(tmp_path)))
+    assert out.agg(F.sum("flow_count")).first()[0] == want.agg(F.sum("flow_count")).first()[0] > 500
+    assert out.count() == want.count()
