@@ -44,6 +44,23 @@ def test_ground_truth_of_one_session(spark):
     assert got == ["DoS_DDoS"] * 5 + ["BENIGN"] * 15
 
 
+def test_ground_truth_evaluates_the_log_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def named(c):
+        seen.add(1)
+        return c
+
+    t0 = datetime(2024, 1, 1)
+    flows = spark.createDataFrame([(i, t0 + timedelta(seconds=10 * i)) for i in range(20)], "flow_id long, ts timestamp_ntz")
+    log = spark.createDataFrame([(0, t0, t0 + timedelta(seconds=30), "BOTNET"), (1, t0 + timedelta(seconds=100), t0 + timedelta(seconds=110), "DoS_DDoS")],
+                                "log_id long, start_ts timestamp_ntz, end_ts timestamp_ntz, class_label string").withColumn("class_label", named("class_label"))
+    got = [r["ground_truth_label"] for r in live.ground_truth(flows, log).orderBy("flow_id").collect()]
+    assert got == ["BOTNET"] * 4 + ["BENIGN"] * 6 + ["DoS_DDoS"] * 2 + ["BENIGN"] * 8
+    assert seen.value == 2
+
+
 def test_live_units(spark):
     df = raw(spark, 3).select("flow_id", *S.GOLDEN12)
     a, b = live.prepare_live(df).where("flow_id = 1").first(), live.prepare_live(df, seconds=False).where("flow_id = 1").first()

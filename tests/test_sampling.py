@@ -42,6 +42,20 @@ def test_split_is_the_hash_order(spark, n):
         assert [got[i][1] for i in ids] == want
 
 
+def test_split_evaluates_its_rows_once(spark):
+    """However many passes find the cuts, and however often the result is read."""
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def label(i):
+        seen.add(1)
+        return "ab"[i % 2]
+
+    split = sampling.stratified_split(spark.range(200).withColumn("c", label("id")), "c", "id", RATIOS)
+    assert split.where("split = 'train'").count() == 160 and split.where("split = 'test'").count() == 20
+    assert seen.value == 200
+
+
 def test_sample(spark):
     df = spark.range(1000)
     got = {r["id"] for r in sampling.sample_rows(df, 50, "id").collect()}
