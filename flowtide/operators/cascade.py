@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from flowtide import schema as S
 from flowtide.functions import decide, predict_class, severity
-from flowtide.operators.models import score_binary, score_multiclass
+from flowtide.operators.features import assemble_features
+from flowtide.operators.models import class_probabilities
 
 ALERT_COLUMNS = ["ts", "flow_id", "src_ip", "dst_ip", "dst_port", "severity", "predicted_class", "confidence",
                  "pipeline_tier"]
@@ -44,15 +46,14 @@ def cascade_decide(scored: DataFrame, p1: str = "p1", probs: str = "probs", thre
 def score_cascade(df: DataFrame, tier1, tier3, threshold: float = 0.5) -> DataFrame:
     """Score with models; tier 3 sees only the rows tier 1 passes on.
 
-    The input is read once per tier.  With most rows decided by tier 1 that
-    costs less than running the six-class model on everything.
+    The input is read and scored by tier 1 once; tier 3 runs inside the condition
+    that the row is no hit.
     """
-    first = score_binary(tier1, df)
+    first = tier1.transform(assemble_features(df)).select(*df.columns, "features", vector_to_array("probability")[1].alias("p1"))
+    rows, probs = class_probabilities(tier3, first.withColumn("_hit", _hit("p1", threshold)))
     empty = F.array().cast("array<double>")
-    hit = _hit("p1", threshold)
-    hits = first.where(hit).withColumn("probs", empty)
-    rest = score_multiclass(tier3, first.where(~hit))
-    return cascade_decide(hits.unionByName(rest), threshold=threshold)
+    scored = rows.select(*df.columns, "p1", F.when(F.col("_hit"), empty).otherwise(probs).alias("probs"))
+    return cascade_decide(scored, threshold=threshold)
 
 
 def alerts(decided: DataFrame) -> DataFrame:

@@ -62,6 +62,27 @@ def test_cascade_scores_every_row_once(data, tier1, tier3):
     assert out.where("tier1_hit and predicted_class <> 'DoS_DDoS'").count() == 0
 
 
+@pytest.mark.parametrize("learner", ["boosted", "forest"])
+def test_cascade_reads_its_input_once(spark, data, tier1, tier3, learner):
+    """One pass over the rows, tier 3 under the condition that tier 1 passed the row on, the scores of the models alone."""
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("double")
+    def noted(x):
+        seen.add(1)
+        return x
+
+    out = cascade.score_cascade(data.withColumn("flow_duration", noted("flow_duration")), tier1, tier3[learner])
+    rows = {r["flow_id"]: r for r in out.collect()}
+    assert seen.value == data.count() == len(rows)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "AS _raw" not in plan and "AS _prob" not in plan  # models of tier 3 are no columns of their own
+    p1 = {r["flow_id"]: r["p1"] for r in models.score_binary(tier1, data).collect()}
+    probs = {r["flow_id"]: r["probs"] for r in models.score_multiclass(tier3[learner], data).collect()}
+    assert all(r["p1"] == p1[i] and r["probs"] == ([] if p1[i] > .5 else probs[i]) for i, r in rows.items())
+    assert 0 < sum(r["tier1_hit"] for r in rows.values()) < len(rows)
+
+
 def test_attributions_sum_to_margin(spark, data, tier1):
     leaves = attribution.model_leaves(tier1, spark)
     phi = attribution.feature_attribution(tier1, data, leaves=leaves)
