@@ -47,12 +47,13 @@ def score_cascade(df: DataFrame, tier1, tier3, threshold: float = 0.5) -> DataFr
     """Score with models; tier 3 sees only the rows tier 1 passes on.
 
     The input is read and scored by tier 1 once; tier 3 runs inside the condition
-    that the row is no hit.
+    that the row is no hit.  That condition is the only reader of ``_hit``: with a second
+    one the optimizer would leave tier 3 in front of it, for every row.
     """
     first = tier1.transform(assemble_features(df)).select(*df.columns, "features", vector_to_array("probability")[1].alias("p1"))
-    rows, probs = class_probabilities(tier3, first.withColumn("_hit", _hit("p1", threshold)))
-    empty = F.array().cast("array<double>")
-    scored = rows.select(*df.columns, "p1", F.when(F.col("_hit"), empty).otherwise(probs).alias("probs"))
+    hit, empty = _hit("p1", threshold), F.array().cast("array<double>")
+    rows, probs = class_probabilities(tier3, first.withColumn("_hit", hit), where=~F.col("_hit"))
+    scored = rows.select(*df.columns, "p1", F.when(hit, empty).otherwise(probs).alias("probs"))
     return cascade_decide(scored, threshold=threshold)
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
+from pyspark import StorageLevel
 from pyspark.ml.classification import GBTClassifier, OneVsRest, OneVsRestModel, RandomForestClassifier
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.ml.functions import vector_to_array
@@ -25,6 +26,15 @@ def _prepared(df: DataFrame, label: str, target: Column) -> DataFrame:
                                         *(["is_val"] if "is_val" in df.columns else []))
 
 
+def _fit(learner, data: DataFrame):
+    """The model fitted on rows that are held meanwhile, as a learner reads them several times."""
+    data.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        return learner.fit(data)
+    finally:
+        data.unpersist()
+
+
 def train_binary(df: DataFrame, label: str = "unified_label", rounds: int = 300, depth: int = 6, rate: float = 0.1,
                  positive: str = S.DOS, seed: int = SEED, patience: int = PATIENCE):
     """Boosted trees for positive class against the rest.
@@ -36,8 +46,8 @@ def train_binary(df: DataFrame, label: str = "unified_label", rounds: int = 300,
     gbt = GBTClassifier(labelCol="y", maxDepth=depth, stepSize=rate, maxIter=rounds, seed=seed)
     target = binary_target(label, positive)
     if "is_val" not in df.columns:
-        return gbt.fit(_prepared(df, label, target))
-    model = gbt.fit(_prepared(df.where(~F.coalesce("is_val", F.lit(False))).drop("is_val"), label, target))
+        return _fit(gbt, _prepared(df, label, target))
+    model = _fit(gbt, _prepared(df.where(~F.coalesce("is_val", F.lit(False))).drop("is_val"), label, target))
     by_round = pr_auc_by_round(model, df.where("is_val"), label, positive)
     return cut_ensemble(model, best_round(by_round, patience)) if by_round else model
 
@@ -55,11 +65,12 @@ def train_multiclass(df: DataFrame, label: str = "unified_label", rounds: int =
 
     With validation rows (``is_val``) the boosted ensembles of all classes end at
     the same round: the one with the least log loss before ``patience`` rounds
-    without a lesser one.  Both learners train on the stored, prepared rows.
+    without a lesser one.  Both learners train on the stored, prepared rows, held while
+    they are fitted.
     """
     val = df.where("is_val") if "is_val" in df.columns else None
     train = df if val is None else df.where(~F.coalesce("is_val", F.lit(False))).drop("is_val")
-    data = cut(_prepared(train, label, class_code(label)))
+    data = cut(_prepared(train, label, class_code(label))).persist(StorageLevel.MEMORY_AND_DISK)
     out = {}
     if "boosted" in learners:
         base = GBTClassifier(maxDepth=depth, stepSize=rate, maxIter=rounds, seed=seed)
@@ -71,6 +82,7 @@ def train_multiclass(df: DataFrame, label: str = "unified_label", rounds: int =
         out["boosted"] = model
     if "forest" in learners:
         out["forest"] = RandomForestClassifier(labelCol="y", maxDepth=depth, numTrees=trees, seed=seed).fit(data)
+    data.unpersist()
     return out
 
 
@@ -96,11 +108,13 @@ def score_multiclass(model, df: DataFrame, out: str = "probs") -> DataFrame:
     return scored.select(*df.columns, probs.alias(out))
 
 
-def class_probabilities(model, scored: DataFrame, features: str = "features") -> tuple[DataFrame, Column]:
-    """The rows with what the model adds, and the class probabilities over these columns.
+def class_probabilities(model, scored: DataFrame, features: str = "features", where: Column | None = None) -> tuple[DataFrame, Column]:
+    """The rows with the model's numbers and their total, and the class probabilities over these columns.
 
-    Every step is read by one other, so the optimizer carries all of them into the
-    expression that reads the result: under a condition no model runs on other rows.
+    Rows that fail ``where`` get null.  Every step of the model is read by one other, so
+    the optimizer carries all of them into ``_p``: no model runs on rows that fail.  Steps
+    per class stay in lambdas; written out, the code generated for a row gets longer
+    than the JVM compiles.
     """
     if isinstance(model, OneVsRestModel):
         margins = []
@@ -109,15 +123,14 @@ def class_probabilities(model, scored: DataFrame, features: str = "features") ->
             scored = m.copy(names).transform(scored)
             margins.append(vector_to_array(f"_raw{i}")[1])
         # the boosted logistic doubles the margin
-        p, n = F.array(*[1.0 / (1.0 + F.exp(-2.0 * m)) for m in margins]), len(margins)
+        p, n = F.transform(F.array(*margins), lambda m: 1.0 / (1.0 + F.exp(-2.0 * m))), len(margins)
     else:
         names = {model.rawPredictionCol: "_raw", model.probabilityCol: "_prob", model.predictionCol: "_pred", model.featuresCol: features}
         scored = model.copy(names).transform(scored)
         p, n = vector_to_array("_prob"), model.numClasses
-    # lambdas name the array and its total, which columns of their own would compute for every row
-    parts = F.transform(F.array(p), lambda q: F.struct(q.alias("p"), sum((F.get(q, F.lit(i)) for i in range(n)), F.lit(0.0)).alias("total")))
-    shares = F.transform(parts, lambda x: F.array(*[F.get(x["p"], F.lit(i)) / x["total"] for i in range(n)]))
-    return scored, F.get(shares, F.lit(0))
+    scored = scored.withColumn("_p", p if where is None else F.when(where, p))
+    scored = scored.withColumn("_total", sum((F.get("_p", F.lit(i)) for i in range(n)), F.lit(0.0)))
+    return scored, F.when(F.col("_total").isNotNull(), F.transform("_p", lambda x: x / F.col("_total")))
 
 
 def predicted_label(probs: str = "probs") -> Column:

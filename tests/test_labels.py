@@ -63,3 +63,11 @@ def test_dimension_from_json(spark, tmp_path):
     path = scratch_path(spark, "dim")
     write_label_dimension(label_dimension(spark), path)
     assert spark.read.json(path).count() == sum(len(m) for m in S.LABEL_MAP.values())
+
+
+def test_clean_labels_computes_each_key_once(spark):
+    """The null test that the join brings along needs no second key; a row without a label goes."""
+    df = spark.createDataFrame([(1, 2018, " Benign "), (2, 2017, None), (3, 2017, ""), (4, None, "BENIGN")], "flow_id long, source_year int, raw_label string")
+    got = labels.clean_labels(df, label_dimension(spark))
+    assert [(r["flow_id"], r["label_key"], r["unified_label"]) for r in got.collect()] == [(1, "benign", "BENIGN")]
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("regexp_replace") == 1

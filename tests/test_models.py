@@ -1,4 +1,5 @@
 import itertools
+import re
 from math import factorial
 
 import numpy as np
@@ -83,6 +84,33 @@ def test_cascade_reads_its_input_once(spark, data, tier1, tier3, learner):
     assert 0 < sum(r["tier1_hit"] for r in rows.values()) < len(rows)
 
 
+def test_binary_learner_reads_its_rows_once(spark, data):
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("double")
+    def noted(x):
+        seen.add(1)
+        return x
+
+    rows = data.drop("is_val").withColumn("flow_duration", noted("flow_duration"))
+    model = models.train_binary(rows, rounds=2, depth=3)
+    assert seen.value == data.count()
+    assert model.toDebugString.split("\n", 1)[1] == models.train_binary(data.drop("is_val"), rounds=2, depth=3).toDebugString.split("\n", 1)[1]
+
+
+@pytest.mark.parametrize("learner", ["boosted", "forest"])
+def test_class_probabilities_under_a_condition(data, tier1, tier3, learner):
+    """Rows that fail have none, the others theirs; the code of a cascade's row stays short enough to be compiled."""
+    rows, probs = models.class_probabilities(tier3[learner], features.assemble_features(data), where=F.col("flow_id") % 3 == 0)
+    got = {r["flow_id"]: r["probs"] for r in rows.select("flow_id", probs.alias("probs")).collect()}
+    want = {r["flow_id"]: r["probs"] for r in models.score_multiclass(tier3[learner], data).collect()}
+    assert got == {i: p if i % 3 == 0 else None for i, p in want.items()}
+    out = cascade.score_cascade(data, tier1, tier3[learner])
+    mode = data.sparkSession._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("codegen")
+    sizes = [int(x) for x in re.findall(r"maxMethodCodeSize:(\d+)", out._jdf.queryExecution().explainString(mode))]
+    assert all(x < 8000 for x in sizes)
+
+
 def test_attributions_sum_to_margin(spark, data, tier1):
     leaves = attribution.model_leaves(tier1, spark)
     phi = attribution.feature_attribution(tier1, data, leaves=leaves)
