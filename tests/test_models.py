@@ -93,7 +93,7 @@ def test_binary_learner_reads_its_rows_once(spark, data):
         return x
 
     rows = data.drop("is_val").withColumn("flow_duration", noted("flow_duration"))
-    model = models.train_binary(rows, rounds=2, depth=3)
+    model = models.train_binary(rows, rounds=2, depth=3, hold=True)
     assert seen.value == data.count()
     assert model.toDebugString.split("\n", 1)[1] == models.train_binary(data.drop("is_val"), rounds=2, depth=3).toDebugString.split("\n", 1)[1]
 
