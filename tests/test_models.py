@@ -8,6 +8,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from flowtide import schema as S
+from flowtide.catalog import queries
 from flowtide.operators import artefact, attribution, cascade, features, models, rounds
 from flowtide.operators.evaluate import attribution_shift
 from flowtide.plans import live
@@ -150,6 +151,35 @@ def test_adaptation_learns_the_live_domain(spark, data):
     assert held == 1050  # 70 % of the live rows
 
 
+def test_registered_adaptation_trains_in_full(data, monkeypatch):
+    """The query trains the operator's 100 rounds of depth 6, both tiers on all of the history and 30 % of the live rows."""
+    seen = {}
+
+    def watched(name):
+        fit = getattr(live, name)
+
+        def run(df, label, rounds, depth, **rest):
+            seen[name] = rounds, depth, df.count(), df.rdd.getNumPartitions()
+            return fit(df, label, 1, 1, **rest)
+
+        monkeypatch.setattr(live, name, run)
+
+    watched("train_binary")
+    watched("train_multiclass")
+    history = data.withColumn("split", F.when(F.col("is_val"), "val").otherwise("train"))
+    monkeypatch.setattr(queries, "_data", lambda spark, sf: history.drop("is_val"))
+    monkeypatch.setattr(queries, "_live", lambda spark, sf: data.drop("is_val").withColumnRenamed("unified_label", "ground_truth_label"))
+    report = queries.QUERIES["domain_adapt"](data.sparkSession, "unread")
+    assert seen == {n: (100, 6, 1200 + 450, 1) for n in ("train_binary", "train_multiclass")}  # a small table in one task
+    held = sum(r["value"] for r in report.where("model = 'tier3_adapted' and metric = 'support'").collect())
+    assert held == 1050
+
+
+def test_classes_trained_at_a_time_change_no_model(data):
+    one, all_ = (models.train_multiclass(data.drop("is_val").coalesce(1), rounds=2, depth=3, learners=("boosted",), parallel=n)["boosted"] for n in (1, 6))
+    assert [m.toDebugString.split("\n", 1)[1] for m in one.models] == [m.toDebugString.split("\n", 1)[1] for m in all_.models]
+
+
 def test_missing_feature_is_an_error_at_the_model_edge(spark, data, tier1):
     broken = data.withColumn("flow_duration", F.lit(None).cast("double"))
     with pytest.raises(Exception):
