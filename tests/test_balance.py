@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from flowtide import schema as S
 from flowtide.operators import balance
 from flowtide.operators.ordering import rank_within
 
@@ -86,6 +87,26 @@ def test_synthesis_of_odd_rows(spark, rows):
     assert balance.synthesize_minority(rows.where("id < 0"), "id", "k", COLS).collect() == []
 
 
+def test_every_stage_changes_what_the_next_one_reads(spark):
+    """Synthesised rows are interpolated and cleaned; interpolation has a target of its own."""
+    rng = np.random.default_rng(7)
+    sizes, data = {"BENIGN": 400, "BOTNET": 60, "WEB_ATTACK": 20}, []
+    for centre, (name, n) in zip((0.0, 30.0, 60.0), sizes.items()):
+        data += [(len(data) + i, *map(float, centre + x), name) for i, x in enumerate(rng.normal(size=(n, 12)))]
+    rows = spark.createDataFrame(data, "id long, " + ", ".join(f"{c} double" for c in S.GOLDEN12) + ", unified_label string")
+
+    clean, report = balance.balance_dataset(rows, "id", majority_target=200, threshold=50, target=100, smote_target=140)
+    found = {}
+    for r in report.collect():
+        found.setdefault(r["stage"], {})[r["unified_label"]] = r["rows"]
+    down = found["downsampled"]["BENIGN"]
+    assert 150 < down < 250 and found["input"] == sizes
+    assert found["synthesized"] == {"BENIGN": down, "BOTNET": 60, "WEB_ATTACK": 100}
+    assert found["smote"] == {"BENIGN": down, "BOTNET": 140, "WEB_ATTACK": 140}
+    kept = {(r["unified_label"], r["origin"]): r["count"] for r in clean.groupBy("unified_label", "origin").count().collect()}
+    assert kept["WEB_ATTACK", "copula"] == 80 and kept["WEB_ATTACK", "smote"] == 40 and kept["BOTNET", "smote"] == 80
+
+
 def test_rank_within_groups(spark):
     rng = np.random.default_rng(1)
     data = [(i, f"g{min(2, int(rng.integers(0, 9)))}", float(rng.integers(0, 5))) for i in range(500)]
